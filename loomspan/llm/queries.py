@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_jpeg, quality_pu, secret_scan, toxicity, url_filter
+from . import decontaminate, media_jpeg, packing, quality_pu, secret_scan, toxicity, url_filter
 from .common import read_table
 
 
@@ -31,6 +31,16 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan_documents(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op3_quality_classifier, op6_toxicity, op7_media_columns, op9_secret_scans)}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
 
-ORACLES: dict[str, str] = {"op1_url_filters": url_filter.ORACLE}
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_quality_classifier, op4_benchmark_decontamination, op6_toxicity, op7_media_columns, op9_secret_scans)}
+
+ORACLES: dict[str, str] = {"op1_url_filters": url_filter.ORACLE}
\ No newline at end of file
