@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media_jpeg, packing, quality_pu, secret_scan, toxicity, url_filter
-from .common import read_table
+from . import decontaminate, media_jpeg, packing, pii, quality_pu, secret_scan, toxicity, url_filter
+from .common import durable, read_table
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digests(decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_quality_classifier, op4_benchmark_decontamination, op6_toxicity, op7_media_columns, op9_secret_scans)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = durable(pii.detect(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "candidates"), "candidates")
+    return pii.digests(pii.label(found, pii.fit(found)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_quality_classifier, op4_benchmark_decontamination, op6_toxicity, op7_media_columns, op9_secret_scans, op10_pii)}
 
 ORACLES: dict[str, str] = {"op1_url_filters": url_filter.ORACLE}
\ No newline at end of file
