@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media_jpeg, packing, pii, quality_pu, secret_scan, toxicity, url_filter
+from . import decontaminate, jaccard_join, media_jpeg, packing, pii, quality_pu, secret_scan, toxicity, url_filter
 from .common import durable, read_table
 
 
@@ -27,6 +27,11 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_jpeg.digests(media_jpeg.store_texts(read_table(spark, sf_dir, "documents")))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan_documents(read_table(spark, sf_dir, "documents")))
 
@@ -46,6 +51,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.label(found, pii.fit(found)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_quality_classifier, op4_benchmark_decontamination, op6_toxicity, op7_media_columns, op9_secret_scans, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_quality_classifier, op4_benchmark_decontamination, op6_toxicity, op7_media_columns, op8_ngram_jaccard_join, op9_secret_scans, op10_pii)}
 
 ORACLES: dict[str, str] = {"op1_url_filters": url_filter.ORACLE}
\ No newline at end of file
