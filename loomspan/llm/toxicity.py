@@ -66,21 +66,18 @@ def fit(grams: list[np.ndarray], labels: np.ndarray, l2: float = 1.0) -> Model:
     weights = np.zeros(1 << BITS, np.float32)
     if len(labels) == 0 or labels.min() == labels.max():
         return Model(weights, 40.0 if len(labels) and labels[0] == 1 else -40.0)
-    flat, row = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    seen = np.bincount(flat, minlength=1 << BITS)
-    used = np.flatnonzero(seen >= min(LEAST_DOCS, len(grams)))
-    slot = np.full(1 << BITS, -1, np.int32)
-    slot[used] = np.arange(len(used))
-    keep = slot[flat] >= 0
-    col, row = slot[flat[keep]], row[keep]
-    toxic = np.bincount(col[labels[row] == 1], minlength=len(used)) + 1.0
-    other = np.bincount(col[labels[row] == 0], minlength=len(used)) + 1.0
-    ratio = np.log(toxic / (labels.sum() + 2.0)) - np.log(other / ((1 - labels).sum() + 2.0))
+    seen, toxic = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for g, label in zip(grams, labels.tolist(), strict=True):
+        seen[g] += 1
+        toxic[g] += label
+    p, q = toxic + 1.0, seen - toxic + 1.0
+    ratio = np.log(p / (labels.sum() + 2.0)) - np.log(q / ((1 - labels).sum() + 2.0))
     # An n-gram takes part if its ratio stands out from chance; the others only add noise to long texts.
-    clear = np.abs(ratio) >= LEAST_Z * np.sqrt(1 / toxic + 1 / other)
-    used, ratio, slot = used[clear], ratio[clear], np.cumsum(clear) - 1
-    keep = clear[col]
-    col, row = slot[col[keep]], row[keep]
+    used = np.flatnonzero((seen >= min(LEAST_DOCS, len(grams))) & (np.abs(ratio) >= LEAST_Z * np.sqrt(1 / p + 1 / q)))
+    ratio, slot = ratio[used], np.full(1 << BITS, -1, np.int32)
+    slot[used] = np.arange(len(used))
+    own = [k[k >= 0] for k in (slot[g] for g in grams)]
+    col, row = np.concatenate(own), np.repeat(np.arange(len(own)), [len(k) for k in own])
     x = ratio[col]
     y = labels.astype(np.float64)
 
