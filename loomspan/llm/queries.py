@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, media_jpeg, packing, pii, quality_pu, secret_scan, toxicity, url_filter
+from . import decontaminate, jaccard_join, media_jpeg, packing, pii, quality_pu, secret_scan, substring_dedup, toxicity, url_filter
 from .common import durable, read_table
 
 
@@ -19,6 +19,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -51,6 +56,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.label(found, pii.fit(found)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_quality_classifier, op4_benchmark_decontamination, op6_toxicity, op7_media_columns, op8_ngram_jaccard_join, op9_secret_scans, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_quality_classifier, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_toxicity, op7_media_columns, op8_ngram_jaccard_join, op9_secret_scans, op10_pii)}
 
 ORACLES: dict[str, str] = {"op1_url_filters": url_filter.ORACLE}
\ No newline at end of file
