@@ -1,0 +1 @@
+"""Genome annotation analytics on Spark DataFrames."""
