@@ -36,7 +36,7 @@ LENGTH = 400
 GRAM = 200
 BUCKET_ANCHORS = 1_000_000  #: anchors that one task sorts
 DEAL = 6_000  #: surroundings in one task, about
-HOT = 20_000  #: surroundings of one anchor string beyond which they do not meet in one task
+HOT = 6_000  #: surroundings of one anchor string beyond which they do not meet in one task
 SLICE = 1 << 20
 
 _PLACE = np.uint64((1 << 28) - 1)
@@ -134,7 +134,11 @@ def _sort_out(length: int, hot: int) -> Callable[[pa.Table], pa.Table]:
         sig = sig[order]
         head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, np.int64)
         tail = np.append(head[1:], len(sig)) if len(head) else head
-        cells = lambda x: pa.array([x[order][p:q].tobytes() for p, q in zip(head.tolist(), tail.tolist(), strict=True)], pa.binary())
+
+        def cells(x: np.ndarray) -> pa.Array:
+            y = x[order]
+            return pa.array([y[p:q].tobytes() for p, q in zip(head.tolist(), tail.tolist(), strict=True)], pa.binary())
+
         return pa.table({"sig": sig[head], "pos": cells(pos.astype("<u4")), "start": cells(start.astype("<u4")), "end": cells(end.astype("<u4")), "send": cells(send.astype("u1")), "hot": cells((load > hot).astype("u1"))})
 
     return run
