@@ -9,13 +9,13 @@ equality of 64-bit hashes; copies of one set are one node. Steps:
    packed, some thousand to a row, in hash buckets of bounded size; only counts come back.
 3. Among the surviving nodes tokens are ordered by frequency, rarest first, and a set of size n keeps
    its first n - ceil(num / den * n) + 1 tokens as index tokens. Linked sets share an index token.
-4. Each node is compared with the node that leads most of its index tokens. The links found give components.
-5. The token-group matrix: groups are the components, cut to GROUP members; each stores the union of its members'
-   tokens. A node meets the groups of other components with which it shares an index token. The overlap of
-   its set with a group's union bounds its overlap with any member; only groups that reach the needed overlap are opened.
-   A pair whose components already coincide needs no comparison, which keeps large groups of near copies linear.
+4. The nodes are partitioned into groups of similar ones: those whose index tokens are mostly led by the same node, cut to GROUP
+   members. Each group is compared in itself, and with the first part of its own kind, which gives components.
+5. The token-group matrix holds which group has which index token. Groups that share one meet, unless all their members are one component already. There
+   the union of a group's tokens bounds the overlap of a set with any of its members; only sets that can reach the threshold with some member open the group, and for these all
+   overlaps are computed as a matrix product.
 
-Queries of one group are dealt in chunks, so no task gets an unbounded group. Nothing is capped.
+A task holds pairs of groups of bounded size, never all nodes of a kind. Nothing is capped.
 
 Defined results: a text without words (null, empty, blank) is linked with nothing and is its own component. A null doc_id
 takes part, but a component's id is its least non-null doc_id; null if it has none. Repeated rows repeat in the result.
@@ -36,8 +36,10 @@ from .wordhash import NOT_SPACE, shingles, split
 
 PREFIX = (35, 100)  #: share of each set that step 2 posts
 BUCKET_TOKENS = 1_000_000  #: postings that one task sorts
-GROUP = 64  #: members of a group
-CHUNK = 256  #: queries that meet a group in one task
+GROUP = 128  #: members of a group
+PAIRS = 100  #: pairs of groups in one task, about
+NODES = 20_000  #: sets whose counts one task adds up
+BROADCAST_IDS = 1_000_000  #: ids (8 bytes each) up to which they are broadcast; more are joined by shuffle
 SLICE = 2 << 20
 
 
@@ -108,11 +110,26 @@ def _frequency(token: np.ndarray) -> np.ndarray:
     return np.repeat(runs, runs)
 
 
-def _count_shared(table: pa.Table) -> pa.Table:
-    token, sig, _ = _unpack(table)
-    own = sig[_frequency(token) > 1] if len(token) else sig
-    found, counts = np.unique(own, return_counts=True)
-    return pa.table({"sig": found, "shared": counts})
+def _count_shared(deals: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        """For each set of a bucket how many of its tokens other sets have too; packed, dealt by set."""
+        token, sig, _ = _unpack(table)
+        own = sig[_frequency(token) > 1] if len(token) else sig
+        found, counts = np.unique(own, return_counts=True)
+        deal = (mix64(found.view(np.uint64)) % np.uint64(deals)).astype(np.int64)
+        order = np.argsort(deal, kind="stable")
+        used, head = np.unique(deal[order], return_index=True)
+        cells = lambda x, kind: pa.array([y.tobytes() for y in np.split(x[order].astype(kind), head[1:])][: len(used)], pa.binary())
+        return pa.table({"deal": pa.array(used, pa.int32()), "sigs": cells(found, "<i8"), "counts": cells(counts, "<u4")})
+
+    return run
+
+
+def _sum_shared(table: pa.Table) -> pa.Table:
+    sig = np.frombuffer(b"".join(table["sigs"].to_pylist()), "<i8")
+    counts = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4")
+    found, at = np.unique(sig, return_inverse=True)
+    return pa.table({"sig": found, "shared": pa.array(np.bincount(at, counts, len(found)).astype(np.int64))})
 
 
 def _indexer(deals: int) -> Callable[[pa.Table], pa.Table]:
@@ -121,14 +138,13 @@ def _indexer(deals: int) -> Callable[[pa.Table], pa.Table]:
         token, sig, size = _unpack(table)
         df = _frequency(token) if len(token) else token
         often = df > 1
-        base = np.int64(table["bucket"][0].as_py()) << np.int64(32)
-        token, sig, size, df = base + token[often].astype(np.int64), sig[often], size[often], df[often].astype("<u4")
+        token, sig, size, df = token[often].astype("<u4"), sig[often], size[often], df[often].astype("<u4")
         order = np.argsort(sig, kind="stable")
         token, sig, size, df = token[order], sig[order], size[order], df[order]
         head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, np.int64)
         ends = np.append(head[1:], len(sig)) if len(head) else head
         cells = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(head.tolist(), ends.tolist(), strict=True)], pa.binary())
-        return pa.table({"deal": pa.array(mix64(sig[head].view(np.uint64)) % np.uint64(deals), pa.int32()), "sig": sig[head], "n": pa.array(size[head], pa.int64()), "tokens": cells(token), "dfs": cells(df)})
+        return pa.table({"deal": pa.array(mix64(sig[head].view(np.uint64)) % np.uint64(deals), pa.int32()), "bucket": pa.array(np.full(len(head), table["bucket"][0].as_py()), pa.int32()), "sig": sig[head], "n": pa.array(size[head], pa.int64()), "tokens": cells(token), "dfs": cells(df)})
 
     return run
 
@@ -136,14 +152,14 @@ def _indexer(deals: int) -> Callable[[pa.Table], pa.Table]:
 def _prefixer(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         """Index tokens: of n - ceil(num * n / den) + 1 places, rarest first, those that tokens of one set alone leave over."""
-        parts: dict[int, list[tuple[bytes, bytes]]] = {}
+        parts: dict[int, list[tuple[np.ndarray, bytes]]] = {}
         sizes: dict[int, int] = {}
-        for sig, n, t, d in zip(*(table[c].to_pylist() for c in ("sig", "n", "tokens", "dfs")), strict=True):
-            parts.setdefault(sig, []).append((t, d))
+        for bucket, sig, n, t, d in zip(*(table[c].to_pylist() for c in ("bucket", "sig", "n", "tokens", "dfs")), strict=True):
+            parts.setdefault(sig, []).append((np.frombuffer(t, "<u4").astype(np.int64) + (bucket << 32), d))
             sizes[sig] = n
         out: list[list] = [[], [], []]
         for sig, own in parts.items():
-            token, df, n = np.frombuffer(b"".join(t for t, _ in own), "<i8"), np.frombuffer(b"".join(d for _, d in own), "<u4"), sizes[sig]
+            token, df, n = np.concatenate([t for t, _ in own]), np.frombuffer(b"".join(d for _, d in own), "<u4"), sizes[sig]
             take = n - -(-num * n // den) + 1 - (n - len(token))
             if take > 0:
                 kept = token[np.lexsort((token, df))[:take]]
@@ -156,46 +172,83 @@ def _prefixer(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _opener(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
-    def shared(a: np.ndarray, b: np.ndarray) -> int:
-        at = np.searchsorted(b, a)
-        return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b: a product of their zero-one matrices over the tokens of both sides, some columns at a time."""
+    both = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    out = np.zeros((len(a), len(b)), np.float32)
+    cells = []
+    for side in (a, b):
+        flat, row = np.concatenate(side), np.repeat(np.arange(len(side)), [len(x) for x in side])
+        at = np.minimum(np.searchsorted(both, flat), max(len(both) - 1, 0))
+        held = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[held], kind="stable")
+        cells.append((row[held][order], at[held][order]))
+    for c in range(0, len(both), width):
+        m = []
+        for side, (row, at) in zip((a, b), cells, strict=True):
+            lo, hi = np.searchsorted(at, [c, c + width])
+            x = np.zeros((len(side), min(width, len(both) - c)), np.float32)
+            x[row[lo:hi], at[lo:hi] - c] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return out.astype(np.int64)
+
+
+def _forest(link: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, one for each node but the first of each component, that connect what the links between a (rows) and b (columns) connect."""
+    rows, cols = np.nonzero(link.any(1))[0], np.nonzero(link.any(0))[0]
+    link, a, b = link[np.ix_(rows, cols)], a[rows], b[cols]
+    top = np.iinfo(np.int64).max
+    of_a, of_b = a.copy(), np.full(len(b), top)
+    while True:
+        new_b = np.minimum(of_b, np.where(link, of_a[:, None], top).min(0, initial=top))
+        new_a = np.minimum(of_a, np.where(link, new_b[None, :], top).min(1, initial=top))
+        if (new_a == of_a).all() and (new_b == of_b).all():
+            break
+        of_a, of_b = new_a, new_b
+    x, y = np.concatenate([a, b]), np.concatenate([of_a, of_b])
+    return x[x != y], y[x != y]
+
 
+def _opener(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        """Compare queries with groups: a group's union of tokens bounds what any member can share; open those that can reach the threshold."""
-        groups: dict[tuple[int, int], tuple[list, list]] = {}
-        for g, c, role, sig, raw in zip(*(table[x].to_pylist() for x in ("grp", "chunk", "role", "sig", "tokens")), strict=True):
-            groups.setdefault((g, c), ([], []))[role].append((sig, np.frombuffer(raw, "<u8")))
-        a, b = [], []
-        for queries, members in groups.values():
-            if not members:
+        """Pairs of groups. The union of one group's tokens bounds the overlap of a set with any of its members; sets that cannot reach the threshold with any
+        are left out, and the group stays closed if none can."""
+        pairs: dict[tuple[int, int], tuple[list, list]] = {}
+        for g, h, side, sig, raw in zip(*(table[x].to_pylist() for x in ("ga", "gb", "side", "sig", "tokens")), strict=True):
+            pairs.setdefault((g, h), ([], []))[side].append((sig, np.frombuffer(raw, "<u8")))
+        out: list[list[np.ndarray]] = [[], []]
+        for (g, h), (one, two) in pairs.items():
+            two = one if g == h else two
+            if not one or not two:
+                continue
+            union, least = np.unique(np.concatenate([s for _, s in two])), min(len(s) for _, s in two)
+            able = []
+            for sig, own in one:
+                at = np.minimum(np.searchsorted(union, own), len(union) - 1)
+                if den * int((union[at] == own).sum()) >= num * max(len(own), least):
+                    able.append((sig, own))
+            if not able:
                 continue
-            union = members[0][1] if len(members) == 1 else np.unique(np.concatenate([s for _, s in members]))
-            least = min(len(s) for _, s in members)
-            for q, own in queries:
-                if den * shared(own, union) < num * max(len(own), least):
-                    continue
-                for m, other in members:
-                    if num * max(len(own), len(other)) <= den * min(len(own), len(other)):
-                        both = shared(own, other)
-                        if den * both >= num * (len(own) + len(other) - both):
-                            a.append(q)
-                            b.append(m)
-                            break  # the members of a group are one component already
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            common = _overlaps([s for _, s in able], [s for _, s in two])
+            size = [np.array([len(s) for _, s in side]) for side in (able, two)]
+            link = den * common >= num * (size[0][:, None] + size[1][None, :] - common)
+            x, y = _forest(link, *(np.array([sig for sig, _ in side], np.int64) for side in (able, two)))
+            out[0].append(x)
+            out[1].append(y)
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+        return pa.table({"a": a, "b": b})
 
     return run
 
 
 def open_groups(pairs: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (grp, sig), members (grp, sig), sets (sig, tokens) -> links (a: query, b: a member), one for each pair that has any."""
-    load = pairs.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    asked = pairs.join(load, "grp").select("grp", F.pmod(F.xxhash64("sig"), "chunks").cast("int").alias("chunk"), F.lit(0).alias("role"), "sig")
-    held = members.join(load, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), "sig")
-    rows = asked.unionByName(held)
-    deals = max(1, pairs.count() // 1000)
-    deal: Column = F.pmod(F.xxhash64("grp", "chunk"), F.lit(deals)).cast("int").alias("deal")
-    return rows.join(sets.select("sig", "tokens"), "sig").select(deal, "grp", "chunk", "role", "sig", "tokens").groupBy("deal").applyInArrow(_opener(num, den), "a long, b long")
+    """pairs (ga, gb) of groups, ga = gb for a group in itself; members (grp, sig); sets (sig, tokens) -> links (a, b) that connect all linked members. A task holds a few hundred sets at a time."""
+    own = members.select("grp", "sig")
+    rows = pairs.join(own.withColumnRenamed("grp", "ga"), "ga").select("ga", "gb", F.lit(0).alias("side"), "sig").unionByName(pairs.where("ga <> gb").join(own.withColumnRenamed("grp", "gb"), "gb").select("ga", "gb", F.lit(1).alias("side"), "sig"))
+    deals = max(1, pairs.count() // PAIRS)
+    deal: Column = F.pmod(F.xxhash64("ga", "gb"), F.lit(deals)).cast("int").alias("deal")
+    return rows.join(sets.select("sig", "tokens"), "sig").select(deal, "ga", "gb", "side", "sig", "tokens").groupBy("deal").applyInArrow(_opener(num, den), "a long, b long")
 
 
 def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -212,20 +265,24 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
             if own:
                 yield _pack([s[: -(-len(s) * posted // of)] for s in own], [signature(s) for s in own], [len(s) for s in own], buckets)
 
-    shared = arrow_map(docs.select("doc_id", "text"), post, POSTINGS).groupBy("bucket").applyInArrow(_count_shared, "sig long, shared long")
+    deals = max(1, rows.count() // NODES)
+    counts = arrow_map(docs.select("doc_id", "text"), post, POSTINGS).groupBy("bucket").applyInArrow(_count_shared(deals), "deal int, sigs binary, counts binary")
+    shared = counts.groupBy("deal").applyInArrow(_sum_shared, "sig long, shared long")
     needed = f"ceil(n * {num * of + posted * den - of * den} / {of * den})" if num * of + posted * den > of * den else "1"
-    left = durable(shared.groupBy("sig").agg(F.sum("shared").alias("shared")).join(nodes, "sig").where(f"shared >= {needed}").select("sig", "n", "first"), "left")
+    left = durable(shared.join(nodes, "sig").where(f"shared >= {needed}").select("sig", "n", "first"), "left")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
             own = [s for s in sets_of(batch.column("text"), k) if len(s)]
             yield batch_of(sig=pa.array([signature(s) for s in own], pa.int64()), tokens=pa.array([s.tobytes() for s in own], pa.binary()))
 
-    kept = docs.select("doc_id", "text").join(left.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").unionByName(docs.select("doc_id", "text").where("doc_id is null"))
+    n_left = left.count()
+    ids = left.select(F.col("first").alias("doc_id")).distinct()
+    ids = F.broadcast(ids) if n_left <= BROADCAST_IDS else ids
+    kept = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").unionByName(docs.select("doc_id", "text").where("doc_id is null"))
     sets = durable(arrow_map(kept, take, "sig long, tokens binary").join(left.select("sig", "n"), "sig").dropDuplicates(["sig"]), "sets")
 
     tokens = left.agg(F.sum("n")).first()[0] or 0
-    n_left = left.count()
     groups, deals = max(1, -(-tokens // BUCKET_TOKENS)), max(1, -(-n_left // 2000))
 
     def post_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,31 +290,49 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
             own = [np.frombuffer(x, "<u8") for x in batch.column("tokens").to_pylist()]
             yield _pack(own, batch.column("sig").to_pylist(), [len(s) for s in own], groups)
 
-    often = arrow_map(sets, post_all, POSTINGS).groupBy("bucket").applyInArrow(_indexer(deals), "deal int, sig long, n long, tokens binary, dfs binary")
+    often = arrow_map(sets, post_all, POSTINGS).groupBy("bucket").applyInArrow(_indexer(deals), "deal int, bucket int, sig long, n long, tokens binary, dfs binary")
     index = durable(often.groupBy("deal").applyInArrow(_prefixer(num, den), "token long, sig long, n long"), "index")
 
     leader = index.groupBy("token").agg(F.min("sig").alias("grp"), F.count("*").alias("held")).where("held > 1").select("token", "grp")
     votes = index.join(leader, "token").where("sig <> grp").groupBy("sig", "grp").agg(F.count("*").alias("votes"))
-    asked = durable(votes.groupBy("sig").agg(F.max_by("grp", F.struct("votes", "grp")).alias("grp")), "asked")
-    first = durable(open_groups(asked, asked.select("grp", F.col("grp").alias("sig")).distinct(), sets, num, den), "links")
-    one = components(first)
+    asked = votes.groupBy("sig").agg(F.max_by("grp", F.struct("votes", "grp")).alias("grp"))
+
+    owned = index.select("sig", "n").distinct().join(asked, "sig", "left").select("sig", "n", F.coalesce("grp", "sig").alias("lead"))
+    load = owned.groupBy("lead").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    named = lambda part: F.xxhash64("lead", part)
+    member = durable(owned.join(load, "lead").select("sig", "n", named(F.pmod(F.xxhash64("sig"), "parts")).alias("grp"), named(F.lit(0).cast("long")).alias("center")), "groups")
+    held = member.groupBy("grp").agg(F.count("*").alias("held"), F.first("center").alias("center"))
+    near = held.where("held > 1").select(F.col("grp").alias("ga"), F.col("grp").alias("gb")).unionByName(held.where("grp <> center").select(F.col("center").alias("ga"), F.col("grp").alias("gb")))
+    first = durable(open_groups(durable(near, "pairs"), member, sets, num, den), "links")
 
-    owned = index.select("sig", "n").distinct().join(one.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n", F.coalesce("comp", "sig").alias("comp"))
-    load = owned.groupBy("comp").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    member = durable(owned.join(load, "comp").select("sig", "n", "comp", F.xxhash64("comp", F.pmod(F.xxhash64("sig"), "parts")).alias("grp")), "groups")
-    cells = index.select("token", "sig").join(member, "sig")
-    matrix = cells.groupBy("token", "grp").agg(F.first("comp").alias("comp"), F.min("n").alias("low"), F.max("n").alias("high"))
-    mixed = matrix.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
-    open_cells = durable(cells.join(mixed, "token", "left_semi").select("token", "sig", "n", "comp", "grp"), "cells")
-    sides = open_cells.groupBy("token", "grp").agg(F.first("comp").alias("other"), F.min("n").alias("low"), F.max("n").alias("high"))
-    ask = open_cells.select("token", "sig", "n", "comp").join(sides, "token").where(f"comp < other and {den} * high >= {num} * n and {den} * n >= {num} * low").select("grp", "sig").distinct()
-    ask = durable(ask, "asked")
-    more = open_groups(ask, member.join(ask.select("grp").distinct(), "grp", "left_semi").select("grp", "sig"), sets, num, den)
-    links = durable(first.unionByName(more), "links")
-    comps = components(links)
+    one = components(first)
+    state = member.join(one.withColumnRenamed("node", "sig"), "sig", "left").groupBy("grp").agg(*[f(F.coalesce("comp", "sig")).alias(x) for f, x in ((F.min, "c0"), (F.max, "c1"))], F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = durable(index.join(member.select("sig", "grp"), "sig").select("token", "grp").distinct().join(state, "grp"), "matrix")
+    side = lambda p: matrix.select("token", *[F.col(c).alias(p + c) for c in ("grp", "c0", "c1", "low", "high")])
+    open_ = f"xgrp < ygrp and not (xc0 = xc1 and yc0 = yc1 and xc0 = yc0) and {den} * xhigh >= {num} * ylow and {den} * yhigh >= {num} * xlow"
+    far = durable(side("x").join(side("y"), "token").where(open_).select(F.col("xgrp").alias("ga"), F.col("ygrp").alias("gb")).distinct(), "pairs")
+    more = open_groups(far, member, sets, num, den)
+    comps = components(durable(first.unionByName(more), "links"))
 
     labelled = nodes.join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("comp", "sig").alias("comp"))
     least = labelled.groupBy("comp").agg(F.min("first").alias("component_id"))
     named = labelled.join(least, "comp").select("sig", "component_id")
     joined = rows.join(named, "sig", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+#: The registered query in SQL, for small tables: all pairs that share a shingle, and a recursive walk over the links.
+ORACLE = r"""
+with recursive d as (
+  select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] as w
+  from documents),
+s as (
+  select distinct doc_id, g from (select doc_id, unnest(
+    case when len(w) >= 4 then [array_to_string(w[i : i + 3], ' ') for i in range(1, len(w) - 2)] when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
+r as (select doc_id, doc_id as c from d union select r.doc_id, l.y from r join l on l.x = r.c)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id
+from d left join n using (doc_id) join (select doc_id, min(c) as c from r group by doc_id) m using (doc_id)
+"""
