@@ -28,7 +28,7 @@ KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?+[0-9])++",
+    "card": r"[0-9](?:[\x20-]?+[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 PLAIN = {
@@ -56,6 +56,8 @@ CONTEXT = {
 }
 AGAINST = "version|release|section|isbn|issn|serial|sha|token|order no|invoice"
 
+STRIDE = 128  #: matches whose positions are built together
+
 LABELERS = ("regex", "checksum", "gazetteer", "context", "border")
 SPAN = "struct<kind:int,start:int,end:int,source:int,votes:array<int>>"
 
@@ -64,11 +66,16 @@ def occurrences(text: str, pattern: str, condition: str) -> str:
     """SQL: array of (value, start, before, after) of the leftmost non-overlapping matches of a pattern."""
     p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     raw = "cast(array() as array<struct<value:string,start:int,before:string,after:string>>)"
+    block = f"sequence(k * {STRIDE} + 1, least(size(x.m), (k + 1) * {STRIDE}))"
     step = (
         "named_struct('pos', a.pos + length(x.g[i - 1]) + length(x.m[i - 1]), 'out', concat(a.out, array(named_struct('value', x.m[i - 1], "
         "'start', a.pos + length(x.g[i - 1]), 'before', right(x.g[i - 1], 32), 'after', left(x.g[i], 1)))))"
     )
-    walk = f"if(size(x.m) = 0, {raw}, aggregate(sequence(1, size(x.m)), named_struct('pos', 0, 'out', {raw}), (a, i) -> {step}, a -> a.out))"
+    # Positions are running sums of lengths; they are built block by block, so that the cost of a text with many matches stays near their number.
+    sums = f"transform(sequence(0, (size(x.m) - 1) div {STRIDE}), k -> aggregate({block}, 0, (a, i) -> a + length(x.g[i - 1]) + length(x.m[i - 1])))"
+    bases = f"aggregate({sums}, named_struct('pos', 0, 'out', cast(array() as array<int>)), (a, s) -> named_struct('pos', a.pos + s, 'out', concat(a.out, array(a.pos))), a -> a.out)"
+    blocks = f"flatten(transform({bases}, (base, k) -> aggregate({block}, named_struct('pos', base, 'out', {raw}), (a, i) -> {step}, a -> a.out)))"
+    walk = f"if(size(x.m) = 0, {raw}, {blocks})"
     return f"case when {condition} then transform(array(named_struct('m', regexp_extract_all({text}, {p}, 0), 'g', split({text}, {p}, -1))), x -> {walk})[0] else {raw} end"
 
 
@@ -205,7 +212,7 @@ def joined(spans: str) -> Column:
 
 def digests(labelled: DataFrame) -> DataFrame:
     """The contract's columns from label()."""
-    counts = [F.size(F.filter("base_spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [F.expr(f"cast(size(filter(base_spans, s -> s.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return labelled.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("all_spans").alias("spans"))
 
 
