@@ -198,7 +198,7 @@ INDEX_COLUMNS = [c.split()[0] for c in INDEX.split(", ")]
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """The contract's columns from search(), and the number of items with proximity matches only."""
+    """The contract's columns from search()."""
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
     return found.select(
         "doc_id",
@@ -207,7 +207,6 @@ def digests(found: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -215,6 +214,28 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     return search(build_index(docs), items)
 
 
+ORACLE = r"""
+with dw as (
+  select row_number() over () as rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+iw as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark where item_id is not null),
+win as (
+  select distinct item_id, k, array_to_string(w[i : i + k - 1], ' ') as s
+  from (select item_id, w, least(10, len(w)) as k, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from iw where len(w) > 0)),
+win_at as (
+  select rid, k, p, array_to_string(w[p : p + k - 1], ' ') as s
+  from (select rid, w, k, unnest(range(1, len(w) - k + 2)) as p from dw, (select distinct k from win))),
+hit as (select a.rid, a.p, a.k, w.item_id from win_at a join win w on a.s = w.s and a.k = w.k),
+covered as (select rid, count(distinct q) as n from (select rid, unnest(range(p, p + k)) as q from hit) group by rid),
+found as (select rid, count(*) as n, string_agg(id, ',' order by id) as ids from (select distinct rid, cast(item_id as varchar) as id from hit) group by rid)
+select d.doc_id, len(d.w) as n_words, coalesce(c.n, 0) as n_hit, coalesce(f.n, 0) as n_items, sha256(coalesce(f.ids, '')) as items_sha256, coalesce(c.n, 0) > 0 as contaminated
+from dw d left join covered c using (rid) left join found f using (rid)
+"""
+
+
 def brute_force(text: str | None, items: list[tuple[int, str | None]]) -> tuple[int, int, list[str]]:
     """n_words, n_hit and item ids of one text by direct comparison; used by tests."""
     words = item_words(text)

@@ -58,4 +58,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_quality_classifier, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_toxicity, op7_media_columns, op8_ngram_jaccard_join, op9_secret_scans, op10_pii)}
 
-ORACLES: dict[str, str] = {"op1_url_filters": url_filter.ORACLE}
\ No newline at end of file
+ORACLES: dict[str, str] = {"op1_url_filters": url_filter.ORACLE, "op4_benchmark_decontamination": decontaminate.ORACLE, "op8_ngram_jaccard_join": jaccard_join.ORACLE}
