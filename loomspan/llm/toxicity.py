@@ -62,7 +62,7 @@ class Model:
         return float(sigmoid(self.weights[grams].sum(dtype=np.float64) + self.intercept))
 
 
-def fit(grams: list[np.ndarray], labels: np.ndarray, l2: float = 1.0) -> Model:
+def fit(grams: list[np.ndarray] | TextGrams, labels: np.ndarray, l2: float = 1.0) -> Model:
     weights = np.zeros(1 << BITS, np.float32)
     if len(labels) == 0 or labels.min() == labels.max():
         return Model(weights, 40.0 if len(labels) and labels[0] == 1 else -40.0)
@@ -92,18 +92,27 @@ def fit(grams: list[np.ndarray], labels: np.ndarray, l2: float = 1.0) -> Model:
     return Model(weights, float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str, in_training: Column, per_class: int = PER_CLASS) -> Model:
-    """Fit on the texts of docs that labels has; at most 2 * per_class texts reach the driver, as n-grams."""
-    sample = F.broadcast(label_sample(labels, target, in_training, per_class))
+class TextGrams:
+    """The n-grams of some texts, made anew on each pass, a few texts at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [g.tobytes() for g in ngrams(*text_buffer(batch.column("text")))]
-            yield batch_of(doc_id=batch.column("doc_id"), label=batch.column("label"), grams=pa.array(found, pa.binary()))
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+
+    def __len__(self) -> int:
+        return len(self.texts)
 
-    rows = arrow_map(docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label")), run, "doc_id long, label int, grams binary").collect()
-    rows = list({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["grams"]))}.values())  # one text for an id
-    return fit([np.frombuffer(r["grams"], np.int32) for r in rows], np.array([r["label"] for r in rows], np.int64))
+    def __iter__(self) -> Iterator[np.ndarray]:
+        for i in range(0, len(self.texts), 64):
+            yield from ngrams(*text_buffer(pa.array(self.texts[i : i + 64], pa.large_string())))
+
+
+def train(docs: DataFrame, labels: DataFrame, target: str, in_training: Column, per_class: int = PER_CLASS) -> Model:
+    """Fit on the texts of docs that labels has; at most 2 * per_class texts reach the driver."""
+    sample = F.broadcast(label_sample(labels, target, in_training, per_class))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label")).collect()
+    rows = list({r["doc_id"]: r for r in sorted(rows, reverse=True)}.values())  # of several texts of one id the least
+    rows.reverse()
+    return fit(TextGrams([r["text"] for r in rows]), np.array([r["label"] for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
