@@ -29,3 +29,8 @@ def write_records(recs: DataFrame, path: str, order: tuple[str, ...] = ()) -> No
 def write_lines(raw: DataFrame, path: str, order: tuple[str, ...]) -> None:
     """Raw lines, unchanged, in the given order."""
     raw.orderBy(*order).select("value").write.mode("overwrite").text(path)
+
+
+def write_table(recs: DataFrame, path: str) -> None:
+    """Records as Parquet, ranged and sorted by position: a region query then reads only the files and row groups whose bounds meet it."""
+    recs.repartitionByRange("seqname", "start").sortWithinPartitions("seqname", "start", "end").write.mode("overwrite").parquet(path)

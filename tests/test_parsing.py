@@ -161,3 +161,14 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], "value string")
     assert tuple(rec.diagnostics(none).first()) == (0, 0, 0)
     assert rec.records(none).count() == 0 and rec.raw_records(none).count() == 0
+
+
+def test_sorted_table_prunes(spark, tmp_path):
+    from loomspan.sources.sinks import write_table
+
+    df = spark.createDataFrame([(f"chr{i % 3}", i, i + 5) for i in range(500)], "seqname string, start long, end long")
+    write_table(df, str(tmp_path / "t"))
+    hits = select.overlapping(spark.read.parquet(str(tmp_path / "t")), "chr1:100-120")
+    assert [r["start"] for r in hits.collect()] == [97, 100, 103, 106, 109, 112, 115, 118]
+    plan = hits._jdf.queryExecution().toString()
+    assert "EqualTo(seqname,chr1)" in plan and "LessThanOrEqual(start,120)" in plan
