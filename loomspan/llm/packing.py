@@ -17,11 +17,14 @@ pieces; doc_id may be null. An empty table gives no pieces. Other columns are ig
 from __future__ import annotations
 
 import itertools
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,46 +34,164 @@ from .common import arrow_map, batch_of, durable, ranges, slices
 WINDOW = 4096
 UNIT = 64
 DEPTH = 3
-SALTS = 1024
+SALTS = 1024  #: parts into which the rests of one bin are ranked, at most
+SALT_ROWS = 2_000  #: rests for each salt, so few tables have all
 LANE_ROWS = 50_000  #: rests and gaps that one task packs
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000  #: words, and pieces of words, whose ids a task keeps
+CACHED_PIECES = 300_000
+
+
+#: Words of these characters need no normalising but lower case, so their pieces can be found and looked up without the library's full path.
+PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u0148\u014a-\u017e]*")
+#: Anything else in a text: other characters, white space but blanks and line ends, the start of a special token.
+STRANGE = re.compile("[^ \n!-~\u00a1-\u012f\u0131-\u0148\u014a-\u017e]|<\\|")
+# Fixed value: the split pattern of the vocabulary file.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
+class _Codes(dict):
+    """word -> number; a word met first gets the next number and is noted as new."""
+
+    def __init__(self, words: list[str]):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
+
+
+class _Table:
+    """Strings and their ids, ragged: code gives a string's number, under which start and size say where its ids are."""
+
+    def __init__(self) -> None:
+        self.code = _Codes([])
+        self.flat, self.start, self.size, self.uses = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        """Ids of the strings noted as new."""
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, ids])
+        self.uses = np.concatenate([self.uses, np.zeros(len(size), np.int64)])
+        self.code.new = []
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[numbers]
+        return self.flat[ranges(self.start[numbers], size)], size
+
+    def shrink(self) -> None:
+        """Keep what was met more than once since the last time."""
+        keep = np.flatnonzero(self.uses > 1)
+        names = list(self.code)
+        self.code = _Codes([names[k] for k in keep.tolist()])
+        self.flat, self.size = self.of(keep)
+        self.start, self.uses = np.cumsum(self.size) - self.size, np.zeros(len(keep), np.int64)
 
 
 class WordTokenizer:
-    """A tokenizer of the `tokenizers` library with a table of words met before. Exact wherever the vocabulary never joins pieces
-    across a blank or line end, as is so for vocabularies that drop white space."""
+    """A tokenizer of the `tokenizers` library with tables of words and pieces met before.
+
+    Exact wherever no piece crosses a blank or line end, as is so for vocabularies that drop white space. If the file splits as PIECE
+    says and lower-cases, plain words are cut to pieces here and only new pieces meet the model; all other words take the library's path.
+    When a table is full, the words met only once since the last time are dropped."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.inner = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.pieces_apply = steps == ["NFC", "Replace", "Lowercase"] and (first.get("pattern") or {}).get("Regex") == PIECE.pattern
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens") or []) or "(?!)")
+        self.letters = _byte_letters()
+        # The model alone, on pieces between line ends; a token that ends a piece is known by the suffix.
+        self.bare = Tokenizer(self.inner.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        suffix = spec["model"].get("end_of_word_suffix")
+        vocabulary = self.inner.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[n for t, n in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.flat, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pieces, self.words = _Table(), _Table()
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces, one after another, and their numbers."""
+        letters = [p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode())) for p in pieces]
+        ids = np.array(self.bare.encode_batch_fast(["\n".join(letters)], add_special_tokens=False)[0].ids, np.uint32)
+        size = np.diff(np.flatnonzero(np.append(True, self.ends[ids])))
+        if len(size) != len(pieces):  # no such suffix
+            found = [[t.id for t in self.inner.model.tokenize(x)] for x in letters]
+            ids, size = np.array(list(itertools.chain.from_iterable(found)), np.uint32), np.array(list(map(len, found)), np.int64)
+        return ids, size
+
+    def _words(self, words: list[str], simple: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words, one after another, and their numbers; simple: all are plain and lower-cased already."""
+        if len(self.pieces.code) > CACHED_PIECES:
+            self.pieces = _Table()
+        code, cut, plain = self.pieces.code, PIECE.findall, PLAIN.fullmatch
+        used: list[int] = []
+        many: list[int] = []
+        late = []
+        for k, w in enumerate(words):
+            if simple or (self.pieces_apply and plain(w) and not ("<" in w and self.special.search(w))):
+                low = w if simple else w.lower()
+                if low.isalpha():
+                    used.append(code[low])
+                    many.append(1)
+                elif low[-1:] in ",.!?;:" and low[:-1].isalpha():
+                    used += (code[low[:-1]], code[low[-1]])
+                    many.append(2)
+                else:
+                    own = cut(low)
+                    used += map(code.__getitem__, own)
+                    many.append(len(own))
+            else:
+                late.append(k)
+                many.append(0)
+        if code.new:
+            self.pieces.add(*self._pieces(code.new))
+        ids, size = self.pieces.of(np.array(used, np.int64))
+        total = np.concatenate([[0], np.cumsum(size)])
+        ends = np.cumsum(many)
+        size = total[ends] - total[ends - many]
+        if late:
+            own = [e.ids for e in self.inner.encode_batch([words[k] for k in late], add_special_tokens=False)]
+            parts = np.split(ids, np.cumsum(size)[np.array(late)])
+            size[late] = list(map(len, own))
+            ids = np.concatenate([x for p, o in zip(parts, own, strict=False) for x in (p, np.array(o, np.uint32))] + [parts[-1]])
+        return ids, size
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the number of ids of each."""
-        words, counts = [], []
+        words, counts, simple = [], [], self.pieces_apply
         for t in texts:
+            if self.pieces_apply and not STRANGE.search(t):
+                t = t.lower()  # noqa: PLW2901  the same words at the start of sentences are met once
+            else:
+                simple = False
             own = t.replace("\n", " ").split(" ")
             words += own
             counts.append(len(own))
-        new = list(set(words) - self.code.keys())
-        if new:
-            if len(self.code) + len(new) > CACHED_WORDS and self.code:
-                self.clear()
-                new = list(set(words))
-            found = [e.ids for e in self.inner.encode_batch(new, add_special_tokens=False)]
-            size = np.array([len(x) for x in found], np.int64)
-            self.code.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum()))])
-        at = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        ids = self.flat[ranges(self.start[at], size)]
+        if len(self.words.code) > CACHED_WORDS:
+            self.words.shrink()
+        at = np.fromiter(map(self.words.code.__getitem__, words), np.int64, len(words))
+        if self.words.code.new:
+            self.words.add(*self._words(self.words.code.new, simple))
+        self.words.uses += np.bincount(at, minlength=len(self.words.uses))
+        ids, size = self.words.of(at)
         per_text = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)] if texts else np.zeros(1, np.int64)
         return ids, np.diff(per_text)
 
@@ -97,7 +218,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int, window: int = WINDOW) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         tok = tokenizer(path)
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=2 << 20):
             ids, counts = tok.encode([t or "" for t in batch.column("text").to_pylist()])
             cols: list[list] = [[] for _ in range(8)]
             at = 0
@@ -113,6 +234,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int, window: int = WINDOW) -> D
                     row += 1
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+        tok.clear()
 
     return durable(arrow_map(docs.select("doc_id", "text"), run, PIECES), "tokens")
 
@@ -204,7 +326,7 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW) -> DataF
     rests = table.where("bin > 0").select(*meta, "bin")
     histogram = {r["bin"]: (r["n"], r["ids"]) for r in rests.groupBy("bin").agg(F.count("*").alias("n"), F.sum("length").alias("ids")).collect()}
     n_rests = sum(n for n, _ in histogram.values())
-    salts = max(1, min(SALTS, n_rests // 20_000))
+    salts = max(1, min(SALTS, n_rests // SALT_ROWS))
     planned = plan(histogram, window)
 
     salted = rests.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))

@@ -74,8 +74,7 @@ def test_tokens_equal_the_library():
         for e, n in zip(plain.encode_batch(texts, add_special_tokens=False), counts, strict=True):
             assert list(ids[at : at + n]) == e.ids
             at += n
-        own.code.new, own.uses = [], own.uses + 1
-        own._shrink()
+        own.words.shrink()
 
 
 def test_nnls_meets_its_conditions():
