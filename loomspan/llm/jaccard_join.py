@@ -72,6 +72,26 @@ def nodes_of(docs: DataFrame, k: int) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, sig long")
 
 
+#: Stands for the sets that a task itself saw share a token.
+SEVERAL = -1
+
+
+def _known(sets: list[np.ndarray], sigs: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """What a task sees by itself: each set's tokens that no other of its sets has, the tokens that several have, and how many of those each set has.
+    So a token that many texts share is posted once for each task. Copies of a set count once."""
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    code = np.unique(np.array(sigs, np.int64), return_inverse=True)[1]
+    order = np.lexsort((code[row], flat))
+    token, own = flat[order], code[row][order]
+    head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    n = np.diff(np.append(head, len(token)))
+    mixed = np.repeat(np.minimum.reduceat(own, head) != np.maximum.reduceat(own, head), n)
+    shared = np.zeros(len(flat), bool)
+    shared[order] = mixed
+    at = np.cumsum([0, *map(len, sets)])
+    return [s[~shared[a:b]] for s, a, b in zip(sets, at[:-1].tolist(), at[1:].tolist(), strict=True)], np.unique(token[mixed]), np.bincount(row[shared], minlength=len(sets))
+
+
 POSTINGS = "bucket int, tokens binary, sigs binary, sizes binary, counts binary"
 
 
@@ -112,10 +132,16 @@ def _frequency(token: np.ndarray) -> np.ndarray:
 
 def _count_shared(deals: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        """For each set of a bucket how many of its tokens other sets have too; packed, dealt by set."""
-        token, sig, _ = _unpack(table)
-        own = sig[_frequency(token) > 1] if len(token) else sig
-        found, counts = np.unique(own, return_counts=True)
+        """For each set of a bucket how many of its tokens other sets have too; packed, dealt by set. A negative bucket holds such counts already."""
+        if table["bucket"][0].as_py() < 0:
+            sig = np.frombuffer(b"".join(table["sigs"].to_pylist()), "<i8")
+            found, at = np.unique(sig, return_inverse=True)
+            counts = np.zeros(len(found), np.int64)
+            np.maximum.at(counts, at, np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4"))  # copies say the same or more
+        else:
+            token, sig, _ = _unpack(table)
+            own = sig[(_frequency(token) > 1) & (sig != SEVERAL)] if len(token) else sig
+            found, counts = np.unique(own, return_counts=True)
         deal = (mix64(found.view(np.uint64)) % np.uint64(deals)).astype(np.int64)
         order = np.argsort(deal, kind="stable")
         used, head = np.unique(deal[order], return_index=True)
@@ -258,15 +284,22 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     total = rows.agg(F.sum("n")).first()[0] or 0
     posted, of = PREFIX
     buckets = max(1, -(-total * posted // of // BUCKET_TOKENS))
+    adders = max(1, rows.count() // NODES)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
             own = [s for s in sets_of(batch.column("text"), k) if len(s)]
             if own:
-                yield _pack([s[: -(-len(s) * posted // of)] for s in own], [signature(s) for s in own], [len(s) for s in own], buckets)
-
-    deals = max(1, rows.count() // NODES)
-    counts = arrow_map(docs.select("doc_id", "text"), post, POSTINGS).groupBy("bucket").applyInArrow(_count_shared(deals), "deal int, sigs binary, counts binary")
+                sigs, sizes = [signature(s) for s in own], [len(s) for s in own]
+                alone, several, counts = _known([s[: -(-len(s) * posted // of)] for s in own], sigs)
+                yield _pack([*alone, several], [*sigs, SEVERAL], [*sizes, 0], buckets)
+                sig, bucket = np.array(sigs, "<i8"), -1 - (mix64(np.array(sigs, np.int64).view(np.uint64)) % np.uint64(adders)).astype(np.int64)
+                held = counts > 0
+                for b in np.unique(bucket[held]).tolist():
+                    mine = held & (bucket == b)
+                    yield batch_of(bucket=pa.array([b], pa.int32()), tokens=pa.array([b""], pa.binary()), sigs=pa.array([sig[mine].tobytes()]), sizes=pa.array([b""], pa.binary()), counts=pa.array([counts[mine].astype("<u4").tobytes()]))
+
+    counts = arrow_map(docs.select("doc_id", "text"), post, POSTINGS).groupBy("bucket").applyInArrow(_count_shared(adders), "deal int, sigs binary, counts binary")
     shared = counts.groupBy("deal").applyInArrow(_sum_shared, "sig long, shared long")
     needed = f"ceil(n * {num * of + posted * den - of * den} / {of * den})" if num * of + posted * den > of * den else "1"
     left = durable(shared.join(nodes, "sig").where(f"shared >= {needed}").select("sig", "n", "first"), "left")
