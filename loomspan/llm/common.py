@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker handles at once; memory follows this, not the table.
 SLICE_BYTES = 4 << 20
+#: Rows of a record batch between the JVM and Python.
+BATCH_ROWS = 2000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +71,25 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release_memory() -> None:
+    """Give free memory back to the system. Python workers live on from stage to stage, so what one stage has freed would count against the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """mapInArrow, after which each task releases its memory. Batches are kept small, as the JVM and Python each hold one."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(run, schema)
 
 
 def batch_of(**columns: object) -> pa.RecordBatch:

@@ -34,8 +34,22 @@ class Words:
     counts: np.ndarray  #: words of each text
 
 
-def split(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
-    """Words of all texts of a buffer; A-Z count as lower case. `inside` says which bytes belong to words."""
+def split(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, chunk: int = 1 << 19) -> Words:
+    """Words of all texts of a buffer; A-Z count as lower case. `inside` says which bytes belong to words. Texts are handled about `chunk` bytes at a time, as
+    each byte takes some fifty while it is hashed."""
+    if len(data) <= chunk or len(offsets) <= 2:
+        return _split(data, offsets, inside)
+    parts, at = [], 0
+    while at < len(offsets) - 1:
+        upto = max(int(np.searchsorted(offsets, offsets[at] + chunk, side="right")) - 1, at + 1)
+        base = int(offsets[at])
+        w = _split(data[base : offsets[upto]], offsets[at : upto + 1] - base, inside)
+        parts.append(Words(w.hashes, w.owner + at, w.start + base, w.end + base, w.counts))
+        at = upto
+    return Words(*(np.concatenate([getattr(w, f) for w in parts]) for f in ("hashes", "owner", "start", "end", "counts")))
+
+
+def _split(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
     low, n, texts = LOWER[data], len(data), len(offsets) - 1
     held = inside[low]
     fresh = np.zeros(n + 1, bool)
