@@ -37,7 +37,7 @@ from .wordhash import NOT_SPACE, shingles, split
 PREFIX = (35, 100)  #: share of each set that step 2 posts
 BUCKET_TOKENS = 1_000_000  #: postings that one task sorts
 GROUP = 128  #: members of a group
-PAIRS = 100  #: pairs of groups in one task, about
+PAIRS = 25  #: pairs of groups in one task, about
 NODES = 20_000  #: sets whose counts one task adds up
 BROADCAST_IDS = 1_000_000  #: ids (8 bytes each) up to which they are broadcast; more are joined by shuffle
 SLICE = 2 << 20
