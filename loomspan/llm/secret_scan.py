@@ -2,7 +2,8 @@
 
 The text itself is scanned with the base patterns. Then every encoded stretch (percent escapes,
 \\u and \\x escapes, base64, compressed bytes inside base64) is unwrapped into a new layer, which is
-scanned and unwrapped in turn until nothing new appears. A layer whose content was already seen for
+scanned and unwrapped in turn until nothing new appears. Base64 may be wrapped: consecutive lines of it, indented
+or not, are also read as one stretch; what is decoded from it maps to the lines that hold it. A layer whose content was already seen for
 the same stretch ends that branch (cycle detection). Each layer carries, for each of its characters,
 the start and end in the original text, so that a secret found deep inside maps to the span that holds it.
 
@@ -19,8 +20,9 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -35,6 +37,8 @@ KINDS = ("assign", "access", "hex", "decoded_assign", "decoded_access", "decoded
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+BREAK = re.compile(r"[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+")  # also the escaped line ends of JSON
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
 INFLATE_LIMIT = 64 << 20
 
 Span = tuple[str, int, int]
@@ -49,15 +53,15 @@ def base_spans(text: str) -> list[Span]:
 
 
 class Layer:
-    """Text with the original span of each character; lo is None for the original text itself."""
+    """Text with the original span of each character; lo is None for the original text itself. Neither lo nor hi ever falls."""
 
     __slots__ = ("hi", "lo", "text")
 
-    def __init__(self, text: str, lo: list[int] | None = None, hi: list[int] | None = None):
+    def __init__(self, text: str, lo: Sequence[int] | np.ndarray | None = None, hi: Sequence[int] | np.ndarray | None = None):
         self.text, self.lo, self.hi = text, lo, hi
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        return (start, end) if self.lo is None else (min(self.lo[start:end]), max(self.hi[start:end]))
+        return (start, end) if self.lo is None else (int(self.lo[start]), int(self.hi[end - 1]))
 
 
 def _lines_with(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
@@ -100,8 +104,8 @@ def _unescape(layer: Layer, start: int, end: int, pattern: re.Pattern) -> Layer:
     return Layer("".join(out), lo, hi)
 
 
-def _inflate(raw: bytes, limit: int) -> bytes | None:
-    """Decompressed bytes, raw itself if it isn't compressed, None if it would exceed the limit."""
+def _inflate(raw: bytes, limit: int) -> tuple[bytes | None, int]:
+    """Decompressed bytes, raw itself if it isn't compressed, None if it would exceed the limit; and how many bytes of raw hold them."""
     makers = []
     if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
         makers.append(lambda: zlib.decompressobj(47))
@@ -116,10 +120,10 @@ def _inflate(raw: bytes, limit: int) -> bytes | None:
         except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
             continue
         if len(got) > limit:
-            return None
+            return None, len(raw)
         if d.eof:
-            return got
-    return raw
+            return got, len(raw) - len(d.unused_data)
+    return raw, len(raw)
 
 
 def _printable(raw: bytes) -> str | None:
@@ -130,25 +134,58 @@ def _printable(raw: bytes) -> str | None:
     return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text) else None
 
 
-def _from_base64(piece: str, limit: int) -> tuple[str | None, bool]:
-    """Text inside a base64 stretch (None: there is none), and whether it was too large."""
+def _from_base64(piece: str, limit: int) -> tuple[str | None, int, bool]:
+    """Text inside a base64 stretch (None: there is none), how many bytes of it are compressed, and whether it was too large."""
     core = piece.rstrip("=").replace("-", "+").replace("_", "/")
     if len(core) % 4 == 1:
-        return None, False
+        return None, 0, False
     try:
         raw = base64.b64decode(core + "=" * (-len(core) % 4))
     except (binascii.Error, ValueError):
-        return None, False
-    seen = set()
+        return None, 0, False
+    seen, packed = set(), 0
     while (h := hashlib.sha256(raw).digest()) not in seen:  # compressed layers, some of which hold themselves
         seen.add(h)
-        got = _inflate(raw, limit)
+        got, used = _inflate(raw, limit)
+        if got is not raw:
+            packed = packed or used
         if got is None:
-            return None, True
+            return None, packed, True
         if got is raw:
             break
         raw = got
-    return _printable(raw), False
+    return _printable(raw), packed, False
+
+
+def _by_lines(text: str, layer: Layer, lines: list[tuple[int, int]]) -> Layer:
+    """Text decoded from base64 over several lines: each character maps to the line or lines that its bytes stand in."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    ends = np.append(starts[1:], len(data))
+    spans = np.array([layer.span(a, b) for a, b in lines], np.int64)
+    line = np.repeat(np.arange(len(lines)), [b - a for a, b in lines])
+    return Layer(text, spans[line[starts * 8 // 6], 0], spans[line[(ends * 8 - 1) // 6], 1])
+
+
+def _unwrap_lines(layer: Layer, start: int, end: int, limit: int) -> Iterator[Layer | tuple[int, int]]:
+    """A base64 stretch over several lines. Words that end the line before it or begin the line after it may have joined it."""
+    edges = [start, *(x for m in BREAK.finditer(layer.text, start, end) for x in m.span()), end]
+    lines = list(zip(edges[::2], edges[1::2], strict=True))
+    for a, b in ((0, 0), (1, 0), (0, 1), (1, 1)):
+        own = lines[a : len(lines) - b]
+        piece = "".join([layer.text[x:y] for x, y in own])
+        if len(own) < 2 or len(piece) < 20:
+            continue
+        got, packed, large = _from_base64(piece, limit)
+        ends = np.cumsum([y - x for x, y in own])
+        last = int(np.searchsorted(ends, (packed * 8 - 1) // 6, side="right")) if packed else len(own) - 1
+        lo, hi = layer.span(own[0][0], own[min(last, len(own) - 1)][1])
+        if large:
+            yield lo, hi
+        elif got is not None:
+            yield Layer(got, [lo] * len(got), [hi] * len(got)) if packed else _by_lines(got, layer, own)
+        if large or got is not None:
+            break
 
 
 def unwrap(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int]]:
@@ -161,12 +198,14 @@ def unwrap(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int]]:
         for a, b in _lines_with(ESCAPE, text):
             yield _unescape(layer, a, b, ESCAPE)
     for m in BASE64.finditer(text):
-        got, large = _from_base64(m.group(), limit)
+        got, _, large = _from_base64(m.group(), limit)
         if large:
             yield layer.span(m.start(), m.end())
         elif got is not None:
             lo, hi = layer.span(m.start(), m.end())
             yield Layer(got, [lo] * len(got), [hi] * len(got))
+    for m in WRAPPED.finditer(text):
+        yield from _unwrap_lines(layer, m.start(), m.end(), limit)
 
 
 def scan(text: str | None, inflate_limit: int = INFLATE_LIMIT) -> tuple[list[Span], list[Span]]:

@@ -67,3 +67,17 @@ def test_cycles_and_bombs_end():
     assert ("oversize", bomb) in {(k, bomb[a:b]) for k, a, b in s.scan(bomb, inflate_limit=10_000)[1]}
     loop = "%25" * 50 + "41"
     assert s.scan(loop) == ([], [])
+
+
+def test_wrapped_base64():
+    noise = base64.b85encode(b"".join(hashlib.sha512(bytes([k])).digest() for k in range(3)))
+    for pack in (gzip.compress, zlib.compress):
+        wrapped = base64.encodebytes(pack(b" password=hunter2hunter2 " + noise)).decode().rstrip()
+        assert wrapped.count("\n") >= 2
+        for text in (wrapped, wrapped.replace("\n", "\n    "), wrapped.replace("\n", "\r\n"), wrapped.replace("\n", "\\n")):
+            assert ("decoded_assign", text) in found(f"see below\n{text}\nthe end")
+    lines = base64.encodebytes(b"x" * 45 + b" password=hunter2hunter2 " + b"y" * 71 + "é secret=abcdefgh".encode()).decode().rstrip().split("\n")
+    assert len(lines) == 3
+    text = "\n\t".join(lines)
+    assert {x for x in found(f"head:\n{text}\n") if x[0] == "decoded_assign"} >= {("decoded_assign", "\n\t".join(lines[:2])), ("decoded_assign", lines[2])}
+    assert found("a list\nof words\nand-more\n" * 50) == set()
