@@ -1,7 +1,7 @@
 """Operator 9: secret scans by a recursive decoding worklist.
 
 The text itself is scanned with the base patterns. Then every encoded stretch (percent escapes,
-\\u and \\x escapes, base64, compressed bytes inside base64) is unwrapped into a new layer, which is
+\\u and \\x escapes, base64, compressed bytes inside any of these) is unwrapped into a new layer, which is
 scanned and unwrapped in turn until nothing new appears. Base64 may be wrapped: consecutive lines of it, indented
 or not, are also read as one stretch; what is decoded from it maps to the lines that hold it. A layer whose content was already seen for
 the same stretch ends that branch (cycle detection). Each layer carries, for each of its characters,
@@ -36,6 +36,12 @@ KINDS = ("assign", "access", "hex", "decoded_assign", "decoded_access", "decoded
 
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+#: One byte of a line under percent escapes, and of one under escapes of JSON, C or Python.
+PERCENT_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|([\s\S])")
+ESCAPE_BYTE = re.compile(r"\\(?:u00|x)([0-9A-Fa-f]{2})|\\([abfnrtv0\\'\"/])|([\s\S])")
+SHORT = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
+#: Starts of gzip, bzip2, xz and zlib data (without a preset dictionary).
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|" + b"|".join(re.escape(bytes([a, b])) for a in range(0x08, 0x80, 0x10) for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32))
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 BREAK = re.compile(r"[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+")  # also the escaped line ends of JSON
 WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
@@ -104,7 +110,7 @@ def _unescape(layer: Layer, start: int, end: int, pattern: re.Pattern) -> Layer:
     return Layer("".join(out), lo, hi)
 
 
-def _inflate(raw: bytes, limit: int) -> tuple[bytes | None, int]:
+def _inflate(raw: bytes | memoryview, limit: int) -> tuple[bytes | None, int]:
     """Decompressed bytes, raw itself if it isn't compressed, None if it would exceed the limit; and how many bytes of raw hold them."""
     makers = []
     if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
@@ -128,12 +134,24 @@ def _inflate(raw: bytes, limit: int) -> tuple[bytes | None, int]:
 
 def _printable(raw: bytes) -> str | None:
     try:
-        text = raw.decode("utf-8")
+        text = bytes(raw).decode("utf-8")
     except UnicodeDecodeError:
         return None
     return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text) else None
 
 
+def _unpack(raw: bytes | memoryview, limit: int) -> tuple[bytes | memoryview | None, int]:
+    """raw after all compressed layers at its start (None: it would exceed the limit), and how many bytes of raw they take; 0 if there are none."""
+    got, packed = _inflate(raw, limit)
+    if got is raw:
+        return raw, 0
+    seen = {hashlib.sha256(raw[:packed]).digest()}
+    while got is not None and (h := hashlib.sha256(got).digest()) not in seen:  # some hold themselves
+        seen.add(h)
+        got, _ = _inflate(got, limit)
+    return got, packed
+
+
 def _from_base64(piece: str, limit: int) -> tuple[str | None, int, bool]:
     """Text inside a base64 stretch (None: there is none), how many bytes of it are compressed, and whether it was too large."""
     core = piece.rstrip("=").replace("-", "+").replace("_", "/")
@@ -143,18 +161,44 @@ def _from_base64(piece: str, limit: int) -> tuple[str | None, int, bool]:
         raw = base64.b64decode(core + "=" * (-len(core) % 4))
     except (binascii.Error, ValueError):
         return None, 0, False
-    seen, packed = set(), 0
-    while (h := hashlib.sha256(raw).digest()) not in seen:  # compressed layers, some of which hold themselves
-        seen.add(h)
-        got, used = _inflate(raw, limit)
-        if got is not raw:
-            packed = packed or used
-        if got is None:
-            return None, packed, True
-        if got is raw:
-            break
-        raw = got
-    return _printable(raw), packed, False
+    got, packed = _unpack(raw, limit)
+    return (None if got is None else _printable(got)), packed, got is None
+
+
+def _at(text: str, lo: int, hi: int) -> Layer:
+    """Text all of which maps to one span."""
+    return Layer(text, np.broadcast_to(lo, len(text)), np.broadcast_to(hi, len(text)))
+
+
+def _streams(raw: bytes, limit: int) -> Iterator[tuple[int, int, bytes | None]]:
+    """Compressed data anywhere in raw: start, end, and what it holds (None: too much)."""
+    at, view = 0, memoryview(raw)
+    while m := MAGIC.search(raw, at):
+        got, packed = _unpack(view[m.start() :], limit)
+        at = m.start() + max(packed, 1)
+        if packed:
+            yield m.start(), at, got
+
+
+def _unwrap_bytes(layer: Layer, start: int, end: int, pattern: re.Pattern, limit: int) -> Iterator[Layer | tuple[int, int]]:
+    """Compressed data among the bytes of one line under escapes."""
+    raw, at = bytearray(), []
+    for m in (PERCENT_BYTE if pattern is PERCENT else ESCAPE_BYTE).finditer(layer.text, start, end):
+        at.append(m.start())
+        if m.group(1):
+            raw.append(int(m.group(1), 16))
+        elif pattern is ESCAPE and m.group(2):
+            raw.append(SHORT.get(m.group(2), ord(m.group(2))))
+        else:
+            raw.append(min(ord(m.group()), 0xFF))
+    at.append(end)
+    for data in {bytes(raw), bytes(raw).replace(b"+", b" ")} if pattern is PERCENT else (bytes(raw),):  # forms write a space as a plus sign
+        for a, b, got in _streams(data, limit):
+            lo, hi = layer.span(at[a], at[b])
+            if got is None:
+                yield lo, hi
+            elif (text := _printable(got)) is not None:
+                yield _at(text, lo, hi)
 
 
 def _by_lines(text: str, layer: Layer, lines: list[tuple[int, int]]) -> Layer:
@@ -183,7 +227,7 @@ def _unwrap_lines(layer: Layer, start: int, end: int, limit: int) -> Iterator[La
         if large:
             yield lo, hi
         elif got is not None:
-            yield Layer(got, [lo] * len(got), [hi] * len(got)) if packed else _by_lines(got, layer, own)
+            yield _at(got, lo, hi) if packed else _by_lines(got, layer, own)
         if large or got is not None:
             break
 
@@ -194,16 +238,17 @@ def unwrap(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int]]:
     if "%" in text:
         for a, b in _lines_with(PERCENT, text):
             yield _unescape(layer, a, b, PERCENT)
+            yield from _unwrap_bytes(layer, a, b, PERCENT, limit)
     if "\\" in text:
         for a, b in _lines_with(ESCAPE, text):
             yield _unescape(layer, a, b, ESCAPE)
+            yield from _unwrap_bytes(layer, a, b, ESCAPE, limit)
     for m in BASE64.finditer(text):
         got, _, large = _from_base64(m.group(), limit)
         if large:
             yield layer.span(m.start(), m.end())
         elif got is not None:
-            lo, hi = layer.span(m.start(), m.end())
-            yield Layer(got, [lo] * len(got), [hi] * len(got))
+            yield _at(got, *layer.span(m.start(), m.end()))
     for m in WRAPPED.finditer(text):
         yield from _unwrap_lines(layer, m.start(), m.end(), limit)
 

@@ -1,6 +1,9 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import json
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -81,3 +84,13 @@ def test_wrapped_base64():
     text = "\n\t".join(lines)
     assert {x for x in found(f"head:\n{text}\n") if x[0] == "decoded_assign"} >= {("decoded_assign", "\n\t".join(lines[:2])), ("decoded_assign", lines[2])}
     assert found("a list\nof words\nand-more\n" * 50) == set()
+
+
+def test_compressed_under_escapes():
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        raw = pack(b"a note: password=hunter2hunter2, and " + b"more of it " * 3)
+        forms = [urllib.parse.quote(raw), urllib.parse.quote_plus(raw), "".join(f"%{c:02X}" for c in raw), "".join(f"\\x{c:02x}" for c in raw), repr(raw)[2:-1], json.dumps(raw.decode("latin-1"))[1:-1]]
+        for form in forms:
+            assert ("decoded_assign", form) in found(f"data={form} end"), (pack, form)
+        twice = urllib.parse.quote(base64.b64encode(urllib.parse.quote(raw).encode()))
+        assert {k for k, _ in found(twice)} == {"decoded_assign"}
