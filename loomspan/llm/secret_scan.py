@@ -3,7 +3,8 @@
 The text itself is scanned with the base patterns. Then every encoded stretch (percent escapes,
 \\u and \\x escapes, base64, compressed bytes inside any of these) is unwrapped into a new layer, which is
 scanned and unwrapped in turn until nothing new appears. Base64 may be wrapped: consecutive lines of it, indented
-or not, are also read as one stretch; what is decoded from it maps to the lines that hold it. A layer whose content was already seen for
+or not, are also read as one stretch; what is decoded from it maps to the lines that hold it. A stretch that isn't
+text from its first character on is tried at all four alignments, as other characters may touch it; bytes that aren't UTF-8 are read as Latin-1. A layer whose content was already seen for
 the same stretch ends that branch (cycle detection). Each layer carries, for each of its characters,
 the start and end in the original text, so that a secret found deep inside maps to the span that holds it.
 
@@ -14,7 +15,6 @@ A stretch that would inflate beyond `inflate_limit` bytes is itself reported, as
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -42,7 +42,7 @@ ESCAPE_BYTE = re.compile(r"\\(?:u00|x)([0-9A-Fa-f]{2})|\\([abfnrtv0\\'\"/])|([\s
 SHORT = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
 #: Starts of gzip, bzip2, xz and zlib data (without a preset dictionary).
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|" + b"|".join(re.escape(bytes([a, b])) for a in range(0x08, 0x80, 0x10) for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32))
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")  # 14 bytes, the shortest secret, take 19
 BREAK = re.compile(r"[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+")  # also the escaped line ends of JSON
 WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
 INFLATE_LIMIT = 64 << 20
@@ -132,12 +132,13 @@ def _inflate(raw: bytes | memoryview, limit: int) -> tuple[bytes | None, int]:
     return raw, len(raw)
 
 
-def _printable(raw: bytes) -> str | None:
+def _text(raw: bytes) -> tuple[str, bool]:
+    """Bytes as text (Latin-1 if they aren't UTF-8), and whether they look like text."""
     try:
-        text = bytes(raw).decode("utf-8")
+        text = raw.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text) else None
+        return raw.decode("latin-1"), False
+    return text, bool(text) and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text)
 
 
 def _unpack(raw: bytes | memoryview, limit: int) -> tuple[bytes | memoryview | None, int]:
@@ -152,19 +153,6 @@ def _unpack(raw: bytes | memoryview, limit: int) -> tuple[bytes | memoryview | N
     return got, packed
 
 
-def _from_base64(piece: str, limit: int) -> tuple[str | None, int, bool]:
-    """Text inside a base64 stretch (None: there is none), how many bytes of it are compressed, and whether it was too large."""
-    core = piece.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(core) % 4 == 1:
-        return None, 0, False
-    try:
-        raw = base64.b64decode(core + "=" * (-len(core) % 4))
-    except (binascii.Error, ValueError):
-        return None, 0, False
-    got, packed = _unpack(raw, limit)
-    return (None if got is None else _printable(got)), packed, got is None
-
-
 def _at(text: str, lo: int, hi: int) -> Layer:
     """Text all of which maps to one span."""
     return Layer(text, np.broadcast_to(lo, len(text)), np.broadcast_to(hi, len(text)))
@@ -180,6 +168,21 @@ def _streams(raw: bytes, limit: int) -> Iterator[tuple[int, int, bytes | None]]:
             yield m.start(), at, got
 
 
+def _from_base64(piece: str, limit: int) -> Iterator[tuple[int, int, int, bytes | None, bool]]:
+    """What a base64 stretch holds: alignment, start and end within the bytes at that alignment, content (None: too much), and whether it was compressed."""
+    core = piece.rstrip("=").replace("-", "+").replace("_", "/")
+    for shift in range(4):
+        part = core[shift : len(core) - ((len(core) - shift) % 4 == 1)]
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        done = _text(raw)[1]
+        for a, b, got in _streams(raw, limit):
+            yield shift, a, b, got, True
+            done = done or (a == 0 and b == len(raw))
+        yield shift, 0, len(raw), raw, False
+        if done:
+            break
+
+
 def _unwrap_bytes(layer: Layer, start: int, end: int, pattern: re.Pattern, limit: int) -> Iterator[Layer | tuple[int, int]]:
     """Compressed data among the bytes of one line under escapes."""
     raw, at = bytearray(), []
@@ -197,39 +200,29 @@ def _unwrap_bytes(layer: Layer, start: int, end: int, pattern: re.Pattern, limit
             lo, hi = layer.span(at[a], at[b])
             if got is None:
                 yield lo, hi
-            elif (text := _printable(got)) is not None:
-                yield _at(text, lo, hi)
-
-
-def _by_lines(text: str, layer: Layer, lines: list[tuple[int, int]]) -> Layer:
-    """Text decoded from base64 over several lines: each character maps to the line or lines that its bytes stand in."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    starts = np.flatnonzero((data & 0xC0) != 0x80)
-    ends = np.append(starts[1:], len(data))
-    spans = np.array([layer.span(a, b) for a, b in lines], np.int64)
-    line = np.repeat(np.arange(len(lines)), [b - a for a, b in lines])
-    return Layer(text, spans[line[starts * 8 // 6], 0], spans[line[(ends * 8 - 1) // 6], 1])
+            else:
+                yield _at(_text(bytes(got))[0], lo, hi)
 
 
 def _unwrap_lines(layer: Layer, start: int, end: int, limit: int) -> Iterator[Layer | tuple[int, int]]:
-    """A base64 stretch over several lines. Words that end the line before it or begin the line after it may have joined it."""
+    """A base64 stretch over several lines: each character maps to the line or lines that its bytes stand in."""
     edges = [start, *(x for m in BREAK.finditer(layer.text, start, end) for x in m.span()), end]
     lines = list(zip(edges[::2], edges[1::2], strict=True))
-    for a, b in ((0, 0), (1, 0), (0, 1), (1, 1)):
-        own = lines[a : len(lines) - b]
-        piece = "".join([layer.text[x:y] for x, y in own])
-        if len(own) < 2 or len(piece) < 20:
+    piece = "".join([layer.text[a:b] for a, b in lines])
+    if len(piece) < 19:
+        return
+    spans = np.array([layer.span(a, b) for a, b in lines], np.int64)
+    line = np.repeat(np.arange(len(lines)), [b - a for a, b in lines])
+    for shift, a, b, got, packed in _from_base64(piece, limit):
+        if packed:
+            lo, hi = int(spans[line[shift + a * 8 // 6], 0]), int(spans[line[shift + (b * 8 - 1) // 6], 1])
+            yield (lo, hi) if got is None else _at(_text(bytes(got))[0], lo, hi)
             continue
-        got, packed, large = _from_base64(piece, limit)
-        ends = np.cumsum([y - x for x, y in own])
-        last = int(np.searchsorted(ends, (packed * 8 - 1) // 6, side="right")) if packed else len(own) - 1
-        lo, hi = layer.span(own[0][0], own[min(last, len(own) - 1)][1])
-        if large:
-            yield lo, hi
-        elif got is not None:
-            yield _at(got, lo, hi) if packed else _by_lines(got, layer, own)
-        if large or got is not None:
-            break
+        text, _ = _text(got)
+        data = np.frombuffer(got, np.uint8)
+        starts = np.arange(len(data)) if len(text) == len(data) else np.flatnonzero((data & 0xC0) != 0x80)
+        ends = np.append(starts[1:], len(data))
+        yield Layer(text, spans[line[shift + starts * 8 // 6], 0], spans[line[shift + (ends * 8 - 1) // 6], 1])
 
 
 def unwrap(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int]]:
@@ -244,11 +237,9 @@ def unwrap(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int]]:
             yield _unescape(layer, a, b, ESCAPE)
             yield from _unwrap_bytes(layer, a, b, ESCAPE, limit)
     for m in BASE64.finditer(text):
-        got, _, large = _from_base64(m.group(), limit)
-        if large:
-            yield layer.span(m.start(), m.end())
-        elif got is not None:
-            yield _at(got, *layer.span(m.start(), m.end()))
+        lo, hi = layer.span(m.start(), m.end())
+        for _, _, _, got, _ in _from_base64(m.group(), limit):
+            yield (lo, hi) if got is None else _at(_text(bytes(got))[0], lo, hi)
     for m in WRAPPED.finditer(text):
         yield from _unwrap_lines(layer, m.start(), m.end(), limit)
 

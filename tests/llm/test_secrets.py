@@ -94,3 +94,19 @@ def test_compressed_under_escapes():
             assert ("decoded_assign", form) in found(f"data={form} end"), (pack, form)
         twice = urllib.parse.quote(base64.b64encode(urllib.parse.quote(raw).encode()))
         assert {k for k, _ in found(twice)} == {"decoded_assign"}
+
+
+def test_base64_at_any_alignment():
+    least = base64.b64encode(b"token=abcdefgh").decode()
+    assert least == least[:19] + "=" and ("decoded_assign", least) in found(f"see {least} there") and ("decoded_assign", least[:19]) in found(least[:19])
+    for secret in (b"password=hunter2hunter2", gzip.compress(b"password=hunter2hunter2")):
+        b64 = base64.b64encode(secret).decode().rstrip("=")
+        for head in ("", "a", "ab", "abc", "/v1/img-", "x_"):
+            for tail in ("", "Z", "YZ", "/end"):
+                assert ("decoded_assign", head + b64 + tail) in found(f"see {head}{b64}{tail} there"), (head, tail)
+    for around in (b"caf\xe9 ", bytes(range(128, 256)), b"\0" * 50):
+        held = around + b" secret: abcdefgh1234 " + around
+        for raw in (held, zlib.compress(held)):
+            b64 = base64.b64encode(raw).decode()
+            assert ("decoded_assign", b64) in found(b64)
+    assert found("https://example.org/a_long/path-with/many-parts/of_words/index " * 20 + "Donaudampfschifffahrtsgesellschaft") == set()
