@@ -9,7 +9,8 @@ the same stretch ends that branch (cycle detection). Each layer carries, for eac
 the start and end in the original text, so that a secret found deep inside maps to the span that holds it.
 
 Null and empty texts have no spans. Offsets are code points, end exclusive. Whole texts are scanned.
-A stretch that would inflate beyond `inflate_limit` bytes is itself reported, as kind `oversize`.
+A stretch that would inflate beyond `inflate_limit` bytes is itself reported, as kind `oversize`, and is inflated and scanned
+in overlapping chunks. A chunk ends before a word or a base64 stretch that goes on, unless that alone is longer than `inflate_limit`.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,10 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")  # 14 bytes, the shortest sec
 BREAK = re.compile(r"[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+")  # also the escaped line ends of JSON
 WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
 INFLATE_LIMIT = 64 << 20
+CHUNK = 4 << 20  #: bytes of an oversize stretch that are inflated at once
+OVERLAP = 64 << 10  #: bytes of a chunk that the next one repeats
+#: The last word of reversed bytes, with the lines of one word before it.
+LAST_WORD = re.compile(rb"\S*+(?:[ \t]*+\n\r?[ \t]*+\S++)*+")
 
 Span = tuple[str, int, int]
 
@@ -110,20 +116,28 @@ def _unescape(layer: Layer, start: int, end: int, pattern: re.Pattern) -> Layer:
     return Layer("".join(out), lo, hi)
 
 
-def _inflate(raw: bytes | memoryview, limit: int) -> tuple[bytes | None, int]:
-    """Decompressed bytes, raw itself if it isn't compressed, None if it would exceed the limit; and how many bytes of raw hold them."""
-    makers = []
+def _makers(raw: bytes | memoryview, limit: int) -> list[Callable[[], object]]:
+    """Decompressors for what raw starts with."""
+    makers: list[Callable[[], object]] = []
     if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
         makers.append(lambda: zlib.decompressobj(47))
     if raw[:3] == b"BZh":
         makers.append(bz2.BZ2Decompressor)
     if raw[:6] == b"\xfd7zXZ\0":
-        makers.append(lambda: lzma.LZMADecompressor(memlimit=limit * 4))
-    for make in makers:
+        makers.append(lambda: lzma.LZMADecompressor(memlimit=max(limit, INFLATE_LIMIT) * 4))
+    return makers
+
+
+BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)
+
+
+def _inflate(raw: bytes | memoryview, limit: int) -> tuple[bytes | memoryview | None, int]:
+    """Decompressed bytes, raw itself if it isn't compressed, None if it would exceed the limit; and how many bytes of raw hold them."""
+    for make in _makers(raw, limit):
         try:
             d = make()
             got = d.decompress(raw, limit + 1)
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+        except BROKEN:
             continue
         if len(got) > limit:
             return None, len(raw)
@@ -132,17 +146,77 @@ def _inflate(raw: bytes | memoryview, limit: int) -> tuple[bytes | None, int]:
     return raw, len(raw)
 
 
+def _inflate_parts(source: Iterator[bytes], d: object, size: int) -> Iterator[bytes]:
+    """What source inflates to, in parts of at most `size` bytes. Where it breaks off, what came before stands."""
+    for data in source:
+        more = True
+        while more and not d.eof:
+            try:
+                got = d.decompress(data, size)
+            except BROKEN:
+                return
+            if got:
+                yield got
+            if hasattr(d, "unconsumed_tail"):
+                data = d.unconsumed_tail
+                more = bool(data) or len(got) == size
+            else:
+                data, more = b"", not d.needs_input
+        if d.eof:
+            return
+
+
+def _all_layers(source: Iterator[bytes], size: int, limit: int, seen: frozenset[bytes] = frozenset()) -> Iterator[bytes]:
+    """Parts of source after all compressed layers at its start. A layer that starts like one above it, over a whole part, ends the branch."""
+    first = b""
+    for part in source:
+        first += part
+        if len(first) >= size:
+            break
+    h = hashlib.sha256(first).digest()
+    if h in seen:
+        return
+    for make in _makers(first, limit):
+        try:
+            make().decompress(first, size)
+        except BROKEN:
+            continue
+        yield from _all_layers(_inflate_parts((x[i : i + OVERLAP] for x in chain([first], source) for i in range(0, len(x), OVERLAP)), make(), size), size, limit, seen | {h})
+        return
+    if first:
+        yield first
+    yield from source
+
+
+def _chunks(raw: bytes | memoryview, limit: int) -> Iterator[bytes]:
+    """What oversize raw holds, in overlapping chunks; memory is bounded by the limit and a part."""
+    size = max(1, min(CHUNK, limit))
+    overlap = min(OVERLAP, size // 4)
+    held, new = b"", 0
+    for part in _all_layers(iter([bytes(raw)]), size, limit):
+        held += part
+        new += len(part)
+        cut = len(held) - LAST_WORD.match(held[::-1]).end()
+        if len(held) >= max(limit, 2 * size) or len(held) - new < cut:
+            whole = cut if len(held) - new < cut else len(held)
+            yield held[:whole]
+            new = len(held) - whole
+            held = held[max(0, whole - overlap) :]
+    if new:
+        yield held
+
+
 def _text(raw: bytes) -> tuple[str, bool]:
     """Bytes as text (Latin-1 if they aren't UTF-8), and whether they look like text."""
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return raw.decode("latin-1"), False
-    return text, bool(text) and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text)
+    return text, bool(text) and sum(map(str.isprintable, text)) + sum(map(text.count, "\t\r\n")) >= 0.95 * len(text)
 
 
 def _unpack(raw: bytes | memoryview, limit: int) -> tuple[bytes | memoryview | None, int]:
-    """raw after all compressed layers at its start (None: it would exceed the limit), and how many bytes of raw they take; 0 if there are none."""
+    """raw after all compressed layers at its start (None: one would exceed the limit), and how many bytes of raw they take; 0 if there are none."""
     got, packed = _inflate(raw, limit)
     if got is raw:
         return raw, 0
@@ -159,26 +233,31 @@ def _at(text: str, lo: int, hi: int) -> Layer:
 
 
 def _streams(raw: bytes, limit: int) -> Iterator[tuple[int, int, bytes | None]]:
-    """Compressed data anywhere in raw: start, end, and what it holds (None: too much)."""
+    """Compressed data anywhere in raw: start, end, and what it holds. Where that is too much, None comes first and then each chunk."""
     at, view = 0, memoryview(raw)
     while m := MAGIC.search(raw, at):
         got, packed = _unpack(view[m.start() :], limit)
         at = m.start() + max(packed, 1)
         if packed:
             yield m.start(), at, got
+        if got is None:
+            for chunk in _chunks(view[m.start() :], limit):
+                yield m.start(), at, chunk
 
 
 def _from_base64(piece: str, limit: int) -> Iterator[tuple[int, int, int, bytes | None, bool]]:
-    """What a base64 stretch holds: alignment, start and end within the bytes at that alignment, content (None: too much), and whether it was compressed."""
+    """What a base64 stretch holds: alignment, start and end within the bytes at that alignment, content (None: too much, chunks follow), and whether it was compressed."""
     core = piece.rstrip("=").replace("-", "+").replace("_", "/")
     for shift in range(4):
         part = core[shift : len(core) - ((len(core) - shift) % 4 == 1)]
         raw = base64.b64decode(part + "=" * (-len(part) % 4))
-        done = _text(raw)[1]
+        done, rest = _text(raw)[1], bytearray(raw)
         for a, b, got in _streams(raw, limit):
             yield shift, a, b, got, True
+            rest[a:b] = bytes(b - a)  # compressed bytes themselves aren't text
             done = done or (a == 0 and b == len(raw))
-        yield shift, 0, len(raw), raw, False
+        if any(rest):
+            yield shift, 0, len(raw), bytes(rest), False
         if done:
             break
 
@@ -244,28 +323,30 @@ def unwrap(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int]]:
         yield from _unwrap_lines(layer, m.start(), m.end(), limit)
 
 
+def _key(layer: Layer) -> tuple[int, int, bytes]:
+    return *layer.span(0, len(layer.text)), hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest()
+
+
 def scan(text: str | None, inflate_limit: int = INFLATE_LIMIT) -> tuple[list[Span], list[Span]]:
     """Base spans of the text, and the spans that only decoding shows."""
     base = base_spans(text or "")
     if not text:
         return base, []
     extra: set[Span] = set()
-    work, seen = [Layer(text)], {(0, len(text), text)}
-    while work:
-        layer = work.pop()
-        if layer.lo is not None:
+    work, seen = [unwrap(Layer(text), inflate_limit)], {_key(Layer(text))}
+    while work:  # depth first, so that one layer of each depth is held
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+        elif isinstance(layer, tuple):
+            extra.add(("oversize", *layer))
+        elif layer.text and (key := _key(layer)) not in seen:
+            seen.add(key)
             for kind, a, b in base_spans(layer.text):
                 lo, hi = layer.span(a, b)
                 if not any(k == kind and s <= lo and hi <= e for k, s, e in base):
                     extra.add((f"decoded_{kind}", lo, hi))
-        for below in unwrap(layer, inflate_limit):
-            if isinstance(below, tuple):
-                extra.add(("oversize", *below))
-            elif below.text:
-                key = (*below.span(0, len(below.text)), below.text)
-                if key not in seen:
-                    seen.add(key)
-                    work.append(below)
+            work.append(unwrap(layer, inflate_limit))
     return base, list(extra)
 
 

@@ -110,3 +110,19 @@ def test_base64_at_any_alignment():
             b64 = base64.b64encode(raw).decode()
             assert ("decoded_assign", b64) in found(b64)
     assert found("https://example.org/a_long/path-with/many-parts/of_words/index " * 20 + "Donaudampfschifffahrtsgesellschaft") == set()
+
+
+def test_oversize_layers_are_scanned():
+    inner = base64.encodebytes(gzip.compress(b"secret=inside-a-packed-layer " + bytes(range(256)) * 9)).decode()
+    held = ("some words\n" * 3000 + "password=hunter2hunter2 " + "other words " * 3000 + KEY + "\n" + inner + "end of it " * 3000).encode()
+    for pack in (gzip.compress, bz2.compress, lzma.compress, lambda x: zlib.compress(gzip.compress(x, 0))):
+        b64 = base64.b64encode(pack(held)).decode()
+        got = {k for k, a, b in s.scan(b64, inflate_limit=9_000)[1] if b64[a:b] == b64}
+        assert got == {"oversize", "decoded_assign", "decoded_access"}, pack
+    for at in range(8_900, 9_100, 7):
+        b64 = base64.b64encode(zlib.compress(b"x" * at + b" token:abcdefgh " + b"y" * 20_000)).decode()
+        assert ("decoded_assign", 0, len(b64)) in s.scan(b64, inflate_limit=9_000)[1]
+    packed = gzip.compress(held)
+    for limit in (9_000, 20_000):
+        chunks = [bytes(c) for c in s._chunks(packed, limit)]
+        assert len(chunks) > 1 and max(map(len, chunks)) <= 3 * limit and any(inner.encode() in c for c in chunks)
