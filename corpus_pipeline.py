@@ -28,8 +28,8 @@ KEY = "loomspan_key"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key: the id, or a hash of the text where it is null."""
-    return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    """docs with a key of its own for each row: a row number, stored because a second run might deal the rows otherwise."""
+    return durable(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
 
 
 def _join_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -38,16 +38,15 @@ def _join_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the group's id, its least key.
-    Rows with one key are one document, of which one row stays."""
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the row with the least id; nulls come last, and one row of several with that id
+    stays. Rows are told apart by number, so equal ids or null ids alone make no copies, and texts without words stay."""
     keyed = _keyed(docs)
     groups = durable(jaccard_join.similar(keyed.select(F.col(KEY).alias("doc_id"), "text"), k=5, num=80, den=100).select(F.col("doc_id").alias(KEY), "component_id"), "groups")
-    gone = durable(groups.where(f"component_id <> {KEY}").select(KEY).distinct(), "gone")
-    kept = _join_ids(keyed, gone, "left_anti")
-    again = durable(groups.groupBy(KEY).count().where("count > 1").select(KEY), "again")
-    if not again.isEmpty():
-        kept = _join_ids(kept, again, "left_anti").unionByName(_join_ids(kept, again, "left_semi").dropDuplicates([KEY]))
-    return kept.select(*docs.columns)
+    several = groups.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = durable(groups.join(several, "component_id").join(keyed.select(KEY, "doc_id"), KEY), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))[KEY].alias("first"))
+    gone = durable(members.join(first, "component_id").where(f"first <> {KEY}").select(KEY), "gone")
+    return _join_ids(keyed, gone, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,19 @@ def test_null_ids_and_repeats(spark):
     assert len(got) == len(set(got)) and (None, "a new text") in got and sum(t == text for _, t in got) == 1
     assert pipeline.drop_contaminated(spark, docs, SF).count() == docs.count()
     assert pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
+
+
+def test_rows_are_told_apart_by_number(spark):
+    texts = [t for _, t in documents(spark) if t and len(t) > 200][:6]
+    rows = [(42, texts[0]), (None, None), (None, ""), (None, ""), (7, texts[1]), (7, texts[2]), (8, texts[2]), (9, None), (9, None), (None, texts[0])]
+    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    got = [(r["doc_id"], r["text"]) for r in pipeline.drop_near_copies(spark, docs, SF).collect()]
+    want = [(42, texts[0]), (None, None), (None, ""), (None, ""), (7, texts[1]), (7, texts[2]), (9, None), (9, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    item = spark.createDataFrame([(1, texts[2])], "item_id long, text string")
+    real, pipeline.read_table = pipeline.read_table, lambda *_: item
+    try:
+        got = [(r["doc_id"], r["text"]) for r in pipeline.drop_contaminated(spark, docs, SF).collect()]
+    finally:
+        pipeline.read_table = real
+    assert sorted(got, key=str) == sorted([r for r in rows if r[1] != texts[2]], key=str)
