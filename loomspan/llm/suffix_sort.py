@@ -1,11 +1,11 @@
-"""Suffix order of byte strings by hash comparison.
+"""Suffix order of strings of bytes, or of other letters in 64 bits, by hash comparison.
 
 Prefix polynomial hashes modulo 2^64 over random byte values give the hash of any substring in two look-ups; a
 binary search over lengths finds how far two suffixes agree (their common extension), so comparing two suffixes takes
 logarithmic time whatever their length. A bottom-up mergesort uses that comparison; each merge finds the rank of all elements in
 their sibling run at once, so every step is a numpy operation over all elements.
 
-Hash equality is not trusted where it decides a result: `same_bytes` compares the strings themselves.
+Hash equality is not trusted where it decides a result: `same_letters` compares the strings themselves.
 """
 
 from __future__ import annotations
@@ -33,14 +33,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PrefixHash:
-    """Substring hashes of a byte buffer; `place` is each byte's exponent (its place in its own piece), by default its index."""
+    """Substring hashes of a buffer of letters; `place` is each letter's exponent (its place in its own piece), by default its index."""
 
     def __init__(self, data: np.ndarray, place: np.ndarray | None = None):
         n = len(data)
         up, self.down = powers((int(place.max()) if place is not None and n else n) + 2)
         self.place = place
         with np.errstate(over="ignore"):
-            v = VALUES[data]
+            v = VALUES[data] if data.dtype == np.uint8 else mix64(data)
             v *= up[:n] if place is None else up[place]
             self.sums = np.zeros(n + 1, np.uint64)
             np.cumsum(v, out=self.sums[1:])
@@ -104,7 +104,7 @@ def suffix_sort(h: PrefixHash, data: np.ndarray, start: np.ndarray, end: np.ndar
     return order
 
 
-def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: int, rows: int = 4096) -> np.ndarray:
+def same_letters(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: int, rows: int = 4096) -> np.ndarray:
     """Whether data[a:a + size] equals data[b:b + size], for each pair."""
     out, span = np.ones(len(a), bool), np.arange(size)
     for i in range(0, len(a), rows):

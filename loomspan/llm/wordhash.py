@@ -35,18 +35,38 @@ class Words:
 
 
 def split(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, chunk: int = 1 << 19) -> Words:
-    """Words of all texts of a buffer; A-Z count as lower case. `inside` says which bytes belong to words. Texts are handled about `chunk` bytes at a time, as
-    each byte takes some fifty while it is hashed."""
-    if len(data) <= chunk or len(offsets) <= 2:
+    """Words of all texts of a buffer; A-Z count as lower case. `inside` says which bytes belong to words. About `chunk` bytes are handled at a time, as each takes
+    some fifty while it is hashed; a longer text is cut after a byte that belongs to no word."""
+    n = len(data)
+    if n <= chunk:
         return _split(data, offsets, inside)
-    parts, at = [], 0
-    while at < len(offsets) - 1:
-        upto = max(int(np.searchsorted(offsets, offsets[at] + chunk, side="right")) - 1, at + 1)
-        base = int(offsets[at])
-        w = _split(data[base : offsets[upto]], offsets[at : upto + 1] - base, inside)
-        parts.append(Words(w.hashes, w.owner + at, w.start + base, w.end + base, w.counts))
+    parts, counts, at = [], np.zeros(len(offsets) - 1, np.int64), 0
+    while at < n:
+        upto = _cut(data, offsets, inside, at, min(at + chunk, n))
+        first, last = int(np.searchsorted(offsets, at, side="right")) - 1, int(np.searchsorted(offsets, upto))
+        w = _split(data[at:upto], np.clip(offsets[first : last + 1], at, upto) - at, inside)
+        counts[first:last] += w.counts
+        parts.append((w.hashes, w.owner + first, w.start + at, w.end + at))
         at = upto
-    return Words(*(np.concatenate([getattr(w, f) for w in parts]) for f in ("hashes", "owner", "start", "end", "counts")))
+    return Words(*(np.concatenate(x) for x in zip(*parts, strict=True)), counts)
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, at: int, upto: int) -> int:
+    """The last place after `at` and up to `upto` where no word goes on; the first beyond it if there is none."""
+    if upto == len(data):
+        return upto
+    edge = int(offsets[np.searchsorted(offsets, upto, side="right") - 1])
+    outside = np.flatnonzero(~inside[LOWER[data[max(at, edge) : upto]]])
+    if len(outside):
+        return max(at, edge) + int(outside[-1]) + 1
+    if edge > at:
+        return edge
+    end = int(offsets[np.searchsorted(offsets, upto, side="right")])
+    for i in range(upto, end, 1 << 16):
+        outside = np.flatnonzero(~inside[LOWER[data[i : min(i + (1 << 16), end)]]])
+        if len(outside):
+            return i + int(outside[0]) + 1
+    return end
 
 
 def _split(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:

@@ -30,11 +30,49 @@ def planted():
     return docs + docs[:10] + [None, "", "a" * 3000, "ab" * 700, "De " * 60 + text(30), text(50) * 3, passages[3] + text(4) + passages[3]]
 
 
-@pytest.mark.parametrize(("length", "gram", "hot"), [(400, 200, 6000), (64, 32, 3), (400, 200, 4)])
-def test_equals_brute_force(spark, length, gram, hot):
+@pytest.mark.parametrize(("length", "gram", "run", "run_gram", "hot"), [(400, 200, 50, 12, 6000), (64, 32, 12, 4, 3), (400, 200, 20, 5, 4)])
+@pytest.mark.parametrize(("anchors", "deal"), [(1_000_000, 2000), (60, 20)])
+def test_equals_brute_force(spark, length, gram, run, run_gram, hot, anchors, deal):
     docs = planted()
-    got = {r["doc_id"]: tuple(r)[1:] for r in s.remove_repeats(frame(spark, list(enumerate(docs))), length, gram, hot).collect()}
-    assert [got[i] for i in range(len(docs))] == s.brute_force(docs, length)
+    found = s.remove_repeats(frame(spark, list(enumerate(docs))), s.Unit(length, gram), s.Unit(run, run_gram, words=True), hot, anchors, deal)
+    got = {r["doc_id"]: tuple(r)[1:] for r in found.collect()}
+    assert [got[i] for i in range(len(docs))] == s.brute_force(docs, length, run)
+
+
+def test_long_texts_in_parts(spark, monkeypatch):
+    """Texts of many parts, whose anchors' stretches the part ends cut, give the same; so do tasks that send in several goes."""
+    monkeypatch.setattr(s, "SLICE", 3000)
+    monkeypatch.setattr(s, "FLUSH", 100)
+    monkeypatch.setattr(s.parts_of, "__defaults__", (700,))
+    random.seed(8)
+    same = text(1500)
+    docs = [text(2000), same + text(40), text(9) + same[:9000] + text(700) + same[500:2000], text(30) * 9, *planted()[:20]]
+    units = (s.BYTES, s.PASSAGES)
+    held = [(0, i, t.encode()) for i, t in enumerate(docs)]
+    import hashlib
+
+    import pyarrow as pa
+
+    keys = [hashlib.sha256(raw).digest()[:16] for _, _, raw in held]
+    rows = list(s._anchor_rows(units, 5)(iter([pa.record_batch({"key": pa.array(keys, pa.binary()), "text": docs})])))
+    table = pa.Table.from_batches(rows)
+    parts = [s._sort_out(units, 4)(table.filter(pa.array([b == x for b in table["bucket"].to_pylist()]))) for x in sorted(set(table["bucket"].to_pylist()))]
+    found = pa.concat_tables(parts)
+    asked = [[{"unit": u, "pos": p, "send": q, "hot": h} for k, u, p, q, h in zip(*(found[c].to_pylist() for c in ("key", "unit", "pos", "send", "hot")), strict=True) if k == key] for key in keys]
+    around = pa.Table.from_batches(list(s._around_rows(units, 5)(iter([pa.record_batch({"key": pa.array(keys, pa.binary()), "text": docs, "asked": asked})]))))
+    kind = around["kind"].to_pylist()
+    spans = [found.select(["key", "unit", "start", "end"]), s._settle(units)(around.filter(pa.array([k == 0 for k in kind])))]
+    hot = around.filter(pa.array([k == 1 for k in kind]))
+    for u in (0, 1):
+        own = hot.filter(pa.array([x == u for x in hot["unit"].to_pylist()]))
+        if len(own):
+            spans.append(s._meet_hot(units)(own))
+    settled = around.filter(pa.array([k == 2 for k in kind])).select(["key", "unit", "refs", "places"]).rename_columns(["key", "unit", "start", "end"])
+    every = [r for t in [*spans, settled] for r in t.to_pylist()]
+    want = s.brute_force(docs)
+    for key, doc, (_, removed, _, _, words) in zip(keys, docs, want, strict=True):
+        own = [r for r in every if r["key"] == key]
+        assert (s._covered(own, 0, len(doc.encode())).sum(), s._covered(own, 1, len(doc.split())).sum()) == (removed, words)
 
 
 def test_odd_rows(spark):
@@ -45,6 +83,7 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert s.remove_repeats(frame(spark, [(1, "x")]).limit(0)).count() == 0
+    assert s.brute_force([]) == []
 
 
 @pytest.mark.parametrize("letters", [1, 2, 20])
