@@ -7,6 +7,8 @@ import argparse
 import sys
 from collections.abc import Sequence
 from pathlib import Path
+from typing import NoReturn
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +20,22 @@ from .sources import records as rec
 from .sources.sinks import format_records, write_lines
 
 
+class _Parser(argparse.ArgumentParser):
+    def __init__(self, *args: object, code: int = 1, **options: object):
+        super().__init__(*args, **options)
+        self.code = code
+
+    def error(self, message: str) -> NoReturn:
+        self.print_usage(sys.stderr)
+        self.exit(self.code, f"{self.prog}: error: {message}\n")
+
+
 def arguments() -> argparse.ArgumentParser:
-    ap = argparse.ArgumentParser(prog="loomspan", description="Queries over GTF and GFF3 annotation files.")
+    ap = _Parser(prog="loomspan", description="Queries over GTF and GFF3 annotation files.")
     sub = ap.add_subparsers(dest="command", required=True)
 
     def add(name: str, text: str, *positional: str) -> argparse.ArgumentParser:
-        p = sub.add_parser(name, help=text)
+        p = sub.add_parser(name, help=text, code=2 if name == "ids" else 1)
         for x in positional:
             p.add_argument(x)
         p.add_argument("--out", help="write a folder of text files instead of stdout")
@@ -43,12 +55,14 @@ def arguments() -> argparse.ArgumentParser:
     return ap
 
 
-def _emit(lines: DataFrame, order: Sequence[str], out: str | None) -> None:
+def _emit(lines: DataFrame, order: Sequence[str], out: str | None) -> int:
+    """The number of lines, counted as they go out."""
     if out:
-        write_lines(lines, out, tuple(order))
-    else:
-        for r in lines.orderBy(*order).select("value").toLocalIterator():  # one partition at a time
-            print(r["value"])
+        return write_lines(lines, out, tuple(order))
+    n = 0
+    for n, r in enumerate(lines.orderBy(*order).select("value").toLocalIterator(), 1):  # one partition at a time
+        print(r["value"])
+    return n
 
 
 def _two(spark: SparkSession, file1: str, file2: str, newline: str) -> DataFrame:
@@ -56,35 +70,59 @@ def _two(spark: SparkSession, file1: str, file2: str, newline: str) -> DataFrame
     return one(1, file1).unionByName(one(2, file2))
 
 
+def label_of(given: str | None, path: str) -> str:
+    """The label of a file: its name, where none is given."""
+    return given or Path(path).name
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    a = arguments().parse_args(argv)
+    """Runs a command; the exit code. Wrong usage and files that can't be opened give 1, wrong usage of `ids` 2."""
+    try:
+        a = arguments().parse_args(argv)
+    except SystemExit as e:
+        return int(e.code or 0)
     try:
         region = select.parse_region(a.region) if a.command == "overlap" else None
     except ValueError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
     spark = spark or SparkSession.builder.appName("loomspan").getOrCreate()
-    say = lambda text: print(text, file=sys.stderr)
+    for f in (a.file1, a.file2) if "file1" in a else (a.file,):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
+            print(f"error: {f}: no such file", file=sys.stderr)
+            return 1
+    return _run(spark, a, region)
+
+
+def _say(text: str) -> None:
+    print(text, file=sys.stderr)
+
+
+def _warn(lines: DataFrame) -> None:
+    """A line for each line with too few fields."""
+    for r in rec.malformed(src.numbered(lines)).select("src", "path", "line_no").orderBy("src", "path", "line_no").toLocalIterator():
+        _say(f"warning: {unquote(urlparse(r['path']).path)}:{r['line_no']}: fewer than nine fields, left out")
+
+
+def _run(spark: SparkSession, a: argparse.Namespace, region: select.Region | None) -> int:
     if a.command in ("print", "filter", "attrs", "overlap"):
         table = src.table_lines(src.read_lines(spark, a.file))
         recs = rec.records(table)
-        file_order = [*src.ORDER]
         if a.command == "print":
+            _emit(format_records(recs), src.ORDER, a.out)
             d = rec.diagnostics(table).first()
             fmt = table.agg(F.max("format")).first()[0] or "gtf"
-            _emit(format_records(recs), file_order, a.out)
-            say(f"parsed={d['parsed']}  skipped={d['skipped']}  errors={d['errors']}  format={fmt}")
+            _say(f"parsed={d['parsed']}  skipped={d['skipped']}  errors={d['errors']}  format={fmt}")
             return int(d["errors"] > 0)
         if a.command == "filter":
-            hits = select.of_feature(recs, a.feature)
-            _emit(format_records(hits), file_order, a.out)
-            say(f"matched={hits.count()}  total={recs.count()}")
+            n = _emit(format_records(select.of_feature(recs, a.feature)), src.ORDER, a.out)
+            _say(f"matched={n}  total={recs.count()}")
         elif a.command == "attrs":
-            _emit(select.attribute(recs, a.key), file_order, a.out)
+            _emit(select.attribute(recs, a.key), src.ORDER, a.out)
         else:
-            hits = recs.where(select.in_region(region))
-            _emit(format_records(hits), [*select.POSITION, *file_order], a.out)
-            say(f"hits={hits.count()}  region={region.seqname}:{region.start}-{region.end}")
+            n = _emit(format_records(recs.where(select.in_region(region))), [*select.POSITION, *src.ORDER], a.out)
+            _say(f"hits={n}  region={region.seqname}:{region.start}-{region.end}")
     elif a.command == "stats":
         exons = transcripts.exons_of(rec.records(src.read_lines(spark, a.file)))
         print(reports.stats_report(statistics.exon_intron_stats(exons)), end="")
@@ -94,25 +132,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         n = {r["src"]: r["n_tx"] for r in counts.collect()}
         for s, f in ((1, a.file1), (2, a.file2)):
             if s not in n:
-                say(f"warning: no exon features in {f}")
-        say(f"Loaded {n.get(1, 0)} + {n.get(2, 0)} transcripts.")
+                _say(f"warning: no exon features in {f}")
+        _say(f"Loaded {n.get(1, 0)} + {n.get(2, 0)} transcripts.")
         print(reports.compare_report(counts, comparison.intron_counts(tx), a.file1, a.file2), end="")
         tx.unpersist()
     else:
         lines = _two(spark, a.file1, a.file2, "universal")
-        bad = rec.malformed(lines).count()
-        if bad:
-            say(f"warning: {bad} lines with fewer than nine fields left out")
+        _warn(lines)
         raw = rec.raw_records(lines)
-        label1, label2 = a.label1 or Path(a.file1).name, a.label2 or Path(a.file2).name
+        label1, label2 = label_of(a.label1, a.file1), label_of(a.label2, a.file2)
         sums = identifiers.summary(raw)
-        say(reports.id_report(sums, label1, label2))
+        _say(reports.id_report(sums, label1, label2))
         if a.output:
             kept = identifiers.merge(raw) if a.output == "merge" else identifiers.records_only_in(raw, 1 if a.output == "only-in-1" else 2)
-            _emit(kept, ["src", *src.ORDER], a.out)
-            say(f"Wrote {kept.count():,} records [{a.output}] -> {a.out or 'stdout'}")
+            n = _emit(kept, ["src", *src.ORDER], a.out)
+            _say(f"Wrote {n:,} records [{a.output}] -> {a.out or 'stdout'}")
         if a.venn:
-            say(f"Venn diagram saved -> {a.venn}" if reports.venn(sums, a.venn, label1, label2) else "Warning: the plot library is not installed; no Venn diagram")
+            _say(f"Venn diagram saved -> {a.venn}" if reports.venn(sums, a.venn, label1, label2) else "Warning: the plot library is not installed; no Venn diagram")
     return 0
 
 

@@ -23,9 +23,10 @@ def _keyed(pattern: str, key: str) -> str:
 
 def gtf_attributes(raw: Column) -> Column:
     """array<struct<key,value>> in order, duplicates kept: `key "value";` or `key value;`. A key without a value has ''; blanks and ; inside quotes belong to the value."""
-    part = lambda g: F.regexp_extract_all(raw, F.lit(GTF_PAIR), F.lit(g))
-    values = F.zip_with(part(2), part(3), lambda a, b: F.concat(a, b))
-    return F.zip_with(part(1), values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    pairs = F.regexp_extract_all(raw, F.lit(GTF_PAIR), F.lit(0))
+    # A key holds no blank, so a blank can part the two groups.
+    named = F.transform(pairs, lambda p: F.regexp_replace(p, f"(?s)^{GTF_PAIR}$", "$1 $2$3"))
+    return F.transform(named, lambda p: F.struct(F.substring_index(p, " ", 1).alias("key"), F.substr(p, F.instr(p, F.lit(" ")) + 1).alias("value")))
 
 
 def gff3_attributes(raw: Column) -> Column:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # What counts as the numeric start of a text.
 INTEGER = r"^[ \t\n\x0B\f\r]*([+-]?[0-9]+)"
 REAL = r"^[ \t\n\x0B\f\r]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
+HEXADECIMAL = r"^[ \t\n\x0B\f\r]*([+-]?)0[xX](?=\.?[0-9a-fA-F])([0-9a-fA-F]*)\.?([0-9a-fA-F]*)(?:[pP]([+-]?[0-9]+))?"
+
 
 def leading_long(text: Column) -> Column:
     """Leading integer, 0 where there is none (or it does not fit)."""
@@ -18,16 +18,35 @@ def leading_long(text: Column) -> Column:
 
 
 def leading_float(text: Column) -> Column:
-    """Leading real number as a 32-bit float, 0 where there is none; inf and nan are read too."""
+    """Leading real number as a 32-bit float, 0 where there is none; inf, nan and hexadecimal numbers are read too."""
     low = F.lower(F.trim(text))
+    part = lambda g: F.regexp_extract(text, HEXADECIMAL, g)
+    whole = lambda hexa: F.coalesce(F.conv(F.substring(hexa, 1, 15), 16, 10).cast("double"), F.lit(0.0)) * F.pow(F.lit(16.0), F.greatest(F.length(hexa) - 15, F.lit(0)))
+    after = F.substring(part(3), 1, 15)
+    size = (whole(part(2)) + F.coalesce(F.conv(after, 16, 10).cast("double"), F.lit(0.0)) / F.pow(F.lit(16.0), F.length(after))) * F.pow(F.lit(2.0), F.coalesce(part(4).try_cast("double"), F.lit(0.0)))
+    hexadecimal = F.when(text.rlike(HEXADECIMAL), F.when(part(1) == "-", -size).otherwise(size))
     special = F.when(low.rlike("^[+-]?nan"), F.lit(float("nan"))).when(low.rlike("^-inf"), F.lit(float("-inf"))).when(low.rlike("^[+]?inf"), F.lit(float("inf")))
-    return F.coalesce(special, F.regexp_extract(text, REAL, 1).try_cast("double"), F.lit(0.0)).cast("float")
-
-
-@F.pandas_udf(StringType())
-def six_digits(x: pd.Series) -> pd.Series:
-    """`%g` of each value: six significant digits, no trailing zeros, halves to even on the binary value; null stays null."""
-    return x.map(lambda v: "%g" % v, na_action="ignore").astype(object).where(x.notna(), None)
+    return F.coalesce(special, hexadecimal, F.regexp_extract(text, REAL, 1).try_cast("double"), F.lit(0.0)).cast("float")
+
+
+def six_digits(x: Column | str) -> Column:
+    """`%g` of a 32-bit float: six significant digits, no trailing zeros, halves to even; null stays null.
+
+    The JVM rounds halves up, from the shortest digits that tell a double from its neighbours. Those digits are the value itself where it is a half, so halves are
+    seen by them and cut off after an even digit."""
+    d = (F.col(x) if isinstance(x, str) else x).cast("double")
+    size = F.abs(d)
+    long, short = F.format_string("%.16e", size), F.format_string("%.5e", size)
+    half = long.rlike(r"^[0-9]\.[0-9]{4}[02468]50*e")
+    text = F.when(half, F.concat(F.substring(long, 1, 7), F.substring_index(long, "e", -1))).otherwise(F.concat(F.substring(short, 1, 7), F.substring_index(short, "e", -1)))
+    digits, exponent = F.concat(F.substring(text, 1, 1), F.substring(text, 3, 5)), F.substr(text, F.lit(8)).cast("int")
+    trim = lambda c: F.rtrim(c, F.lit("0"))
+    pointed = lambda whole, part: F.concat(whole, F.when(trim(part) == "", "").otherwise(F.concat(F.lit("."), trim(part))))
+    far = F.concat(pointed(F.substring(digits, 1, 1), F.substr(digits, F.lit(2))), F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    near = F.when(exponent >= 0, pointed(F.substr(digits, F.lit(1), exponent + 1), F.substr(digits, exponent + 2))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), trim(digits)))
+    number = F.when(size == 0, "0").when(size == float("inf"), "inf").when((exponent < -4) | (exponent >= 6), far).otherwise(near)
+    minus = (d < 0) | d.cast("string").startswith("-")
+    return F.when(d.isNull(), None).when(F.isnan(d), "nan").otherwise(F.concat(F.when(minus, "-").otherwise(""), number))
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percent
+from .intervals import in_bins, start_bins
 from .transcripts import distinct_introns
 
 WIDTH = 1 << 14  #: positions in a bin of the interval join
@@ -20,8 +21,9 @@ def overlapping_pairs(tx: DataFrame, width: int = WIDTH) -> DataFrame:
     Both sides are dealt to coordinate bins, which makes an equality join of it; a pair is reported only in the bin where its common part
     starts. A dense region splits over its bins, so it is no single key."""
     side = tx.select("src", "tx_id", "seqname", "strand", "start", "end", "n_introns", "intron_keys")
-    bins = F.explode(F.sequence(F.expr(f"least(start, `end`) div {width}"), F.expr(f"greatest(start, `end`) div {width}"))).alias("bin")
-    named = lambda s, p: side.where(F.col("src") == s).select("seqname", "strand", bins, *[F.col(c).alias(f"{p}_{c}") for c in ("tx_id", "start", "end", "n_introns", "intron_keys")])
+    keys = ["seqname", "strand"]
+    starts = start_bins(side, keys, width)
+    named = lambda s, p: in_bins(side.where(F.col("src") == s), starts, keys, width).select(*keys, "bin", *[F.col(c).alias(f"{p}_{c}") for c in ("tx_id", "start", "end", "n_introns", "intron_keys")])
     hit = f"a_start <= b_end and b_start <= a_end and greatest(a_start, b_start) div {width} = bin"
     both = named(1, "a").join(named(2, "b"), ["seqname", "strand", "bin"]).where(hit)
     return both.withColumn("shared", F.size(F.array_intersect("a_intron_keys", "b_intron_keys"))).drop("bin", "a_intron_keys", "b_intron_keys")

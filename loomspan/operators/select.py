@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import lookup
 from ..sources.records import with_pairs
+from .intervals import in_bins, start_bins
 
 POSITION = ("seqname", "start", "end")
+RANK_BIN = 1 << 20  #: positions whose records one task ranks
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,9 @@ def attribute(recs: DataFrame, key: str, fmt: Column | None = None) -> DataFrame
 
 def attribute_pairs(recs: DataFrame, fmt: Column | None = None) -> DataFrame:
     """One row for each pair: recs' columns, place, key, value."""
-    return with_pairs(recs, fmt).select(*recs.columns, F.posexplode("pairs").alias("place", "pair")).select(*recs.columns, "place", "pair.key", "pair.value")
+    # The outer form: for the inner one Catalyst infers filters on the list, which would read the attributes two times more.
+    rows = with_pairs(recs, fmt).select(*recs.columns, F.posexplode_outer("pairs").alias("place", "pair"))
+    return rows.where("place is not null").select(*recs.columns, "place", "pair.key", "pair.value")
 
 
 def feature_counts(recs: DataFrame) -> DataFrame:
@@ -73,15 +77,22 @@ def value_counts(recs: DataFrame, key: str, fmt: Column | None = None) -> DataFr
 
 
 def position_rank(recs: DataFrame, *ties: str) -> DataFrame:
-    """Rank of each record by start and end within its sequence."""
-    return recs.withColumn("rank", F.row_number().over(Window.partitionBy("seqname").orderBy("start", "end", *ties)).cast("long"))
+    """Rank of each record by start and end within its sequence: its number within a bin of starts, after all of the bins before. Only one row for each
+    bin is ordered over a whole sequence."""
+    bins = ["seqname", "rank_bin"]
+    own = recs.withColumn("rank_bin", F.expr(f"start div {RANK_BIN}"))
+    before = Window.partitionBy("seqname").orderBy("rank_bin").rowsBetween(Window.unboundedPreceding, -1)
+    base = own.groupBy(*bins).agg(F.count("*").alias("held")).select(*bins, F.coalesce(F.sum("held").over(before), F.lit(0)).alias("rank_base"))
+    local = own.withColumn("rank", F.row_number().over(Window.partitionBy(*bins).orderBy("start", "end", *ties)))
+    return local.join(base, bins).withColumn("rank", (F.col("rank") + F.col("rank_base")).cast("long")).select(*recs.columns, "rank")
 
 
 def overlapping_regions(recs: DataFrame, regions: DataFrame, width: int = 1 << 17) -> DataFrame:
     """Records joined with a table of regions (region_id, seqname, start, end) that they overlap. Both sides are dealt to bins of `width`
     positions, so the join has equal keys; a pair is reported in the bin where its common part starts."""
-    bins = F.explode(F.sequence(F.expr(f"least(start, `end`) div {width}"), F.expr(f"greatest(start, `end`) div {width}")))
-    a = recs.withColumn("bin", bins)
-    b = regions.select("region_id", "seqname", F.col("start").alias("region_start"), F.col("end").alias("region_end"), bins.alias("bin"))
+    keys, own = ["seqname"], regions.select("region_id", "seqname", "start", "end")
+    starts = start_bins(recs.select("seqname", "start", "end").unionByName(own.drop("region_id")), keys, width)
+    a = in_bins(recs, starts, keys, width)
+    b = in_bins(own, starts, keys, width).withColumnsRenamed({"start": "region_start", "end": "region_end"})
     hit = "start <= region_end and region_start <= `end` and greatest(start, region_start) div {} = bin".format(width)
     return a.join(b, ["seqname", "bin"]).where(hit).drop("bin")

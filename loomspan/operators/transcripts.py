@@ -19,12 +19,14 @@ def build_transcripts(exons: DataFrame) -> DataFrame:
     """exons with src -> src, tx_id, seqname, strand, gene_id, start, end, n_exons, n_introns, introns, intron_keys.
 
     Grouped by id alone; sequence, strand and gene are those of the exon with the least start (then end, then names). An intron is what lies
-    between two exons that follow each other by (start, end), kept also where it is empty."""
-    ordered = F.array_sort(F.collect_list(F.struct("start", "end", "seqname", "strand", "gene_id")))
-    own = exons.groupBy("src", "tx_id").agg(ordered.alias("ex"), F.max("end").alias("last"))
+    between two exons that follow each other by (start, end), kept also where it is empty. Exons without an id are one transcript, so what is gathered of
+    an exon is two numbers alone."""
+    ordered = F.array_sort(F.collect_list(F.struct("start", "end")))
+    first = F.min(F.struct("start", "end", "seqname", "strand", "gene_id"))
+    own = exons.groupBy("src", "tx_id").agg(ordered.alias("ex"), first.alias("first"), F.max("end").alias("last"))
     n = F.size("ex")
     gap = F.zip_with(F.slice("ex", F.lit(1), n - 1), F.slice("ex", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct((a["end"] + 1).alias("start"), (b["start"] - 1).alias("end")))
-    head = F.col("ex")[0]
+    head = F.col("first")
     tx = own.select("src", "tx_id", head["seqname"].alias("seqname"), head["strand"].alias("strand"), head["gene_id"].alias("gene_id"), head["start"].alias("start"), F.col("last").alias("end"), n.alias("n_exons"), (n - 1).alias("n_introns"), gap.alias("introns"))
     return tx.withColumn("intron_keys", F.transform("introns", lambda i: F.concat_ws("-", i["start"], i["end"])))
 

@@ -198,9 +198,7 @@ def gene_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT src, n_genes, n_transcripts, n_exons, n_introns, n_single_exon_genes, n_single_exon_transcripts, CAST(n_exons AS DOUBLE) / n_genes AS mean_exons_per_gene, CAST(n_introns AS DOUBLE) / n_genes AS mean_introns_per_gene,
   CAST(100 AS DOUBLE) * n_single_exon_genes / n_genes AS pct_single_exon_genes, CAST(100 AS DOUBLE) * n_single_exon_transcripts / n_transcripts AS pct_single_exon_transcripts FROM s JOIN h USING (src)""")
 def exon_intron_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _exons(spark, sf_dir)
-    one = lambda s: statistics.exon_intron_stats(own.where(F.col("src") == s)).select(F.lit(s).alias("src"), "*")
-    return one(1).unionByName(one(2))
+    return statistics.exon_intron_stats(_exons(spark, sf_dir), "src")
 
 
 @query(f"WITH {_TX} SELECT DISTINCT src, seqname, strand, start, \"end\" FROM intr")

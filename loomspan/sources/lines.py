@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORDER = ("path", "block_start", "line_ord")
@@ -25,3 +25,12 @@ def table_lines(lines: DataFrame) -> DataFrame:
     kept = lines.join(cut, "path", "left").where(F.col("cut").isNull() | (at() < F.col("cut"))).drop("cut")
     gff3 = kept.where(F.startswith("value", F.lit("##gff-version"))).select("path").distinct().withColumn("format", F.lit("gff3"))
     return kept.join(gff3, "path", "left").withColumn("format", F.coalesce("format", F.lit("gtf")))
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """lines with line_no, from 1 in each file: the place in its block after all lines of the blocks before. One row for each block is ordered over a file."""
+    block = ["path", "block_start"]
+    before = Window.partitionBy("path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    held = lines.groupBy(*block).agg(F.count("*").alias("held"), F.min("line_ord").alias("first_ord"))
+    base = held.select(*block, "first_ord", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("line_base"))
+    return lines.join(base, block).withColumn("line_no", F.expr("line_base + line_ord - first_ord + 1")).select(*lines.columns, "line_no")

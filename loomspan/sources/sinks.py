@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.numbers import six_digits
@@ -20,15 +20,21 @@ def format_records(recs: DataFrame) -> DataFrame:
     return recs.withColumn("value", record_text())
 
 
-def write_records(recs: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
-    """Lines to a folder of text files. Range-partitioned by `order`, so that the part files, in their order, hold the records in order, without one task writing all."""
+def _write(lines: DataFrame, path: str) -> int:
+    seen = Observation()
+    lines.select("value").observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(path)
+    return seen.get["n"]
+
+
+def write_records(recs: DataFrame, path: str, order: tuple[str, ...] = ()) -> int:
+    """Lines to a folder of text files; their number, counted as they are written. Range-partitioned by `order`, so that the part files, in their order, hold the records in order, without one task writing all."""
     lines = format_records(recs)
-    (lines.orderBy(*order) if order else lines).select("value").write.mode("overwrite").text(path)
+    return _write(lines.orderBy(*order) if order else lines, path)
 
 
-def write_lines(raw: DataFrame, path: str, order: tuple[str, ...]) -> None:
-    """Raw lines, unchanged, in the given order."""
-    raw.orderBy(*order).select("value").write.mode("overwrite").text(path)
+def write_lines(raw: DataFrame, path: str, order: tuple[str, ...]) -> int:
+    """Raw lines (`value`), unchanged, in the given order; their number."""
+    return _write(raw.orderBy(*order), path)
 
 
 def write_table(recs: DataFrame, path: str) -> None:

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from loomspan import cli
-from loomspan.operators import comparison, identifiers, statistics, transcripts
+from loomspan.operators import comparison, identifiers, select, statistics, transcripts
 from loomspan.plans import reports
 from loomspan.sources import records as rec
 
@@ -140,7 +140,11 @@ def test_command_line(spark, files, capsys):
     out = "\n".join(run("compare", a, b)[1])
     assert "Exact match      (=)      :        1  (100.0%)" in out and "Sensitivity (GTF1 exact / GTF1 total) : 100.0%" in out
     code, out, err = run("ids", a, b, "--output", "merge")
-    assert len(out) == 5 and "Wrote 5 records [merge]" in err and "fewer than nine" in err
+    assert len(out) == 5 and "Wrote 5 records [merge]" in err and f"{b}:5: fewer than nine" in err
+    assert run("ids", a, b, "--output", "none")[0] == 2
+    for wrong in (("print",), ("nothing", a), ("print", a + "x"), ("compare", a, a + "x"), ()):
+        code, out, err = run(*wrong)
+        assert code == 1 and not out and "error" in err
 
 
 def test_stream_equals_table(spark, files, tmp_path):
@@ -150,3 +154,21 @@ def test_stream_equals_table(spark, files, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["feature"]: r["n"] for r in spark.table("totals").collect()} == {"exon": 7, "CDS": 1}
+
+
+def test_wild_coordinates(spark):
+    """One record far beyond all others neither fails nor loses a pair."""
+    rows = [("c", 5, 10), ("c", 10**14, 10**14 + 5), ("c", -(10**9), 10**14 + 1), ("d", 1, 10**18), ("d", 10**17, 10**17)]
+    regions = [(1, "c", 1, 7), (2, "c", 10**14 + 5, 10**15), (3, "d", 10**16, 10**18), (4, "e", 1, 10**18)]
+    recs = spark.createDataFrame(rows, "seqname string, start long, end long")
+    got = select.overlapping_regions(recs, spark.createDataFrame(regions, "region_id int, seqname string, start long, end long"))
+    want = sorted((i, s, e) for i, q, a, b in regions for n, s, e in rows if n == q and s <= b and a <= e)
+    assert sorted((r["region_id"], r["start"], r["end"]) for r in got.collect()) == want
+    assert sorted((r["start"], r["rank"]) for r in select.position_rank(recs).where("seqname = 'c'").collect()) == [(-(10**9), 1), (5, 2), (10**14, 3)]
+
+
+def test_many_exons_without_id(spark):
+    n = 1_000_000
+    exons = spark.range(n).selectExpr("1 as src", "'c' as seqname", "'+' as strand", "'' as tx_id", "'' as gene_id", "id * 10 as start", "id * 10 + 4 as `end`")
+    r = transcripts.build_transcripts(exons).selectExpr("n_exons", "`end`", "element_at(introns, -1).start as last").first()
+    assert tuple(r) == (n, n * 10 - 6, n * 10 - 15)

@@ -172,3 +172,26 @@ def test_sorted_table_prunes(spark, tmp_path):
     assert [r["start"] for r in hits.collect()] == [97, 100, 103, 106, 109, 112, 115, 118]
     plan = hits._jdf.queryExecution().toString()
     assert "EqualTo(seqname,chr1)" in plan and "LessThanOrEqual(start,120)" in plan
+
+
+def test_six_digits(spark):
+    """As C writes 32-bit floats, halves included."""
+    import random
+    import struct
+
+    from loomspan.functions.numbers import six_digits
+
+    random.seed(4)
+    values = [0.0, -0.0, 1234565.0, 1234575.0, 999999.5, 1e-5, 1e-4, 0.00012345, 3.4e38, 1e-40, float("inf"), float("-inf"), float("nan")]
+    values += [struct.unpack("f", struct.pack("I", random.getrandbits(32)))[0] for _ in range(2000)] + [random.randrange(10**7) / 8 for _ in range(2000)]
+    values = [struct.unpack("f", struct.pack("f", v))[0] for v in values]
+    got = spark.createDataFrame(list(enumerate(values)), "i int, x float").select("i", six_digits("x").alias("t")).collect()
+    assert all(r["t"] == ("%g" % values[r["i"]]).replace("-nan", "nan") for r in got)
+
+
+def test_hexadecimal_scores(spark):
+    from loomspan.functions.numbers import leading_float
+
+    cases = {"0x1p3": 8.0, "0x1.8": 1.5, "-0XA.Bp-2z": -2.671875, "0x": 0.0, "0xg": 0.0, "0x.8": 0.5, "1.5e3x": 1500.0}
+    got = {r["v"]: r["f"] for r in spark.createDataFrame([(v,) for v in cases], "v string").select("v", leading_float(F.col("v")).alias("f")).collect()}
+    assert got == cases
