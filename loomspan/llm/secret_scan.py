@@ -1,14 +1,15 @@
 """Operator 9: secret scans by a recursive decoding worklist.
 
 The text itself is scanned with the base patterns. Then every encoded stretch (percent escapes,
-\\u and \\x escapes, base64, compressed bytes inside any of these) is unwrapped into a new layer, which is
+\\u and \\x escapes, base64, compressed bytes inside any of these, UTF-16 inside bytes) is unwrapped into a new layer, which is
 scanned and unwrapped in turn until nothing new appears. Base64 may be wrapped: consecutive lines of it, indented
 or not, are also read as one stretch; what is decoded from it maps to the lines that hold it. A stretch that isn't
 text from its first character on is tried at all four alignments, as other characters may touch it; bytes that aren't UTF-8 are read as Latin-1. A layer whose content was already seen for
 the same stretch ends that branch (cycle detection). Each layer carries, for each of its characters,
 the start and end in the original text, so that a secret found deep inside maps to the span that holds it.
 
-Null and empty texts have no spans. Offsets are code points, end exclusive. Whole texts are scanned.
+Null and empty texts have no spans. Offsets are code points, end exclusive. Whole texts are scanned, however long. Repeated rows repeat in the result, each with its spans; where
+several layers show a secret of one kind at one span it is given once. An empty table gives an empty table; columns other than doc_id and text are ignored, whatever their names.
 A stretch that would inflate beyond `inflate_limit` bytes is itself reported, as kind `oversize`, and is inflated and scanned
 in overlapping chunks. A chunk ends before a word or a base64 stretch that goes on, unless that alone is longer than `inflate_limit`.
 """
@@ -47,6 +48,8 @@ MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|" + b"|".join(re.escape(b
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")  # 14 bytes, the shortest secret, take 19
 BREAK = re.compile(r"[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+")  # also the escaped line ends of JSON
 WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
+#: ASCII in 16 bits, either byte first.
+WIDE = re.compile(r"(?:[\t\n\r\x20-\x7e]\0){8,}|(?:\0[\t\n\r\x20-\x7e]){8,}")
 INFLATE_LIMIT = 64 << 20
 CHUNK = 4 << 20  #: bytes of an oversize stretch that are inflated at once
 OVERLAP = 64 << 10  #: bytes of a chunk that the next one repeats
@@ -315,6 +318,10 @@ def unwrap(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int]]:
         for a, b in _lines_with(ESCAPE, text):
             yield _unescape(layer, a, b, ESCAPE)
             yield from _unwrap_bytes(layer, a, b, ESCAPE, limit)
+    if "\0" in text:
+        for m in WIDE.finditer(text):
+            at = np.arange(m.start() + (text[m.start()] == "\0"), m.end(), 2)
+            yield Layer(m.group().replace("\0", ""), at if layer.lo is None else np.asarray(layer.lo)[at], at + 1 if layer.hi is None else np.asarray(layer.hi)[at])
     for m in BASE64.finditer(text):
         lo, hi = layer.span(m.start(), m.end())
         for _, _, _, got, _ in _from_base64(m.group(), limit):

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import json
 import lzma
+import random
 import re
 import urllib.parse
 import zlib
@@ -126,3 +127,41 @@ def test_oversize_layers_are_scanned():
     for limit in (9_000, 20_000):
         chunks = [bytes(c) for c in s._chunks(packed, limit)]
         assert len(chunks) > 1 and max(map(len, chunks)) <= 3 * limit and any(inner.encode() in c for c in chunks)
+
+
+def _wrap(kind, raw, rnd):
+    """One layer around bytes."""
+    if kind == "percent":
+        return "".join("%%%02X" % b for b in raw).encode()
+    if kind == "escape":
+        return "".join("\\x%02x" % b for b in raw).encode()
+    if kind == "unicode":
+        return "".join("\\u%04x" % ord(c) for c in raw.decode("latin-1")).encode()
+    if kind == "base64":
+        return base64.b64encode(raw)
+    if kind == "lines":
+        return base64.encodebytes(raw).rstrip()
+    if kind == "url64":
+        return base64.urlsafe_b64encode(raw)
+    if kind == "wide":
+        return base64.b64encode(raw.decode("latin-1").encode(rnd.choice(["utf-16-le", "utf-16-be"])))
+    packed = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress}[kind](raw)
+    return base64.b64encode(packed)
+
+
+def test_added_spans_are_what_was_nested():
+    """Secrets under random nests of layers are found, at a span within the place where the nest was put, and nothing else is."""
+    rnd = random.Random(12)
+    kinds = ["percent", "escape", "unicode", "base64", "lines", "url64", "wide", "gzip", "zlib", "bz2", "xz"]
+    for _ in range(150):
+        secret = rnd.choice(["password=hunter2hunter2", "AKIA" + "QWERTYUIOPAS12", "0123456789abcdef" * 2])
+        nest, raw = [rnd.choice(kinds) for _ in range(rnd.randint(1, 3))], ("said: " + secret + " so").encode()
+        for kind in nest:
+            raw = _wrap(kind, raw, rnd)
+        before = "words of no note " * rnd.randint(0, 3)
+        text = before + raw.decode() + " and the end."
+        base, extra = s.scan(text)
+        found = [x for x in extra if x[0] == "decoded_" + ("assign" if "=h" in secret else "access" if secret[0] == "A" else "hex")]
+        assert found, nest
+        assert all(len(before) <= a < b <= len(text) - 13 for _, a, b in found), nest
+        assert not base or set(nest) & {"percent", "escape", "unicode"}
