@@ -58,10 +58,72 @@ def test_redaction(spark):
     assert got == {1: "mail <email>, ip <ip>!", 2: "nothing", 3: "", 4: "é <email>"}
 
 
+def test_redaction_of_many_and_overlapping_spans(spark):
+    """As a walk over the spans gives it, also with more spans than a block has."""
+    import random
+
+    random.seed(2)
+    rows = []
+    for i, n in enumerate((1, 5, 127, 128, 129, 700, 40_000)):
+        spans = sorted((k, a, a + random.randint(1, 30)) for k, a in ((random.randrange(4), random.randrange(12 * n)) for _ in range(n)))
+        rows.append((i, "".join(random.choice("aé𝄞 ") for _ in range(12 * n + 40)), spans))
+    got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame([(i, t, [], s) for i, t, s in rows], "doc_id long, text string, base_spans array<int>, all_spans array<struct<kind:int,start:int,end:int>>")).collect()}
+    for i, text, spans in rows:
+        out, at = [], 0
+        for a, b, k in sorted((a, b, k) for k, a, b in spans):
+            if a >= at:
+                out += [text[at:a], f"<{pii.KINDS[k]}>"]
+            at = max(at, b)
+        assert got[i] == "".join(out) + text[at:]
+
+
+def test_added_spans_overlap_no_base_span(spark):
+    """The test on the spans of a kind in order equals a look at all of them."""
+    import random
+
+    random.seed(3)
+    rows = []
+    for i in range(60):
+        n = random.choice([0, 1, 3, 50, 400])
+        own = [(random.randrange(4), a, a + random.randint(1, 12), random.choice([0, 1, 2, 2]), [1, 1, 1, 1, 1]) for a in (random.randrange(6 * n + 1) for _ in range(n))]
+        rows.append((i, own))
+    df = spark.createDataFrame(rows, f"doc_id long, candidates array<{pii.SPAN}>")
+    got = {r["doc_id"]: (r["base_spans"], r["all_spans"]) for r in pii.label(df, pii.Model(0.5, [], [], [1.0] * pii.N_FEATURES)).collect()}
+    for i, own in rows:
+        base = sorted(x[:3] for x in own if x[3] == 1)
+        added = [x[:3] for x in own if x[3] == 2 and not any(k == x[0] and a < x[2] and x[1] < b for k, a, b in base)]
+        assert [tuple(x) for x in got[i][0]] == base and [tuple(x) for x in got[i][1]] == sorted(base + added)
+
+
+def test_no_two_labelers_are_one():
+    for kind in pii.KINDS:
+        sql = pii._candidates(kind, "base")
+        votes = sql[sql.index("'votes', array(") :]
+        assert pii.FORM[kind] in votes
+        assert votes.count("w.good") == (0 if kind == "email" else 1)
+
+
 def test_reliabilities_follow_the_votes(spark):
     rows = [(i, f"mail: a{i}@x.com tel: +1 (555) 555-{1000 + i} and version 1.2.3.400") for i in range(40)]
     m = pii.fit(pii.detect(frame(spark, rows)))
-    assert m.hit[0][2] > m.false[0][2] and 0.01 <= m.prior <= 0.99
+    checksum, context = pii.LABELERS.index("checksum"), pii.LABELERS.index("context")
+    assert m.hit[checksum][2] > m.false[checksum][2] and m.hit[context][2] > m.false[context][2] and 0.01 <= m.prior <= 0.99
+
+
+def test_added_spans_of_planted_data(spark):
+    """Mail written with words for its signs, and cards and phones that the base patterns run past, among numbers that are none."""
+    import random
+
+    random.seed(6)
+    rows, want = [], {}
+    for i in range(400):
+        own, kind = [f"write to jo{i} [at] mail{i} [dot] com now", f"order no {random.randrange(10**6)} of 2024", f"contact: a{i}@site{i}.org, thanks", "version 1.2.3.400 here", "just prose"][i % 5], i % 5
+        rows.append((i, own))
+        want[i] = kind == 0
+    spans = {r["doc_id"]: r["spans"] for r in pii.digests(label(frame(spark, documents(spark) and [(10_000 + i, t) for i, t in documents(spark)] + rows))).collect()}
+    found = {i: spans[i].startswith("email:9:") for i, _ in rows}
+    assert all(found[i] for i in want if want[i])
+    assert all(not spans[i] for i, _ in rows if i % 5 in (1, 3, 4))
 
 
 def test_no_python_in_the_plan(spark):
