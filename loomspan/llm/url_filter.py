@@ -5,14 +5,14 @@ domain of a host (at least two labels), or host/first-path-segment. The entries
 intervals [day, next day of that key); `lift` ends what was in force. A capture is judged by the entry that was
 in force at its fetch day for the most specific of its keys, longest first: an as-of join.
 
-Captures shrink to distinct (host, segment, day) before they meet the list, so a host with a third of all
-captures adds one row for each of its days; verdicts then join back on all three columns. The list side has
-one interval in force for a key and day, so neither join multiplies rows.
+Captures shrink to distinct (host, segment, day) and then to distinct (key, day) before they meet the list, so a host or parent domain with a third of all
+captures adds one row for each of its days; verdicts then join back. The list side has
+one interval in force for a key and day, so no join multiplies rows.
 
 Defined results: a null or unparsable url, or a null day, matches nothing (blocked false, state `none`).
 Entries of one key on the same day: the last in the order lift < block < allow holds, reasons by order.
 Entries with a null key, action or day are ignored. Repeated captures repeat in the result. Host and segment
-compare in lower case. Columns of captures other than those named are not read.
+compare in lower case. Very long urls are read whole. An empty list blocks nothing; an empty table gives an empty table. Columns of captures other than those named are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,7 +50,9 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     own = captures.select("page_id", "url", "day").withColumns({"host": F.regexp_extract(low, HOST, 1), "segment": F.regexp_extract(low, SEGMENT, 1)})
     distinct = own.where("day is not null and host <> ''").select("host", "segment", "day").distinct()
     asked = distinct.select("host", "segment", "day", F.explode(candidate_keys(F.col("host"), F.col("segment"))).alias("key"))
-    hit = asked.join(intervals(entries), "key").where("valid_from <= day and (valid_to is null or day < valid_to)")
+    # Of a popular domain each day is asked once, so its intervals meet as many rows as there are days.
+    in_force = asked.select("key", "day").distinct().join(intervals(entries), "key").where("valid_from <= day and (valid_to is null or day < valid_to)").select("key", "day", "state", "reason")
+    hit = asked.join(in_force, ["key", "day"])
     best = hit.groupBy("host", "segment", "day").agg(F.max(F.struct(F.length("key").alias("n"), "key", "state", "reason")).alias("best"))
     joined = own.join(best, ["host", "segment", "day"], "left")
     return joined.select("page_id", "url", "day", "host", F.col("best.key").alias("matched_key"), F.coalesce("best.state", F.lit("none")).alias("state"), F.col("best.reason").alias("reason"), F.coalesce(F.col("best.state") == "block", F.lit(False)).alias("blocked"))
