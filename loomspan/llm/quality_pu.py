@@ -3,14 +3,17 @@
 A logistic model minimises the non-negative unbiased risk
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
 over trusted positives (label 1) and unlabelled web text, which is a bounded sample of the documents.
-The class prior is estimated from the training labels (`estimate_prior`); negatives serve for nothing else.
+The class prior is estimated from the positives and the unlabelled texts (`estimate_prior`); labels 0 are not read at all.
 
 Features describe the form of a text, not its topic: frequencies of one- to three-byte sequences of
 character classes, repetition of words and lines, and length. They are sums over the whole text.
 
 At most PER_CLASS positives and UNLABELLED unlabelled texts are used to fit (the documented bounds); every
-row is scored. Null and empty texts have the features of no text and get a score too. Without positives
-every score is 0. A null doc_id is scored, but it is never in the held-out fold.
+row is scored.
+
+Defined results: null and empty texts have the features of no text and get a score too. Without positives
+every score is 0. Very long texts are scored whole, one at a time. Rows repeat as they do in docs, and equal texts have equal scores; in fitting a repeated id counts once, by its least text. A null doc_id is
+scored, but it is never in the held-out fold. An empty table gives an empty table. Other columns are kept; one named quality_score is replaced.
 """
 
 from __future__ import annotations
@@ -122,7 +125,8 @@ class Model:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(((x - self.mean) / self.scale) @ self.weights + self.intercept)
+        """Features are clipped as in fitting."""
+        return sigmoid(np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.intercept).astype(np.float64)
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 150, rate: float = 0.02, l2: float = 3e-3) -> Model:
@@ -150,10 +154,20 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, w, float(b), prior)
 
 
-def estimate_prior(labels: DataFrame, target: str, in_training: Column) -> float:
-    """Share of label 1 among all training labels, smoothed by one of each; 0.5 where none are negative (all are positives by choice then)."""
-    r = labels.where(in_training & F.col(target).isNotNull()).agg(F.count_if(F.col(target) == 1).alias("p"), F.count("*").alias("n")).first()
-    return 0.5 if r["p"] == r["n"] else min(0.95, max(0.05, (r["p"] + 1) / (r["n"] + 2)))
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, chance: float = 0.1) -> float:
+    """Share of positives among unlabelled texts, from features of both (best-bin estimation). A model that tells positives from unlabelled texts is fitted on every other
+    row; on the rest, the highest scores hold hardly anything but positives, so there the share of unlabelled over the share of positives
+    at or above a score is the prior. The score is the one at which this ratio, with a bound on its error, is least. 0.5 without rows on either side."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    model = fit(positive[::2], unlabelled[::2], 0.5)
+    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    at = np.unique(np.concatenate([p, u]))
+    of_p, of_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+    at, of_p, of_u = (x[of_p > 0] for x in (at, of_p, of_u))
+    error = np.sqrt(np.log(4 / chance) / 2) * (1 / np.sqrt(len(u)) + 1 / np.sqrt(len(p)))
+    best = np.argmin((of_u + error) / of_p)
+    return float(min(0.99, max(0.01, of_u[best] / of_p[best])))
 
 
 def _featurise(df: DataFrame) -> np.ndarray:
@@ -169,10 +183,12 @@ def _featurise(df: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, target: str, in_training: Column, per_class: int = PER_CLASS, unlabelled: int = UNLABELLED) -> Model:
     """Fit on at most per_class trusted positives and `unlabelled` documents of the training folds (least hash of their ids)."""
     own = docs.select("doc_id", "text")
-    prior = estimate_prior(labels, target, in_training)
     trusted = label_sample(labels, target, in_training, per_class).where("label = 1").select("doc_id")
     free = docs.where(F.col("doc_id").isNotNull() & in_training).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(unlabelled).distinct()
-    return fit(_featurise(own.join(F.broadcast(trusted), "doc_id")), _featurise(own.join(F.broadcast(free), "doc_id")), prior)
+    # Of several texts of one id the least, so repeated ids send no more rows to the driver.
+    one = lambda ids: _featurise(own.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
+    positive, free_texts = one(trusted), one(free)
+    return fit(positive, free_texts, estimate_prior(positive, free_texts))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -185,8 +201,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches, limit=1 << 20):
             x = features(*text_buffer(batch.column("text")))
             m = shared.value
-            found = sigmoid(np.clip((x - m.mean) / m.scale, -8, 8) @ m.weights + m.intercept).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found)], names=[*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(m.score(x))], names=[*names, "quality_score"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     return arrow_map(docs, run, f"{schema}, quality_score double")
