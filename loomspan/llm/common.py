@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.workspace import new_path
+
 #: Text bytes that a Python worker handles at once; memory follows this, not the table.
 SLICE_BYTES = 4 << 20
 #: Rows of a record batch between the JVM and Python.
@@ -24,29 +26,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where it is unset and the master is local."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None)
-    if not found:
-        hadoop_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = hadoop_dir.get() if hadoop_dir.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomspan-"))
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
-
-
 def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors. The tables of a driver go when it ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomspan/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """This driver's folder in the shared one; it is deleted when Python ends, if Spark still runs then."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = folder = new_path(spark, app)
+
+        def clear() -> None:
+            with contextlib.suppress(Exception):  # a stopped session has nothing to delete with
+                if spark.sparkContext._jsc is not None:
+                    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+        atexit.register(clear)
+    return _FOLDERS[app]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each piece has about `limit` bytes of `column`, one row at least."""
     for batch in batches:
@@ -80,8 +86,11 @@ def release_memory() -> None:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow, after which each task releases its memory. Batches are kept small, as the JVM and Python each hold one."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """mapInArrow, after which each task releases its memory. Batches are kept small, as the JVM and Python each hold one: the session's limit, read when the plan runs, is
+    lowered to BATCH_ROWS where it is above."""
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(limit)) <= BATCH_ROWS:
+        conf.set(limit, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -5,9 +5,12 @@ by its log-count ratio between toxic and other training texts, and a logistic re
 the scaled features, so a document's score needs one pass over its bytes and one weight table.
 
 Training takes at most PER_CLASS labelled texts of each class (the documented bound); scoring covers
-every whole text of every row. Null and empty texts have no n-grams: their score is that of the
+every whole text of every row.
+
+Defined results: null and empty texts have no n-grams: their score is that of the
 intercept. Without labels of both classes no text can be told apart: the score is 0 (or 1 if all
-labels are 1). Rows repeat as they do in docs; a null doc_id is scored but never in the held-out fold.
+labels are 1). Very long texts are scored whole, one at a time. Rows repeat as they do in docs, and equal texts have equal scores; in training a repeated id counts once. A null doc_id is scored but
+never in the held-out fold. An empty table gives an empty table. Other columns are kept; one named like the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -20,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, slices, text_buffer
+from .common import arrow_map, batch_of, durable, slices, text_buffer
 from .linear import fold, label_sample, minimise, sigmoid
 
 SIZES = (4, 5, 6)
 BITS = 20
 PER_CLASS = 2000
 LEAST_DOCS = 3  #: training texts that must hold an n-gram
+TASKS = 16  #: tasks that the training texts are dealt to
 LEAST_Z = 3.0  #: standard errors by which its log-count ratio must differ from 0
 FOLDS = 5
 
@@ -62,21 +66,20 @@ class Model:
         return float(sigmoid(self.weights[grams].sum(dtype=np.float64) + self.intercept))
 
 
-def fit(grams: list[np.ndarray] | TextGrams, labels: np.ndarray, l2: float = 1.0) -> Model:
+def chosen(seen: np.ndarray, toxic: np.ndarray, n: int, positive: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that take part, from how many texts and how many toxic ones hold each, and their log-count ratios. One takes part if its ratio stands out from chance;
+    the others only add noise to long texts."""
+    p, q = toxic + 1.0, seen - toxic + 1.0
+    ratio = np.log(p / (positive + 2.0)) - np.log(q / (n - positive + 2.0))
+    used = np.flatnonzero((seen >= min(LEAST_DOCS, n)) & (np.abs(ratio) >= LEAST_Z * np.sqrt(1 / p + 1 / q)))
+    return used, ratio[used]
+
+
+def solve(own: list[np.ndarray], labels: np.ndarray, used: np.ndarray, ratio: np.ndarray, l2: float = 1.0) -> Model:
+    """Logistic regression on texts given as places in `used`."""
     weights = np.zeros(1 << BITS, np.float32)
     if len(labels) == 0 or labels.min() == labels.max():
         return Model(weights, 40.0 if len(labels) and labels[0] == 1 else -40.0)
-    seen, toxic = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-    for g, label in zip(grams, labels.tolist(), strict=True):
-        seen[g] += 1
-        toxic[g] += label
-    p, q = toxic + 1.0, seen - toxic + 1.0
-    ratio = np.log(p / (labels.sum() + 2.0)) - np.log(q / ((1 - labels).sum() + 2.0))
-    # An n-gram takes part if its ratio stands out from chance; the others only add noise to long texts.
-    used = np.flatnonzero((seen >= min(LEAST_DOCS, len(grams))) & (np.abs(ratio) >= LEAST_Z * np.sqrt(1 / p + 1 / q)))
-    ratio, slot = ratio[used], np.full(1 << BITS, -1, np.int32)
-    slot[used] = np.arange(len(used))
-    own = [k[k >= 0] for k in (slot[g] for g in grams)]
     col, row = np.concatenate(own), np.repeat(np.arange(len(own)), [len(k) for k in own])
     x = ratio[col]
     y = labels.astype(np.float64)
@@ -92,32 +95,63 @@ def fit(grams: list[np.ndarray] | TextGrams, labels: np.ndarray, l2: float = 1.0
     return Model(weights, float(w[-1]))
 
 
-class TextGrams:
-    """The n-grams of some texts, made anew on each pass, a few texts at a time."""
+def _places(used: np.ndarray) -> np.ndarray:
+    slot = np.full(1 << BITS, -1, np.int32)
+    slot[used] = np.arange(len(used))
+    return slot
+
 
-    def __init__(self, texts: list[str]):
-        self.texts = texts
+def fit(grams: list[np.ndarray], labels: np.ndarray, l2: float = 1.0) -> Model:
+    """The model of texts given by their n-grams."""
+    seen, toxic = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for g, label in zip(grams, labels.tolist(), strict=True):
+        seen[g] += 1
+        toxic[g] += label
+    used, ratio = chosen(seen, toxic, len(labels), int(labels.sum()))
+    return solve([k[k >= 0] for k in (_places(used)[g] for g in grams)], labels, used, ratio, l2)
 
-    def __len__(self) -> int:
-        return len(self.texts)
 
-    def __iter__(self) -> Iterator[np.ndarray]:
-        for i in range(0, len(self.texts), 64):
-            yield from ngrams(*text_buffer(pa.array(self.texts[i : i + 64], pa.large_string())))
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for the task: how many of its texts, and of its toxic ones, hold each n-gram."""
+    seen, toxic, n, positive = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32), 0, 0
+    for batch in slices(batches, limit=1 << 20):
+        labels = batch.column("label").to_pylist()
+        for g, label in zip(ngrams(*text_buffer(batch.column("text"))), labels, strict=True):
+            seen[g] += 1
+            toxic[g] += label
+        n, positive = n + len(labels), positive + sum(labels)
+    held = np.flatnonzero(seen)
+    yield batch_of(n=pa.array([n], pa.int64()), positive=pa.array([positive], pa.int64()), slots=pa.array([held.astype("<u4").tobytes()]), seen=pa.array([seen[held].astype("<u4").tobytes()]), toxic=pa.array([toxic[held].astype("<u4").tobytes()]))
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str, in_training: Column, per_class: int = PER_CLASS) -> Model:
-    """Fit on the texts of docs that labels has; at most 2 * per_class texts reach the driver."""
+    """Fit on at most 2 * per_class texts of docs that labels has; of several texts of one id the least. The texts stay on the executors: at most TASKS rows of n-gram counts, and
+    of each text the n-grams that take part, reach the driver."""
     sample = F.broadcast(label_sample(labels, target, in_training, per_class))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label")).collect()
-    rows = list({r["doc_id"]: r for r in sorted(rows, reverse=True)}.values())  # of several texts of one id the least
-    rows.reverse()
-    return fit(TextGrams([r["text"] for r in rows]), np.array([r["label"] for r in rows], np.int64))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max(F.col("label").cast("int")).alias("label"))
+    texts = durable(own.repartition(TASKS, "doc_id"), "sample")
+    seen, toxic, n, positive = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), 0, 0
+    for r in arrow_map(texts, _counts, "n long, positive long, slots binary, seen binary, toxic binary").collect():
+        at = np.frombuffer(r["slots"], "<u4")
+        seen[at] += np.frombuffer(r["seen"], "<u4")
+        toxic[at] += np.frombuffer(r["toxic"], "<u4")
+        n, positive = n + r["n"], positive + r["positive"]
+    used, ratio = chosen(seen, toxic, n, positive)
+    shared = docs.sparkSession.sparkContext.broadcast(used)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot = _places(shared.value)
+        for batch in slices(batches, limit=1 << 20):
+            found = [k[k >= 0].astype("<i4").tobytes() for k in (slot[g] for g in ngrams(*text_buffer(batch.column("text"))))]
+            yield batch_of(doc_id=batch.column("doc_id"), label=batch.column("label"), places=pa.array(found, pa.binary()))
+
+    rows = sorted(arrow_map(texts, places, "doc_id long, label int, places binary").collect(), key=lambda r: r["doc_id"])
+    return solve([np.frombuffer(r["places"], "<i4") for r in rows], np.array([r["label"] for r in rows], np.int64), used, ratio)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs (doc_id, text and any others) plus toxicity, a double that takes the place of a column of that name."""
-    docs = docs.drop("toxicity")
+def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """All columns of docs (doc_id, text and any others) plus the score, a double that takes the place of a column of its name."""
+    docs = docs.drop(name)
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -125,10 +159,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for batch in slices(batches, limit=1 << 20):
             found = [m.score(g) for g in ngrams(*text_buffer(batch.column("text")))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found, pa.float64())], names=[*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found, pa.float64())], names=[*names, name])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return arrow_map(docs, run, f"{schema}, toxicity double")
+    return arrow_map(docs, run, f"{schema}, `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -80,3 +80,26 @@ def test_minimise():
     a = np.diag([1.0, 10, 100])
     x = minimise(lambda v: (float(v @ a @ v / 2 - v.sum()), a @ v - 1), np.zeros(3), 100)
     assert np.allclose(x, [1, 0.1, 0.01], atol=1e-3)
+
+
+def test_prior_from_positives_and_unlabelled_texts():
+    """The share of positives in a mixture, told from it and from positives alone."""
+    rng = np.random.default_rng(1)
+    for share in (0.3, 0.6, 0.9):
+        n = int(2000 * share)
+        pos = rng.normal(1.5, 1, (1500, 4)).astype(np.float32)
+        mixed = rng.permutation(np.concatenate([rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (2000 - n, 4))])).astype(np.float32)
+        assert abs(quality_pu.estimate_prior(pos, mixed) - share) < 0.07
+    assert quality_pu.estimate_prior(pos[:2], mixed) == 0.5
+
+
+def test_toxicity_training_on_executors_equals_training_in_one_place(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    from pyspark.sql import functions as F
+
+    got = toxicity.train(docs, labels, "toxic", F.lit(True))
+    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect())
+    raw = [t.encode() for _, t, _ in rows]
+    want = toxicity.fit(list(toxicity.ngrams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))), np.array([y for _, _, y in rows]))
+    assert len(rows) < 2 * toxicity.PER_CLASS and np.allclose(got.weights, want.weights, atol=1e-4) and abs(got.intercept - want.intercept) < 1e-3
