@@ -7,17 +7,26 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
+SALTS = 8
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join on key with a table that has a key once; rows of one key in `big` go to SALTS tasks by the hash of `by`."""
+    salted = big.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return salted.join(small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "salt"]).drop("salt")
+
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> node, comp: the least node of each node's component. Each round takes the least label among neighbours and then that
-    label's own label, so paths halve; rounds are stored, so no lineage grows and a lost executor costs one round at most."""
+    label's own label, so paths halve; rounds are stored, so no lineage grows and a lost executor costs one round at most. A node with many neighbours and the label of a
+    large component are no single key."""
     both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "labels")
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        seen = spread_join(both, labels.select(F.col("node").alias("b"), "comp"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         lower = labels.join(seen, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         target = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        new = durable(lower.join(target, "comp").select("node", "old", F.least("comp", "next").alias("comp")), "labels")
+        new = durable(spread_join(lower, target, "comp", "node").select("node", "old", F.least("comp", "next").alias("comp")), "labels")
         if new.where("old <> comp").isEmpty():
             return new.select("node", "comp")
         labels = new.select("node", "comp")

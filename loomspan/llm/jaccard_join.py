@@ -18,7 +18,8 @@ equality of 64-bit hashes; copies of one set are one node. Steps:
 A task holds pairs of groups of bounded size, never all nodes of a kind. Nothing is capped.
 
 Defined results: a text without words (null, empty, blank) is linked with nothing and is its own component. A null doc_id
-takes part, but a component's id is its least non-null doc_id; null if it has none. Repeated rows repeat in the result.
+takes part, but a component's id is its least non-null doc_id; null if it has none. Repeated rows repeat in the result. Very long texts are taken whole. Ties of frequency go
+by the token's hash. An empty table gives an empty table. Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, batch_of, durable, mix64, slices, text_buffer
-from .components import components
+from .components import components, spread_join
 from .wordhash import NOT_SPACE, shingles, split
 
 PREFIX = (35, 100)  #: share of each set that step 2 posts
 BUCKET_TOKENS = 1_000_000  #: postings that one task sorts
 GROUP = 128  #: members of a group
-PAIRS = 25  #: pairs of groups in one task, about
+DEAL_TOKENS = 4_000_000  #: tokens of the pairs of groups in one task (32 MB), about
+SPREAD = 500  #: groups that have a token, of those that one task pairs with all others that have it
 NODES = 20_000  #: sets whose counts one task adds up
 BROADCAST_IDS = 1_000_000  #: ids (8 bytes each) up to which they are broadcast; more are joined by shuffle
 SLICE = 2 << 20
@@ -96,12 +98,12 @@ POSTINGS = "bucket int, tokens binary, sigs binary, sizes binary, counts binary"
 
 
 def _pack(sets: list[np.ndarray], sigs: list[int], sizes: list[int], buckets: int) -> pa.RecordBatch:
-    """Tokens of some sets, dealt to buckets: one row for each bucket with its tokens (32 bits each), by set."""
+    """Tokens of some sets, dealt to buckets: one row for each bucket with its tokens, by set."""
     held = np.array([len(s) for s in sets], np.int64)
     key = mix64(np.concatenate(sets) + np.uint64(0x632BE59BD9B4E019)) if len(sets) else np.empty(0, np.uint64)
     bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    owner, token = np.repeat(np.arange(len(sets)), held)[order], (key & np.uint64(0xFFFFFFFF)).astype("<u4")[order]
+    owner, token = np.repeat(np.arange(len(sets)), held)[order], key.astype("<u8")[order]
     bucket = bucket[order]
     head = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1]))) if len(owner) else np.empty(0, np.int64)
     runs = np.diff(np.append(head, len(owner))).astype("<u4")
@@ -117,7 +119,7 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (token, sig) pairs of a bucket in that order, and each one's set size."""
     raw = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
     counts = raw("counts", "<u4")
-    token, sig, size = raw("tokens", "<u4"), np.repeat(raw("sigs", "<i8"), counts), np.repeat(raw("sizes", "<u4"), counts)
+    token, sig, size = raw("tokens", "<u8"), np.repeat(raw("sigs", "<i8"), counts), np.repeat(raw("sizes", "<u4"), counts)
     order = np.lexsort((sig, token))
     token, sig, size = token[order], sig[order], size[order]
     new = np.append(True, (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])) if len(token) else np.empty(0, bool)
@@ -164,13 +166,13 @@ def _indexer(deals: int) -> Callable[[pa.Table], pa.Table]:
         token, sig, size = _unpack(table)
         df = _frequency(token) if len(token) else token
         often = df > 1
-        token, sig, size, df = token[often].astype("<u4"), sig[often], size[often], df[often].astype("<u4")
+        token, sig, size, df = token[often], sig[often], size[often], df[often].astype("<u4")
         order = np.argsort(sig, kind="stable")
         token, sig, size, df = token[order], sig[order], size[order], df[order]
         head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, np.int64)
         ends = np.append(head[1:], len(sig)) if len(head) else head
         cells = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(head.tolist(), ends.tolist(), strict=True)], pa.binary())
-        return pa.table({"deal": pa.array(mix64(sig[head].view(np.uint64)) % np.uint64(deals), pa.int32()), "bucket": pa.array(np.full(len(head), table["bucket"][0].as_py()), pa.int32()), "sig": sig[head], "n": pa.array(size[head], pa.int64()), "tokens": cells(token), "dfs": cells(df)})
+        return pa.table({"deal": pa.array(mix64(sig[head].view(np.uint64)) % np.uint64(deals), pa.int32()), "sig": sig[head], "n": pa.array(size[head], pa.int64()), "tokens": cells(token), "dfs": cells(df)})
 
     return run
 
@@ -180,8 +182,8 @@ def _prefixer(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
         """Index tokens: of n - ceil(num * n / den) + 1 places, rarest first, those that tokens of one set alone leave over."""
         parts: dict[int, list[tuple[np.ndarray, bytes]]] = {}
         sizes: dict[int, int] = {}
-        for bucket, sig, n, t, d in zip(*(table[c].to_pylist() for c in ("bucket", "sig", "n", "tokens", "dfs")), strict=True):
-            parts.setdefault(sig, []).append((np.frombuffer(t, "<u4").astype(np.int64) + (bucket << 32), d))
+        for sig, n, t, d in zip(*(table[c].to_pylist() for c in ("sig", "n", "tokens", "dfs")), strict=True):
+            parts.setdefault(sig, []).append((np.frombuffer(t, "<i8"), d))
             sizes[sig] = n
         out: list[list] = [[], [], []]
         for sig, own in parts.items():
@@ -269,10 +271,12 @@ def _opener(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def open_groups(pairs: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (ga, gb) of groups, ga = gb for a group in itself; members (grp, sig); sets (sig, tokens) -> links (a, b) that connect all linked members. A task holds a few hundred sets at a time."""
+    """pairs (ga, gb) of groups, ga = gb for a group in itself; members (grp, sig, n); sets (sig, tokens) -> links (a, b) that connect all linked members. A task holds pairs of some DEAL_TOKENS tokens, or one pair."""
     own = members.select("grp", "sig")
+    load = members.groupBy("grp").agg(F.sum("n").alias("load"))
+    total = pairs.join(load.select(F.col("grp").alias("ga"), F.col("load").alias("la")), "ga").join(load.select(F.col("grp").alias("gb"), F.col("load").alias("lb")), "gb").agg(F.sum(F.col("la") + F.col("lb"))).first()[0] or 0
     rows = pairs.join(own.withColumnRenamed("grp", "ga"), "ga").select("ga", "gb", F.lit(0).alias("side"), "sig").unionByName(pairs.where("ga <> gb").join(own.withColumnRenamed("grp", "gb"), "gb").select("ga", "gb", F.lit(1).alias("side"), "sig"))
-    deals = max(1, pairs.count() // PAIRS)
+    deals = max(1, -(-total // DEAL_TOKENS))
     deal: Column = F.pmod(F.xxhash64("ga", "gb"), F.lit(deals)).cast("int").alias("deal")
     return rows.join(sets.select("sig", "tokens"), "sig").select(deal, "ga", "gb", "side", "sig", "tokens").groupBy("deal").applyInArrow(_opener(num, den), "a long, b long")
 
@@ -323,7 +327,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
             own = [np.frombuffer(x, "<u8") for x in batch.column("tokens").to_pylist()]
             yield _pack(own, batch.column("sig").to_pylist(), [len(s) for s in own], groups)
 
-    often = arrow_map(sets, post_all, POSTINGS).groupBy("bucket").applyInArrow(_indexer(deals), "deal int, bucket int, sig long, n long, tokens binary, dfs binary")
+    often = arrow_map(sets, post_all, POSTINGS).groupBy("bucket").applyInArrow(_indexer(deals), "deal int, sig long, n long, tokens binary, dfs binary")
     index = durable(often.groupBy("deal").applyInArrow(_prefixer(num, den), "token long, sig long, n long"), "index")
 
     leader = index.groupBy("token").agg(F.min("sig").alias("grp"), F.count("*").alias("held")).where("held > 1").select("token", "grp")
@@ -341,16 +345,20 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     one = components(first)
     state = member.join(one.withColumnRenamed("node", "sig"), "sig", "left").groupBy("grp").agg(*[f(F.coalesce("comp", "sig")).alias(x) for f, x in ((F.min, "c0"), (F.max, "c1"))], F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = durable(index.join(member.select("sig", "grp"), "sig").select("token", "grp").distinct().join(state, "grp"), "matrix")
-    side = lambda p: matrix.select("token", *[F.col(c).alias(p + c) for c in ("grp", "c0", "c1", "low", "high")])
+    # A token that many groups have is split: each of SPREAD of them meets all the others in a task of its own.
+    parts = matrix.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token", F.expr(f"cast((held - 1) div {SPREAD} as int)").alias("last"))
+    split_ = matrix.join(parts, "token")
+    dealt = {"x": F.explode(F.sequence(F.lit(0), F.col("last"))), "y": F.pmod(F.xxhash64("grp"), F.col("last") + 1).cast("int")}
+    side = lambda p: split_.select("token", dealt[p].alias("part"), *[F.col(c).alias(p + c) for c in ("grp", "c0", "c1", "low", "high")])
     open_ = f"xgrp < ygrp and not (xc0 = xc1 and yc0 = yc1 and xc0 = yc0) and {den} * xhigh >= {num} * ylow and {den} * yhigh >= {num} * xlow"
-    far = durable(side("x").join(side("y"), "token").where(open_).select(F.col("xgrp").alias("ga"), F.col("ygrp").alias("gb")).distinct(), "pairs")
+    far = durable(side("x").join(side("y"), ["token", "part"]).where(open_).select(F.col("xgrp").alias("ga"), F.col("ygrp").alias("gb")).distinct(), "pairs")
     more = open_groups(far, member, sets, num, den)
     comps = components(durable(first.unionByName(more), "links"))
 
-    labelled = nodes.join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("comp", "sig").alias("comp"))
-    least = labelled.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = labelled.join(least, "comp").select("sig", "component_id")
-    joined = rows.join(named, "sig", "left")
+    linked = nodes.join(comps.withColumnRenamed("node", "sig"), "sig").select("sig", "first", "comp")
+    least = linked.groupBy("comp").agg(F.min("first").alias("component_id"))
+    found = nodes.select("sig", "first").join(spread_join(linked.select("sig", "comp"), least, "comp", "sig").select("sig", "component_id"), "sig", "left")
+    joined = rows.join(found.select("sig", F.coalesce("component_id", "first").alias("component_id")), "sig", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -71,7 +71,7 @@ def test_equals_brute_force(spark, k, num):
 
 def test_small_groups_and_buckets(spark, monkeypatch):
     """Many groups, chunks and buckets give the same."""
-    for name, n in (("GROUP", 3), ("PAIRS", 5), ("BUCKET_TOKENS", 2000), ("NODES", 50), ("BROADCAST_IDS", 1)):
+    for name, n in (("GROUP", 3), ("DEAL_TOKENS", 500), ("SPREAD", 3), ("BUCKET_TOKENS", 2000), ("NODES", 50), ("BROADCAST_IDS", 1)):
         monkeypatch.setattr(j, name, n)
     rows = odd_rows(spark)
     rows += near_copies(rows)[:400]
