@@ -13,13 +13,15 @@ from loomspan.llm.linear import fold
 
 #: A document goes at this toxicity score or above.
 TOXIC = 0.5
+#: Working columns; no column of the corpus may be so named.
+SCORE, REST = "loomspan_score", "loomspan_rest"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from the labelled rows that the operator's query learns from."""
     training = F.coalesce(fold(F.col("doc_id"), toxicity.FOLDS) != 0, F.lit(False))
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), "toxic", training)
-    return toxicity.score(docs, model).where(F.col("toxicity") < TOXIC).select(*docs.columns)
+    return toxicity.score(docs, model, SCORE).where(F.col(SCORE) < TOXIC).select(*docs.columns)
 
 
 #: Ids up to this many (8 bytes each, so 8 MB) are broadcast; more are joined by shuffle.
@@ -58,13 +60,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind in angle brackets; n_chars follows the text."""
-    found = pii.detect(docs)
+    """All documents, with personal data replaced by its kind in angle brackets; n_chars follows the text. The other columns travel as one, so none meets a name that the operator uses."""
+    found = pii.detect(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(REST)))
     model = pii.fit(durable(found.select("candidates"), "candidates"))
     clean = pii.redact(pii.label(found, model))
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return clean.select(*docs.columns)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return clean.select(*[new.get(c, F.col(REST)[c]).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

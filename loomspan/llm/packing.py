@@ -97,10 +97,22 @@ class _Table:
         self.start, self.uses = np.cumsum(self.size) - self.size, np.zeros(len(keep), np.int64)
 
 
+def _drops_space(spec: dict) -> bool:
+    """Whether a tokenizer file removes white space before pieces are made: by splitting on it, or by a pattern that keeps matches, none of which holds any."""
+    found = spec.get("pre_tokenizer") or {}
+    for x in found.get("pretokenizers") or [found]:
+        if x.get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer"):
+            return True
+        if x.get("type") == "Split" and x.get("behavior") == "Removed" and x.get("invert") and (pattern := (x.get("pattern") or {}).get("Regex")):
+            split = regex.compile(pattern)
+            return not any(split.search(c) or split.search("a" + c) and len(split.search("a" + c).group()) > 1 or split.search(c + "a") and c in split.search(c + "a").group() for c in " \t\n\r\u00a0\u2003")
+    return False
+
+
 class WordTokenizer:
     """A tokenizer of the `tokenizers` library with tables of words and pieces met before.
 
-    Exact wherever no piece crosses a blank or line end, as is so for vocabularies that drop white space. If the file splits as PIECE
+    Words between blanks and line ends are cut on their own, which is exact where no piece crosses white space; a file for which that is not known is refused. If the file splits as PIECE
     says and lower-cases, plain words are cut to pieces here and only new pieces meet the model; all other words take the library's path.
     When a table is full, the words met only once since the last time are dropped."""
 
@@ -110,6 +122,8 @@ class WordTokenizer:
         self.inner = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if not _drops_space(spec):
+            raise ValueError(f"{path}: pieces may cross white space, so words cannot be cut one by one")
         steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.pieces_apply = steps == ["NFC", "Replace", "Lowercase"] and (first.get("pattern") or {}).get("Regex") == PIECE.pattern

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from helpers import frame, odd_rows
 from tokenizers import Tokenizer
 
@@ -96,3 +97,8 @@ def test_plan_uses_no_more_than_there_is():
             for b in combo:
                 used[b] += n
         assert all(used[b] <= h[b][0] for b in used)
+
+
+def test_vocabularies_that_keep_blanks_are_refused():
+    with pytest.raises(ValueError, match="white space"):
+        packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))

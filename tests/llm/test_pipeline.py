@@ -67,3 +67,15 @@ def test_rows_are_told_apart_by_number(spark):
     finally:
         pipeline.read_table = real
     assert sorted(got, key=str) == sorted([r for r in rows if r[1] != texts[2]], key=str)
+
+
+def test_columns_of_any_name_stay(spark):
+    """Names that operators use inside are columns like others, and all but the last stage give them back."""
+    names = ["toxicity", "candidates", "found", "base_spans", "all_spans", "component_id", "count", "first", "sig", "shard"]
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
+    wide = docs.select("*", *[docs["doc_id"].cast("string").alias(n) for n in names])
+    for _, stage in pipeline.STAGES[:-1]:
+        wide = stage(spark, wide, "/root/testdata/sf0.001")
+        assert wide.columns == [*docs.columns, *names]
+    rows = wide.collect()
+    assert rows and all(r[n] == str(r["doc_id"]) for r in rows for n in names)
