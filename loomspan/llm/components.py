@@ -13,7 +13,9 @@ SALTS = 8
 def spread_join(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
     """Inner join on key with a table that has a key once; rows of one key in `big` go to SALTS tasks by the hash of `by`."""
     salted = big.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    return salted.join(small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "salt"]).drop("salt")
+    # The copies of a row shrink in a shuffle, so its size there would let a much larger table be broadcast.
+    copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    return salted.join(copies, [key, "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -5,14 +5,15 @@ the ascending word positions as delta-coded unsigned 32-bit values, and one dire
 documents. `search` takes the test items in blocks of bounded size. Corpus-wide term counts order the terms of
 each ten-word window; within a shard the offset-adjusted lists are intersected from the rarest term on,
 which mostly ends at once. A window whose intersection over all its terms is not empty occurs there as an exact
-phrase. Proximity matches are windows whose three rarest terms stand within NEAR words of where they should.
+phrase. Proximity matches are windows whose three rarest terms stand within NEAR words of where they should; a window with a term that the shard lacks has none there.
 
 Both steps work shard by shard, so neither a frequent term nor a passage that a third of the documents
 share meets in one task. Shard memory is bounded by SHARD_BYTES or one longest text.
 
 Defined results: null and empty texts have no words and no hits. Items without words or with a null id are left out;
 an item of fewer than ten words is one window. Repeated items count once for an id. Repeated documents are
-separate rows. Other columns are ignored.
+separate rows, and documents or items with equal texts have equal hits. Very long texts are a shard of their own. Without items, or with an empty benchmark, nothing is hit; an empty table gives
+an empty table. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import new_path
 from .common import arrow_map, batch_of, durable, slices, text_buffer
 from .wordhash import ALNUM, split
 
@@ -173,7 +175,7 @@ def search(index: DataFrame, items: DataFrame) -> DataFrame:
     own = items.select("item_id", "text").where("item_id is not null and text is not null")
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    found = None
+    stored = new_path(spark, "hits")
     for b in range(blocks):
         part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         windows = windows_of([(r["item_id"], r["text"]) for r in part.collect()])
@@ -185,9 +187,12 @@ def search(index: DataFrame, items: DataFrame) -> DataFrame:
         useful = F.broadcast(spark.createDataFrame([(t,) for t in sorted({t for p in plan for _, t in p[0]})], "term string"))
         rows = index.join(useful, "term", "left_semi").select(*INDEX_COLUMNS).unionByName(index.where("term is null").select(*INDEX_COLUMNS))
 
-        part_found = rows.groupBy("shard").applyInArrow(_searcher(shared), HITS)
-        found = part_found if found is None else found.unionByName(part_found)
+        found = rows.groupBy("shard").applyInArrow(_searcher(shared), HITS)
+        if blocks > 1:  # each block is stored, so that neither the plan nor what is broadcast grows with their number
+            found.write.parquet(f"{stored}/block={b}")
+            shared.unpersist()
     if blocks > 1:
+        found = spark.read.schema(HITS).parquet(*[f"{stored}/block={b}" for b in range(blocks)])
         merged = found.groupBy("shard", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near_items"))).alias("near_items"))
         step = "case when size(a) > 0 and x.start <= element_at(a, -1).end then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))) else concat(a, array(x)) end"
         found = merged.withColumn("hits", F.expr(f"aggregate(hits, cast(array() as array<struct<start:int,end:int>>), (a, x) -> {step})")).withColumn("near_items", F.array_except("near_items", "items"))

@@ -38,9 +38,10 @@ from .wordhash import NOT_SPACE, shingles, split
 PREFIX = (35, 100)  #: share of each set that step 2 posts
 BUCKET_TOKENS = 1_000_000  #: postings that one task sorts
 GROUP = 128  #: members of a group
-DEAL_TOKENS = 4_000_000  #: tokens of the pairs of groups in one task (32 MB), about
+DEAL_TOKENS = 1_000_000  #: tokens of the pairs of groups in one task (8 MB), about
 SPREAD = 500  #: groups that have a token, of those that one task pairs with all others that have it
 NODES = 20_000  #: sets whose counts one task adds up
+INDEXED = 500  #: sets whose index tokens one task chooses
 BROADCAST_IDS = 1_000_000  #: ids (8 bytes each) up to which they are broadcast; more are joined by shuffle
 SLICE = 2 << 20
 
@@ -320,7 +321,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     sets = durable(arrow_map(kept, take, "sig long, tokens binary").join(left.select("sig", "n"), "sig").dropDuplicates(["sig"]), "sets")
 
     tokens = left.agg(F.sum("n")).first()[0] or 0
-    groups, deals = max(1, -(-tokens // BUCKET_TOKENS)), max(1, -(-n_left // 2000))
+    groups, deals = max(1, -(-tokens // BUCKET_TOKENS)), max(1, -(-n_left // INDEXED))
 
     def post_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "tokens", 8 << 20):
