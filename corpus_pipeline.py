@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import decontaminate, jaccard_join, packing, pii, toxicity
-from loomspan.llm.common import durable, read_table
+from loomspan.llm.common import discard, durable, read_table
+from loomspan.llm.components import spread_join
 from loomspan.llm.linear import fold
 
 #: A document goes at this toxicity score or above.
@@ -45,24 +46,30 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     keyed = _keyed(docs)
     groups = durable(jaccard_join.similar(keyed.select(F.col(KEY).alias("doc_id"), "text"), k=5, num=80, den=100).select(F.col("doc_id").alias(KEY), "component_id"), "groups")
     several = groups.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = durable(groups.join(several, "component_id").join(keyed.select(KEY, "doc_id"), KEY), "members")
+    members = durable(spread_join(groups, several, "component_id", KEY).join(keyed.select(KEY, "doc_id"), KEY), "members")
+    discard(groups)
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))[KEY].alias("first"))
-    gone = durable(members.join(first, "component_id").where(f"first <> {KEY}").select(KEY), "gone")
+    gone = durable(spread_join(members, first, "component_id", KEY).where(f"first <> {KEY}").select(KEY), "gone")
+    discard(members)
     return _join_ids(keyed, gone, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     keyed = _keyed(docs)
-    hits = decontaminate.search(decontaminate.build_index(keyed.select(F.col(KEY).alias("doc_id"), "text")), read_table(spark, sf_dir, "benchmark"))
+    index = decontaminate.build_index(keyed.select(F.col(KEY).alias("doc_id"), "text"))
+    hits = decontaminate.search(index, read_table(spark, sf_dir, "benchmark"))
     gone = durable(hits.where("size(hits) > 0").select(F.col("doc_id").alias(KEY)).distinct(), "gone")
+    discard(index)
     return _join_ids(keyed, gone, "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind in angle brackets; n_chars follows the text. The other columns travel as one, so none meets a name that the operator uses."""
     found = pii.detect(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(REST)))
-    model = pii.fit(durable(found.select("candidates"), "candidates"))
+    candidates = durable(found.select("candidates"), "candidates")
+    model = pii.fit(candidates)
+    discard(candidates)
     clean = pii.redact(pii.label(found, model))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return clean.select(*[new.get(c, F.col(REST)[c]).alias(c) for c in docs.columns])

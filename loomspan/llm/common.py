@@ -31,7 +31,20 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: all that came from them is stored itself or has reached the driver."""
+    for table in tables:
+        _delete(table.sparkSession, table.stored_at)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _FOLDERS: dict[str, str] = {}
@@ -46,8 +59,7 @@ def _own_folder(spark: SparkSession) -> str:
         def clear() -> None:
             with contextlib.suppress(Exception):  # a stopped session has nothing to delete with
                 if spark.sparkContext._jsc is not None:
-                    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-                    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                    _delete(spark, folder)
 
         atexit.register(clear)
     return _FOLDERS[app]

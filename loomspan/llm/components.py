@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 SALTS = 8
 
@@ -29,6 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(seen, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         target = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         new = durable(spread_join(lower, target, "comp", "node").select("node", "old", F.least("comp", "next").alias("comp")), "labels")
-        if new.where("old <> comp").isEmpty():
+        settled = new.where("old <> comp").isEmpty()
+        discard(labels)
+        if settled:
+            discard(both)
             return new.select("node", "comp")
-        labels = new.select("node", "comp")
+        labels = new

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, durable, mix64, slices, text_buffer
+from .common import arrow_map, batch_of, discard, durable, mix64, slices, text_buffer
 from .components import components, spread_join
 from .wordhash import NOT_SPACE, shingles, split
 
@@ -341,7 +341,8 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     member = durable(owned.join(load, "lead").select("sig", "n", named(F.pmod(F.xxhash64("sig"), "parts")).alias("grp"), named(F.lit(0).cast("long")).alias("center")), "groups")
     held = member.groupBy("grp").agg(F.count("*").alias("held"), F.first("center").alias("center"))
     near = held.where("held > 1").select(F.col("grp").alias("ga"), F.col("grp").alias("gb")).unionByName(held.where("grp <> center").select(F.col("center").alias("ga"), F.col("grp").alias("gb")))
-    first = durable(open_groups(durable(near, "pairs"), member, sets, num, den), "links")
+    near = durable(near, "pairs")
+    first = durable(open_groups(near, member, sets, num, den), "links")
 
     one = components(first)
     state = member.join(one.withColumnRenamed("node", "sig"), "sig", "left").groupBy("grp").agg(*[f(F.coalesce("comp", "sig")).alias(x) for f, x in ((F.min, "c0"), (F.max, "c1"))], F.min("n").alias("low"), F.max("n").alias("high"))
@@ -354,7 +355,9 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     open_ = f"xgrp < ygrp and not (xc0 = xc1 and yc0 = yc1 and xc0 = yc0) and {den} * xhigh >= {num} * ylow and {den} * yhigh >= {num} * xlow"
     far = durable(side("x").join(side("y"), ["token", "part"]).where(open_).select(F.col("xgrp").alias("ga"), F.col("ygrp").alias("gb")).distinct(), "pairs")
     more = open_groups(far, member, sets, num, den)
-    comps = components(durable(first.unionByName(more), "links"))
+    links = durable(first.unionByName(more), "links")
+    comps = components(links)
+    discard(left, sets, index, member, near, first, matrix, far, links)
 
     linked = nodes.join(comps.withColumnRenamed("node", "sig"), "sig").select("sig", "first", "comp")
     least = linked.groupBy("comp").agg(F.min("first").alias("component_id"))

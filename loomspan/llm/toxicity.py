@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, durable, slices, text_buffer
+from .common import arrow_map, batch_of, discard, durable, slices, text_buffer
 from .linear import fold, label_sample, minimise, sigmoid
 
 SIZES = (4, 5, 6)
@@ -146,6 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str, in_training: Column,
             yield batch_of(doc_id=batch.column("doc_id"), label=batch.column("label"), places=pa.array(found, pa.binary()))
 
     rows = sorted(arrow_map(texts, places, "doc_id long, label int, places binary").collect(), key=lambda r: r["doc_id"])
+    discard(texts)
     return solve([np.frombuffer(r["places"], "<i4") for r in rows], np.array([r["label"] for r in rows], np.int64), used, ratio)
 
 
