@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, media_jpeg, packing, pii, quality_pu, secret_scan, substring_dedup, toxicity, url_filter
+from . import collocations, decontaminate, jaccard_join, media_jpeg, packing, pii, quality_pu, secret_scan, simhash, substring_dedup, toxicity, url_filter
 from .common import durable, read_table
 
 
@@ -56,6 +56,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.label(found, pii.fit(found)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_quality_classifier, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_toxicity, op7_media_columns, op8_ngram_jaccard_join, op9_secret_scans, op10_pii)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op1_url_filters": url_filter.ORACLE, "op4_benchmark_decontamination": decontaminate.ORACLE, "op8_ngram_jaccard_join": jaccard_join.ORACLE}
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.similar(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_quality_classifier, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_toxicity, op7_media_columns, op8_ngram_jaccard_join, op9_secret_scans, op10_pii, op11_collocations, op12_simhash)}
+
+ORACLES: dict[str, str] = {"op1_url_filters": url_filter.ORACLE, "op4_benchmark_decontamination": decontaminate.ORACLE, "op8_ngram_jaccard_join": jaccard_join.ORACLE, "op11_collocations": collocations.ORACLE}
