@@ -18,6 +18,7 @@ from .plans import reports
 from .sources import lines as src
 from .sources import records as rec
 from .sources.sinks import format_records, write_lines
+from .sources.workspace import drop
 
 
 class _Parser(argparse.ArgumentParser):
@@ -127,15 +128,15 @@ def _run(spark: SparkSession, a: argparse.Namespace, region: select.Region | Non
         exons = transcripts.exons_of(rec.records(src.read_lines(spark, a.file)))
         print(reports.stats_report(statistics.exon_intron_stats(exons)), end="")
     elif a.command == "compare":
-        tx = transcripts.build_transcripts(transcripts.exons_of(rec.records(_two(spark, a.file1, a.file2, "unix")), "src")).persist()
-        counts = comparison.class_counts(comparison.classify(tx))
+        both = transcripts.assemble(transcripts.exons_of(rec.records(_two(spark, a.file1, a.file2, "unix")), "src"))
+        counts = comparison.class_counts(comparison.classify(both))
         n = {r["src"]: r["n_tx"] for r in counts.collect()}
         for s, f in ((1, a.file1), (2, a.file2)):
             if s not in n:
                 _say(f"warning: no exon features in {f}")
         _say(f"Loaded {n.get(1, 0)} + {n.get(2, 0)} transcripts.")
-        print(reports.compare_report(counts, comparison.intron_counts(tx), a.file1, a.file2), end="")
-        tx.unpersist()
+        print(reports.compare_report(counts, comparison.intron_counts(both.introns), a.file1, a.file2), end="")
+        drop(both.tx, both.introns)
     else:
         lines = _two(spark, a.file1, a.file2, "universal")
         _warn(lines)

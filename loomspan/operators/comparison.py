@@ -2,45 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percent
-from .intervals import in_bins, start_bins
-from .transcripts import distinct_introns
+from .intervals import levels_in, overlap_join
+from .transcripts import Assembly, distinct_introns
 
-WIDTH = 1 << 14  #: positions in a bin of the interval join
+REACH_BIN = 1 << 20  #: positions that one task of the search for partners handles
 
 # Classes, best first. '=' same intron chain, 'j' some introns shared, 'o' overlap only, 'u' nothing overlaps.
 CLASSES = ("=", "j", "o", "u")
 
+_INTRON = ["seqname", "strand", "start", "end"]
 
-def overlapping_pairs(tx: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Pairs (a of src 1, b of src 2) on one sequence and strand whose closed spans overlap, with the number of shared introns.
 
-    Both sides are dealt to coordinate bins, which makes an equality join of it; a pair is reported only in the bin where its common part
-    starts. A dense region splits over its bins, so it is no single key."""
-    side = tx.select("src", "tx_id", "seqname", "strand", "start", "end", "n_introns", "intron_keys")
-    keys = ["seqname", "strand"]
-    starts = start_bins(side, keys, width)
-    named = lambda s, p: in_bins(side.where(F.col("src") == s), starts, keys, width).select(*keys, "bin", *[F.col(c).alias(f"{p}_{c}") for c in ("tx_id", "start", "end", "n_introns", "intron_keys")])
-    hit = f"a_start <= b_end and b_start <= a_end and greatest(a_start, b_start) div {width} = bin"
-    both = named(1, "a").join(named(2, "b"), ["seqname", "strand", "bin"]).where(hit)
-    return both.withColumn("shared", F.size(F.array_intersect("a_intron_keys", "b_intron_keys"))).drop("bin", "a_intron_keys", "b_intron_keys")
+def overlapping_pairs(tx: DataFrame) -> DataFrame:
+    """Pairs (a of src 1, b of src 2) on one sequence and strand whose closed spans overlap. tx is read twice, and once for the levels of its spans: a stored table."""
+    side = lambda s: tx.where(F.col("src") == s).select("seqname", "strand", "tx_id", "start", "end", "n_introns")
+    levels = levels_in(tx)
+    return overlap_join(side(1), side(2), ["seqname", "strand"], levels, levels)
+
+
+def with_shared(pairs: DataFrame, introns: DataFrame) -> DataFrame:
+    """pairs with `shared`, the number of distinct introns that both have: introns meet introns, and are counted for each pair of transcripts."""
+    one = lambda s, name: introns.where(F.col("src") == s).select(*_INTRON, F.col("tx_id").alias(name))
+    both = one(1, "a_tx_id").join(one(2, "b_tx_id"), _INTRON).groupBy("a_tx_id", "b_tx_id").agg(F.count("*").cast("int").alias("shared"))
+    return pairs.join(both, ["a_tx_id", "b_tx_id"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
 
 
 def pair_class(pairs: DataFrame) -> DataFrame:
-    """pairs with pair_class and its rank (3 for =, 2 for j, 1 for o). The class is the same seen from either side."""
+    """pairs (with shared) with pair_class and its rank (3 for =, 2 for j, 1 for o). The class is the same seen from either side."""
     same = (F.col("a_n_introns") > 0) & (F.col("shared") == F.col("a_n_introns")) & (F.col("shared") == F.col("b_n_introns"))
     rank = F.when(same, 3).when(F.col("shared") > 0, 2).otherwise(1)
     return pairs.withColumn("rank", rank).withColumn("pair_class", F.array(*map(F.lit, reversed(CLASSES)))[F.col("rank")])
 
 
-def classify(tx: DataFrame, width: int = WIDTH) -> DataFrame:
-    """tx with cmp_class: the best class over all partners, u without any."""
-    ranked = pair_class(overlapping_pairs(tx, width)).select(F.explode(F.array(F.struct(F.lit(1).alias("src"), F.col("a_tx_id").alias("tx_id")), F.struct(F.lit(2).alias("src"), F.col("b_tx_id").alias("tx_id")))).alias("t"), "rank")
-    best = ranked.groupBy("t.src", "t.tx_id").agg(F.max("rank").alias("rank"))
-    return tx.join(best, ["src", "tx_id"], "left").withColumn("cmp_class", F.array(*map(F.lit, reversed(CLASSES)))[F.coalesce("rank", F.lit(0))]).drop("rank")
+def with_partner(tx: DataFrame, width: int = REACH_BIN) -> DataFrame:
+    """src, tx_id of the transcripts that overlap one of the other source. No pair is made.
+
+    A partner starts at or before the end of a transcript, and the greatest end of those that do is at or after its start. So starts (of the one source) and ends (of the other) are put in
+    order, and the greatest end so far is carried along: within bins, each of which begins with a row that holds the greatest end before it."""
+    by = ["seqname", "strand", "of"]
+    given = tx.select("seqname", "strand", F.col("src").alias("of"), F.col("start").alias("at"), F.lit(1).alias("row"), F.col("end").alias("reach"))
+    asked = tx.select("seqname", "strand", (3 - F.col("src")).alias("of"), F.col("end").alias("at"), F.lit(2).alias("row"), "src", "tx_id", "start")
+    rows = given.unionByName(asked, allowMissingColumns=True).withColumn("bin", F.expr(f"at div {width}"))
+    earlier = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*by, "bin").agg(F.max("reach").alias("reach")).select(*by, "bin", F.lit(0).alias("row"), F.max("reach").over(earlier).alias("reach"))
+    so_far = Window.partitionBy(*by, "bin").orderBy("row_first", "at", "row").rowsBetween(Window.unboundedPreceding, 0)
+    swept = rows.unionByName(before, allowMissingColumns=True).withColumn("row_first", F.col("row") > 0).withColumn("so_far", F.max("reach").over(so_far))
+    return swept.where("row = 2 and so_far >= start").select("src", "tx_id")
+
+
+def chain_ranks(introns: DataFrame, tx: DataFrame) -> DataFrame:
+    """src, tx_id, rank: 3 where the other source has a transcript with the same introns, 2 where it has one of the introns. Transcripts that share an intron overlap, as long as no exon ends
+    before it starts, so no pair is made: introns are counted by source, and chains by a fingerprint of 128 bits that does not depend on order."""
+    both = introns.groupBy(*_INTRON).agg((F.bool_or(F.col("src") == 1) & F.bool_or(F.col("src") == 2)).alias("both")).where("both")
+    marked = introns.join(both, _INTRON, "left")
+    mark = lambda *c: F.xxhash64(*c)
+    chain = marked.groupBy("src", "tx_id").agg(F.max("seqname").alias("seqname"), F.max("strand").alias("strand"), F.count("*").alias("n"), F.bit_xor(mark("start", "end")).alias("x"), F.bit_xor(mark("end", "start", F.lit(1))).alias("y"), F.count("both").alias("shared"))
+    key = ["seqname", "strand", "n", "x", "y"]
+    # A chain is whole if none of its introns stands twice; all introns of a match are shared.
+    whole = chain.where("shared = n").join(tx.select("src", "tx_id", "n_introns"), ["src", "tx_id"]).where("n = n_introns")
+    twins = whole.groupBy(*key).agg((F.bool_or(F.col("src") == 1) & F.bool_or(F.col("src") == 2)).alias("twins")).where("twins")
+    exact = whole.join(twins, key, "left_semi").select("src", "tx_id", F.lit(3).alias("rank"))
+    return chain.where("shared > 0").select("src", "tx_id", F.lit(2).alias("rank")).unionByName(exact).groupBy("src", "tx_id").agg(F.max("rank").alias("rank"))
+
+
+def classify(assembly: Assembly) -> DataFrame:
+    """The transcripts with cmp_class: the best class over all partners, u without any.
+
+    Where an exon ends before it starts, transcripts may share an intron and not overlap; then, and only then, the classes come from the pairs."""
+    tx, introns = assembly.tx, assembly.introns
+    if tx.where("reversed").isEmpty():
+        ranks = chain_ranks(introns, tx).unionByName(with_partner(tx).select("src", "tx_id", F.lit(1).alias("rank")))
+    else:
+        pairs = pair_class(with_shared(overlapping_pairs(tx), introns))
+        end = lambda s, c: F.struct(F.lit(s).alias("src"), F.col(c).alias("tx_id"))
+        ranks = pairs.select(F.explode(F.array(end(1, "a_tx_id"), end(2, "b_tx_id"))).alias("t"), "rank").select("t.src", "t.tx_id", "rank")
+    best = ranks.groupBy("src", "tx_id").agg(F.max("rank").alias("rank"))
+    return tx.join(best, ["src", "tx_id"], "left").withColumn("cmp_class", F.array(*map(F.lit, reversed(CLASSES)))[F.coalesce("rank", F.lit(0))]).drop("rank", "reversed")
 
 
 def class_counts(classified: DataFrame) -> DataFrame:
@@ -54,9 +95,9 @@ def class_percentages(classified: DataFrame) -> DataFrame:
     return class_counts(classified).select("src", *[percent(F.col(f"n_{c}"), n).alias(f"pct_{c}") for c in ("exact", "partial", "overlap", "unique")])
 
 
-def intron_counts(tx: DataFrame) -> DataFrame:
+def intron_counts(introns: DataFrame) -> DataFrame:
     """One row: n_introns_1, n_introns_2, n_shared (distinct introns), pct_shared_1, pct_shared_2. One aggregate over both sources tells who has each intron."""
-    has = distinct_introns(tx).groupBy("seqname", "strand", "start", "end").agg(F.max(F.expr("int(src = 1)")).alias("one"), F.max(F.expr("int(src = 2)")).alias("two"))
+    has = distinct_introns(introns).groupBy("seqname", "strand", "start", "end").agg(F.max(F.expr("int(src = 1)")).alias("one"), F.max(F.expr("int(src = 2)")).alias("two"))
     sums = has.agg(F.count_if(F.col("one") == 1).alias("n_introns_1"), F.count_if(F.col("two") == 1).alias("n_introns_2"), F.count_if((F.col("one") == 1) & (F.col("two") == 1)).alias("n_shared"))
     return sums.withColumns({f"pct_shared_{s}": percent(F.col("n_shared"), F.col(f"n_introns_{s}")) for s in (1, 2)})
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.attributes import lookup
 from ..sources.records import with_pairs
-from .intervals import in_bins, start_bins
+from ..sources.workspace import store
+from .intervals import LEVELS, level_of, levels_in, overlap_join
 
 POSITION = ("seqname", "start", "end")
-RANK_BIN = 1 << 20  #: positions whose records one task ranks
+FEW = 100_000  #: rows, of some tens of bytes each, up to which a counted table is broadcast
 
 
 @dataclass(frozen=True)
@@ -77,22 +78,60 @@ def value_counts(recs: DataFrame, key: str, fmt: Column | None = None) -> DataFr
 
 
 def position_rank(recs: DataFrame, *ties: str) -> DataFrame:
-    """Rank of each record by start and end within its sequence: its number within a bin of starts, after all of the bins before. Only one row for each
-    bin is ordered over a whole sequence."""
-    bins = ["seqname", "rank_bin"]
-    own = recs.withColumn("rank_bin", F.expr(f"start div {RANK_BIN}"))
-    before = Window.partitionBy("seqname").orderBy("rank_bin").rowsBetween(Window.unboundedPreceding, -1)
-    base = own.groupBy(*bins).agg(F.count("*").alias("held")).select(*bins, F.coalesce(F.sum("held").over(before), F.lit(0)).alias("rank_base"))
-    local = own.withColumn("rank", F.row_number().over(Window.partitionBy(*bins).orderBy("start", "end", *ties)))
-    return local.join(base, bins).withColumn("rank", (F.col("rank") + F.col("rank_base")).cast("long")).select(*recs.columns, "rank")
-
-
-def overlapping_regions(recs: DataFrame, regions: DataFrame, width: int = 1 << 17) -> DataFrame:
-    """Records joined with a table of regions (region_id, seqname, start, end) that they overlap. Both sides are dealt to bins of `width`
-    positions, so the join has equal keys; a pair is reported in the bin where its common part starts."""
-    keys, own = ["seqname"], regions.select("region_id", "seqname", "start", "end")
-    starts = start_bins(recs.select("seqname", "start", "end").unionByName(own.drop("region_id")), keys, width)
-    a = in_bins(recs, starts, keys, width)
-    b = in_bins(own, starts, keys, width).withColumnsRenamed({"start": "region_start", "end": "region_end"})
-    hit = "start <= region_end and region_start <= `end` and greatest(start, region_start) div {} = bin".format(width)
-    return a.join(b, ["seqname", "bin"]).where(hit).drop("bin")
+    """Rank of each record by start and end within its sequence. The records are sorted once, over ranges that Spark samples, so neither a large sequence nor a dense stretch of it is one task;
+    the sorted table is stored, and what stands before each of its parts follows from their counts."""
+    held = store(recs.orderBy(*POSITION, *ties).select("*", F.spark_partition_id().alias("rank_part"), F.monotonically_increasing_id().alias("rank_place")), "sorted")
+    part = ["seqname", "rank_part"]
+    before = Window.partitionBy("seqname").orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = held.groupBy(*part).agg(F.count("*").alias("held"), F.min("rank_place").alias("rank_first"))
+    base = store(counts.select(*part, "rank_first", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("rank_base")), "ranks")
+    joined = held.join(F.broadcast(base) if base.count() <= FEW else base, part)
+    return joined.withColumn("rank", F.expr("rank_base + rank_place - rank_first + 1")).select(*recs.columns, "rank")
+
+
+def _regions(regions: DataFrame) -> DataFrame:
+    return regions.select("region_id", "seqname", "start", "end")
+
+
+def overlapping_regions(recs: DataFrame, regions: DataFrame) -> DataFrame:
+    """Records joined with a table of regions (region_id, seqname, start, end) that they overlap: recs' columns, region_id, region_start, region_end. Records are read once."""
+    pairs = overlap_join(recs, _regions(regions), ["seqname"], LEVELS, levels_in(regions))
+    own = [F.col("seqname") if c == "seqname" else F.col(f"a_{c}").alias(c) for c in recs.columns]
+    return pairs.select(*own, F.col("b_region_id").alias("region_id"), F.col("b_start").alias("region_start"), F.col("b_end").alias("region_end"))
+
+
+#: Widths of the bins of a stored table, level by level, as powers of two.
+TABLE_POWERS = (20, 30, 40, 50, 62)
+MOST_BINS = 64  #: bins of a level that a region names outright; beyond, it takes those that the table has
+
+
+def write_binned(recs: DataFrame, path: str) -> None:
+    """Records as Parquet partitioned by sequence, level (by length) and bin (of the start). Each stands once, however long it is."""
+    level = level_of(TABLE_POWERS)
+    bins = F.element_at(F.array(*[F.shiftright("start", p) for p in TABLE_POWERS]), F.col("level") + 1)
+    dealt = recs.withColumn("level", level).withColumn("bin", bins)
+    dealt.repartition("seqname", "level", "bin").write.mode("overwrite").partitionBy("seqname", "level", "bin").parquet(path)
+
+
+def regions_of_binned(spark: SparkSession, path: str, schema: str, regions: DataFrame) -> DataFrame:
+    """As overlapping_regions, from a table of write_binned. A record of a level is shorter than its bins, so a region names the bin before its start to that of its end, and Spark
+    prunes the partitions that no region names when it has read the regions."""
+    table = spark.read.schema(f"{schema}, seqname string, level int, bin long").parquet(path)
+    used = store(table.select("seqname", "level", "bin").distinct(), "bins")
+    own = regions.where("`end` >= start").select("region_id", "seqname", F.col("start").alias("region_start"), F.col("end").alias("region_end"))
+    named = []
+    for r in used.select("level").distinct().collect():
+        k = r["level"]
+        low, high = F.shiftright("region_start", TABLE_POWERS[k]) - 1, F.shiftright("region_end", TABLE_POWERS[k])
+        wide = high - low > MOST_BINS
+        narrow = own.where(~wide).withColumn("level", F.lit(k)).withColumn("bin", F.explode(F.sequence(low, F.least(high, low + MOST_BINS))))
+        met = own.where(wide).join(used.where(F.col("level") == k), "seqname").where(F.col("bin").between(low, high))
+        named.append(narrow.unionByName(met.select(*narrow.columns)))
+    if not named:
+        return table.join(own, "seqname").drop("level", "bin")  # an empty table
+    asked = named[0]
+    for n in named[1:]:
+        asked = asked.unionByName(n)
+    asked = store(asked, "regions")
+    small = asked.where("region_end >= region_start")
+    return table.join(F.broadcast(small) if asked.count() <= FEW else small, ["seqname", "level", "bin"]).where("start <= region_end and `end` >= region_start").drop("level", "bin")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.attributes import token_id
+from ..sources.workspace import drop, store
 
 BIN = 1 << 20  #: positions that one task of the locus sweep handles
+EXON_BIN = 1 << 17  #: positions in which the exons of a transcript are ordered together
 
 
 def exons_of(recs: DataFrame, *keep: str) -> DataFrame:
@@ -16,45 +20,69 @@ def exons_of(recs: DataFrame, *keep: str) -> DataFrame:
 
 
 def build_transcripts(exons: DataFrame) -> DataFrame:
-    """exons with src -> src, tx_id, seqname, strand, gene_id, start, end, n_exons, n_introns, introns, intron_keys.
+    """exons with src -> src, tx_id, seqname, strand, gene_id, start, end, n_exons, n_introns, reversed (an exon ends before it starts).
 
-    Grouped by id alone; sequence, strand and gene are those of the exon with the least start (then end, then names). An intron is what lies
-    between two exons that follow each other by (start, end), kept also where it is empty. Exons without an id are one transcript, so what is gathered of
-    an exon is two numbers alone."""
-    ordered = F.array_sort(F.collect_list(F.struct("start", "end")))
+    Grouped by id alone; sequence, strand and gene are those of the exon with the least start (then end, then names). Sums and extremes only, so exons without an id, which are one
+    transcript, are no large group."""
     first = F.min(F.struct("start", "end", "seqname", "strand", "gene_id"))
-    own = exons.groupBy("src", "tx_id").agg(ordered.alias("ex"), first.alias("first"), F.max("end").alias("last"))
-    n = F.size("ex")
-    gap = F.zip_with(F.slice("ex", F.lit(1), n - 1), F.slice("ex", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct((a["end"] + 1).alias("start"), (b["start"] - 1).alias("end")))
+    own = exons.groupBy("src", "tx_id").agg(first.alias("first"), F.max("end").alias("last"), F.count("*").cast("int").alias("n"), F.bool_or(F.col("end") < F.col("start")).alias("reversed"))
     head = F.col("first")
-    tx = own.select("src", "tx_id", head["seqname"].alias("seqname"), head["strand"].alias("strand"), head["gene_id"].alias("gene_id"), head["start"].alias("start"), F.col("last").alias("end"), n.alias("n_exons"), (n - 1).alias("n_introns"), gap.alias("introns"))
-    return tx.withColumn("intron_keys", F.transform("introns", lambda i: F.concat_ws("-", i["start"], i["end"])))
+    return own.select("src", "tx_id", head["seqname"].alias("seqname"), head["strand"].alias("strand"), head["gene_id"].alias("gene_id"), head["start"].alias("start"), F.col("last").alias("end"), F.col("n").alias("n_exons"), (F.col("n") - 1).alias("n_introns"), "reversed")
+
+
+def introns_of(exons: DataFrame, width: int = EXON_BIN) -> DataFrame:
+    """src, tx_id, seqname, strand, start, end of each intron: what lies between two exons that follow each other by (start, end), kept also where it is empty.
+
+    The exons of a transcript are ordered within bins of starts. Each bin gets one more row, which stands last: the first start of the transcript's next bin, and the sequence and strand of its
+    very first exon. Only one row for each bin is ordered over a whole transcript."""
+    own = exons.withColumn("bin", F.expr(f"start div {width}"))
+    by = ["src", "tx_id", "bin"]
+    first = own.groupBy(*by).agg(F.min(F.struct("start", "end", "seqname", "strand", "gene_id")).alias("first"))
+    bins = Window.partitionBy("src", "tx_id").orderBy("bin")
+    border = first.select(*by, F.lit(1).alias("border"), F.lead("first.start").over(bins).alias("start"), F.lit(None).cast("long").alias("end"), F.first("first").over(bins).alias("head"))
+    rows = own.select(*by, F.lit(0).alias("border"), "start", "end").unionByName(border, allowMissingColumns=True)
+    within = Window.partitionBy(*by)
+    after = rows.withColumn("next", F.lead("start").over(within.orderBy("border", "start", "end"))).withColumn("head", F.max("head").over(within))
+    return after.where("border = 0 and next is not null").select("src", "tx_id", "head.seqname", "head.strand", (F.col("end") + 1).alias("start"), (F.col("next") - 1).alias("end"))
+
+
+def distinct_introns(introns: DataFrame) -> DataFrame:
+    return introns.select("src", "seqname", "strand", "start", "end").distinct()
+
 
+@dataclass(frozen=True)
+class Assembly:
+    """Transcripts and their distinct introns, each stored once."""
 
-def introns_of(tx: DataFrame) -> DataFrame:
-    """src, tx_id, seqname, strand, start, end of each intron."""
-    return tx.select("src", "tx_id", "seqname", "strand", F.explode("introns").alias("i")).select("src", "tx_id", "seqname", "strand", "i.start", "i.end")
+    tx: DataFrame
+    introns: DataFrame  #: src, tx_id, seqname, strand, start, end
 
 
-def distinct_introns(tx: DataFrame) -> DataFrame:
-    return introns_of(tx).select("src", "seqname", "strand", "start", "end").distinct()
+def assemble(exons: DataFrame) -> Assembly:
+    """Stores exons, transcripts and introns, so that lines are read and parsed once."""
+    kept = store(exons.select("src", "seqname", "strand", "tx_id", "gene_id", "start", "end"), "exons")
+    out = Assembly(store(build_transcripts(kept), "transcripts"), store(introns_of(kept).distinct(), "introns"))
+    drop(kept)
+    return out
 
 
 def assign_locus(tx: DataFrame, width: int = BIN) -> DataFrame:
     """tx with `locus`: the number, within sequence and strand, of the run of transcripts that overlap without a gap.
 
-    The sweep over a sequence is cut into bins of starts: what reaches into a bin is the greatest end before it, and numbers continue from the bins
-    before. Only one row for each bin is ordered over the whole sequence, so a large chromosome is not one task."""
-    strand = ["seqname", "strand"]
+    A parallel prefix over bins of starts. Each bin by itself gives its greatest end and the starts of its own runs; from one row for each bin follow the greatest end before a bin
+    (what starts up to there opens no locus) and the number of loci before it. Both enter the bin again as a row that stands first."""
+    bins = ["seqname", "strand", "bin"]
     own = tx.withColumn("bin", F.expr(f"start div {width}"))
-    ends = own.groupBy(*strand, "bin").agg(F.max("end").alias("bin_end"))
-    earlier = Window.partitionBy(*strand).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    reach = ends.withColumn("reach", F.max("bin_end").over(earlier)).drop("bin_end")
-    within = Window.partitionBy(*strand, "bin").orderBy("start", "end")
-    before = F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    joined = own.join(reach, [*strand, "bin"]).withColumn("covered", F.greatest("reach", before))
-    opens = F.when(F.col("covered").isNull() | (F.col("start") > F.col("covered")), 1).otherwise(0)
-    local = joined.withColumn("opens", opens).withColumn("number", F.sum("opens").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    base = local.groupBy(*strand, "bin").agg(F.sum("opens").alias("opened"))
-    base = base.withColumn("base", F.coalesce(F.sum("opened").over(earlier), F.lit(0))).drop("opened")
-    return local.join(base, [*strand, "bin"]).withColumn("locus", (F.col("number") + F.col("base")).cast("long")).select(*tx.columns, "locus")
+    within = Window.partitionBy(*bins)
+    before = F.max("end").over(within.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    runs = own.select(*bins, "start", "end", before.alias("before")).groupBy(*bins).agg(F.max("end").alias("last"), F.collect_list(F.when(F.col("before").isNull() | (F.col("start") > F.col("before")), F.col("start"))).alias("heads"))
+    earlier = Window.partitionBy("seqname", "strand").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    reach = runs.withColumn("end", F.max("last").over(earlier))
+    opened = F.size(F.filter("heads", lambda h: F.col("end").isNull() | (h > F.col("end"))))
+    start = reach.withColumn("opened", opened).select(*bins, "end", F.lit(0).alias("row"), F.coalesce(F.sum("opened").over(earlier), F.lit(0)).alias("base"))
+    rows = own.withColumn("row", F.lit(1)).unionByName(start, allowMissingColumns=True)
+    order = within.orderBy("row", "start", "end")
+    covered = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("row") == 0, F.col("base")).when(F.col("covered").isNull() | (F.col("start") > F.col("covered")), 1).otherwise(0)
+    numbered = rows.withColumn("covered", covered).withColumn("opens", opens).withColumn("locus", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    return numbered.where("row = 1").select(*tx.columns, "locus")

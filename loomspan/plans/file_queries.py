@@ -14,16 +14,16 @@ from ..operators import comparison, identifiers, select, statistics, transcripts
 from ..sources import lines as src
 from ..sources import records as rec
 from ..sources import sinks
-from ..sources.workspace import new_path
+from ..sources.workspace import own_path, store
 from . import fixture, reports
-from .queries import _EXONS, _IDS, _PAIRS, _RECORD, _SUM, _TX, ORACLES, REGION, _exon_records, _exons, _raw, _tx, query
+from .queries import _EXONS, _IDS, _PAIRS, _RECORD, _SUM, _TX, ORACLES, REGION, _assembly, _exon_records, _exons, _raw, query
 
 LAST_SLOT = 5  #: exons of later slots stand after the sequence section
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of the files, as the scan gives them, with src and seqname from the path."""
-    path = new_path(spark, "files")
+    path = own_path(spark, "files")
     exons = rec.records(fixture.exon_lines(spark, sf_dir).withColumn("line", F.col("value")))
     slot = F.regexp_extract("attributes", "exon_number ([0-9]+)", 1).cast("int")
     body = exons.select("src", "seqname", F.when(slot <= LAST_SLOT, 3).otherwise(5).alias("place"), "start", F.col("line").alias("value"))
@@ -76,7 +76,7 @@ def file_malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_EXONS} SELECT DISTINCT src, gene_id AS id FROM ex")
 def file_carriage_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of files whose lines end in a carriage return and a line feed."""
-    path = new_path(spark, "crlf")
+    path = own_path(spark, "crlf")
     fixture.exon_lines(spark, sf_dir).select("src", F.concat("value", F.lit("\r")).alias("value")).write.partitionBy("src").text(path)
     return identifiers.ids(rec.raw_records(_named(src.read_lines(spark, path, "universal"))), "gene_id")
 
@@ -87,14 +87,14 @@ def _back(spark: SparkSession, path: str) -> DataFrame:
 
 @query(f"WITH {_IDS} SELECT value FROM (SELECT {_RECORD} FROM ex)")
 def sink_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "records")
+    path = own_path(spark, "records")
     sinks.write_records(_exon_records(spark, sf_dir), path, select.POSITION)
     return _back(spark, path)
 
 
 @query(f"WITH {_IDS} SELECT value FROM (SELECT {_RECORD} FROM ex WHERE src = 1 AND gene_id NOT IN (SELECT id FROM genes WHERE in_2))")
 def sink_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "raw")
+    path = own_path(spark, "raw")
     sinks.write_lines(identifiers.records_only_in(_raw(spark, sf_dir), 1), path, ("src", "value"))
     return _back(spark, path)
 
@@ -102,7 +102,7 @@ def sink_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_EXONS} SELECT tx_id AS value FROM ex")
 def sink_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One attribute value a line."""
-    path = new_path(spark, "scalars")
+    path = own_path(spark, "scalars")
     sinks.write_lines(select.attribute(_exon_records(spark, sf_dir), "transcript_id", F.lit("gtf")), path, select.POSITION)
     return _back(spark, path)
 
@@ -113,13 +113,13 @@ def sink_written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted as the rows are written."""
     raw = _raw(spark, sf_dir)
     kept = {"merge": identifiers.merge(raw), "only-in-1": identifiers.records_only_in(raw, 1), "only-in-2": identifiers.records_only_in(raw, 2)}
-    return spark.createDataFrame([(k, sinks.write_lines(d, new_path(spark, "written"), ("src", "value"))) for k, d in kept.items()], "output string, n long")
+    return spark.createDataFrame([(k, sinks.write_lines(d, own_path(spark, "written"), ("src", "value"))) for k, d in kept.items()], "output string, n long")
 
 
 @query(ORACLES["overlap_region"])
 def sorted_table_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A region of a table that is ranged and sorted by position: files and row groups outside it are not read."""
-    path = new_path(spark, "sorted")
+    path = own_path(spark, "sorted")
     sinks.write_table(_exon_records(spark, sf_dir), path)
     return select.overlapping(spark.read.parquet(path), REGION).select("src", "seqname", "start", "end", "strand")
 
@@ -154,8 +154,8 @@ def _block(s: int) -> str:
  UNION ALL SELECT 24, printf('  Sensitivity (GTF1 exact / GTF1 total) : %.1f%%', 100.0::DOUBLE * n_exact / n_tx) FROM counts WHERE src = 1
  UNION ALL SELECT 25, printf('  Precision   (GTF2 exact / GTF2 total) : %.1f%%', 100.0::DOUBLE * n_exact / n_tx) FROM counts WHERE src = 2)""")
 def report_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = _tx(spark, sf_dir)
-    return _rows(spark, reports.compare_report(comparison.class_counts(comparison.classify(tx)), comparison.intron_counts(tx), "one.gtf", "two.gtf"))
+    both = _assembly(spark, sf_dir)
+    return _rows(spark, reports.compare_report(comparison.class_counts(comparison.classify(both)), comparison.intron_counts(both.introns), "one.gtf", "two.gtf"))
 
 
 def _id_block(level: str, title: str, at: int) -> str:
@@ -192,7 +192,7 @@ def argument_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT a.tx_id AS a_tx_id, b.tx_id AS b_tx_id FROM all_tx a JOIN all_tx b ON a.src = 1 AND b.src = 2 AND a.seqname = b.seqname AND a.strand = b.strand AND a.start <= b."end" AND b.start <= a."end" """)
 def wild_interval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     wild = spark.createDataFrame([(2, "chr1", "+", "wild", "w", 100, 10**14), (1, "chr1", "+", "far", "f", 10**14 - 1000, 10**14 - 500)], "src int, seqname string, strand string, tx_id string, gene_id string, start long, end long")
-    return comparison.overlapping_pairs(transcripts.build_transcripts(_exons(spark, sf_dir).unionByName(wild))).select("a_tx_id", "b_tx_id")
+    return comparison.overlapping_pairs(store(transcripts.build_transcripts(_exons(spark, sf_dir).unionByName(wild)), "transcripts")).select("a_tx_id", "b_tx_id")
 
 
 @query(f"WITH {_EXONS} SELECT src, '' AS tx_id, min(start) AS start, max(\"end\") AS \"end\", CAST(count(*) AS INT) AS n_exons, CAST(count(*) - 1 AS INT) AS n_introns FROM ex GROUP BY src")

@@ -11,6 +11,7 @@ from ..functions.numbers import six_digits
 from ..operators import comparison, identifiers, select, statistics, transcripts
 from ..sources import records as rec
 from ..sources.sinks import record_text
+from ..sources.workspace import own_path, store
 from . import fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,7 +83,15 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts.build_transcripts(_exons(spark, sf_dir))
+    return transcripts.build_transcripts(_exons(spark, sf_dir)).drop("reversed")
+
+
+def _assembly(spark: SparkSession, sf_dir: str) -> transcripts.Assembly:
+    return transcripts.assemble(_exons(spark, sf_dir))
+
+
+def _introns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.introns_of(store(_exons(spark, sf_dir), "exons"))
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,12 +162,23 @@ def overlap_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exon_records(spark, sf_dir).where(select.in_region(select.parse_region(REGION))).agg(F.count("*").alias("hits"))
 
 
+def _region_set(spark: SparkSession) -> DataFrame:
+    n = F.col("id")
+    return spark.range(40).select(n.cast("int").alias("region_id"), F.concat(F.lit("chr"), n % 5 + 1).alias("seqname"), (n * 70000 + 1).alias("start"), (n * 70000 + 9000).alias("end"))
+
+
 @query(f"""WITH {_EXONS}, reg AS (SELECT CAST(n AS INT) AS region_id, 'chr' || (n % 5 + 1) AS seqname, n * 70000 + 1 AS s, n * 70000 + 9000 AS e FROM range(40) t(n))
  SELECT r.region_id, x.src, x.seqname, x.start, x."end" FROM ex x JOIN reg r ON x.seqname = r.seqname AND x.start <= r.e AND r.s <= x."end" """)
 def overlap_region_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("id")
-    regions = spark.range(40).select(n.cast("int").alias("region_id"), F.concat(F.lit("chr"), n % 5 + 1).alias("seqname"), (n * 70000 + 1).alias("start"), (n * 70000 + 9000).alias("end"))
-    return select.overlapping_regions(_exon_records(spark, sf_dir), regions).select("region_id", "src", "seqname", "start", "end")
+    return select.overlapping_regions(_exon_records(spark, sf_dir), _region_set(spark)).select("region_id", "src", "seqname", "start", "end")
+
+
+@query(ORACLES["overlap_region_set"])
+def binned_region_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table stored by bins, of which only the bins that regions name are read."""
+    path = own_path(spark, "binned")
+    select.write_binned(_exon_records(spark, sf_dir).select("src", "seqname", "start", "end"), path)
+    return select.regions_of_binned(spark, path, "src int, start long, end long", _region_set(spark)).select("region_id", "src", "seqname", "start", "end")
 
 
 @query(f"WITH {_EXONS} SELECT seqname, start, \"end\", src, attributes, row_number() OVER (PARTITION BY seqname ORDER BY start, \"end\", src, attributes) AS rank FROM (SELECT *, 'gene_id \"' || gene_id || '\"; transcript_id \"' || tx_id || '\"; exon_number ' || slot || ';' AS attributes FROM ex)")
@@ -178,12 +198,12 @@ def tx_exon_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TX} SELECT * FROM tx")
 def tx_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tx(spark, sf_dir).drop("introns", "intron_keys")
+    return _tx(spark, sf_dir)
 
 
 @query(f"WITH {_TX} SELECT * FROM intr")
 def tx_introns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts.introns_of(_tx(spark, sf_dir))
+    return _introns(spark, sf_dir)
 
 
 @query(f"""WITH {_EXONS}, t AS (SELECT tx_id, min(gene_id) AS gene_id, count(*) AS c FROM ex WHERE src = 1 GROUP BY tx_id)
@@ -203,7 +223,7 @@ def exon_intron_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TX} SELECT DISTINCT src, seqname, strand, start, \"end\" FROM intr")
 def introns_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts.distinct_introns(_tx(spark, sf_dir))
+    return transcripts.distinct_introns(_introns(spark, sf_dir))
 
 
 _SHARE = f"""WITH {_TX}, d AS (SELECT seqname, strand, start, "end", max(CAST(src = 1 AS INT)) AS one, max(CAST(src = 2 AS INT)) AS two FROM intr GROUP BY ALL),
@@ -212,12 +232,12 @@ _SHARE = f"""WITH {_TX}, d AS (SELECT seqname, strand, start, "end", max(CAST(sr
 
 @query(f"{_SHARE} SELECT n_introns_1, n_introns_2, n_shared FROM s")
 def introns_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.intron_counts(_tx(spark, sf_dir)).select("n_introns_1", "n_introns_2", "n_shared")
+    return comparison.intron_counts(_introns(spark, sf_dir)).select("n_introns_1", "n_introns_2", "n_shared")
 
 
 @query(f"{_SHARE} SELECT CAST(100 AS DOUBLE) * n_shared / n_introns_1 AS pct_shared_1, CAST(100 AS DOUBLE) * n_shared / n_introns_2 AS pct_shared_2 FROM s")
 def intron_share_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.intron_counts(_tx(spark, sf_dir)).select("pct_shared_1", "pct_shared_2")
+    return comparison.intron_counts(_introns(spark, sf_dir)).select("pct_shared_1", "pct_shared_2")
 
 
 _LOCI = f"""WITH {_TX}, m AS (SELECT *, max("end") OVER (PARTITION BY seqname, strand ORDER BY start, "end", src, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM tx),
@@ -226,48 +246,50 @@ _LOCI = f"""WITH {_TX}, m AS (SELECT *, max("end") OVER (PARTITION BY seqname, s
 
 @query(f"{_LOCI} SELECT src, tx_id, seqname, strand, start, \"end\", locus FROM l")
 def loci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts.assign_locus(_tx(spark, sf_dir)).select("src", "tx_id", "seqname", "strand", "start", "end", "locus")
+    return transcripts.assign_locus(store(_tx(spark, sf_dir), "transcripts")).select("src", "tx_id", "seqname", "strand", "start", "end", "locus")
 
 
 @query(f"{_LOCI} SELECT seqname, strand, locus, min(start) AS start, max(\"end\") AS \"end\", count(*) AS n_tx FROM l GROUP BY seqname, strand, locus")
 def locus_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts.assign_locus(_tx(spark, sf_dir)).groupBy("seqname", "strand", "locus").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_tx"))
+    return transcripts.assign_locus(store(_tx(spark, sf_dir), "transcripts")).groupBy("seqname", "strand", "locus").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_tx"))
 
 
 @query(f"WITH {_PAIRS} SELECT seqname, strand, a_tx_id, b_tx_id, a_start, a_end, b_start, b_end FROM pairs")
 def tx_pairs_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.overlapping_pairs(_tx(spark, sf_dir)).select("seqname", "strand", "a_tx_id", "b_tx_id", "a_start", "a_end", "b_start", "b_end")
+    return comparison.overlapping_pairs(store(_tx(spark, sf_dir), "transcripts")).select("seqname", "strand", "a_tx_id", "b_tx_id", "a_start", "a_end", "b_start", "b_end")
 
 
 @query(f"WITH {_PAIRS} SELECT a_tx_id, b_tx_id, shared FROM shared")
 def tx_pairs_shared_introns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.overlapping_pairs(_tx(spark, sf_dir)).select("a_tx_id", "b_tx_id", "shared")
+    both = _assembly(spark, sf_dir)
+    return comparison.with_shared(comparison.overlapping_pairs(both.tx), both.introns).select("a_tx_id", "b_tx_id", "shared")
 
 
 @query(f"WITH {_PAIRS} SELECT a_tx_id, b_tx_id, ['u', 'o', 'j', '='][rank + 1] AS pair_class FROM ranked")
 def tx_pair_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.pair_class(comparison.overlapping_pairs(_tx(spark, sf_dir))).select("a_tx_id", "b_tx_id", "pair_class")
+    both = _assembly(spark, sf_dir)
+    return comparison.pair_class(comparison.with_shared(comparison.overlapping_pairs(both.tx), both.introns)).select("a_tx_id", "b_tx_id", "pair_class")
 
 
 @query(f"WITH {_PAIRS} SELECT src, tx_id, cmp_class FROM cls")
 def tx_best_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.classify(_tx(spark, sf_dir)).select("src", "tx_id", "cmp_class")
+    return comparison.classify(_assembly(spark, sf_dir)).select("src", "tx_id", "cmp_class")
 
 
 @query(f"WITH {_PAIRS} SELECT * FROM counts")
 def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.class_counts(comparison.classify(_tx(spark, sf_dir)))
+    return comparison.class_counts(comparison.classify(_assembly(spark, sf_dir)))
 
 
 @query(f"""WITH {_PAIRS} SELECT src, CAST(100 AS DOUBLE) * n_exact / n_tx AS pct_exact, CAST(100 AS DOUBLE) * n_partial / n_tx AS pct_partial,
  CAST(100 AS DOUBLE) * n_overlap / n_tx AS pct_overlap, CAST(100 AS DOUBLE) * n_unique / n_tx AS pct_unique FROM counts""")
 def class_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.class_percentages(comparison.classify(_tx(spark, sf_dir)))
+    return comparison.class_percentages(comparison.classify(_assembly(spark, sf_dir)))
 
 
 @query(f"""WITH {_PAIRS} SELECT max(CASE WHEN src = 1 THEN CAST(100 AS DOUBLE) * n_exact / n_tx END) AS sensitivity, max(CASE WHEN src = 2 THEN CAST(100 AS DOUBLE) * n_exact / n_tx END) AS precision FROM counts""")
 def sens_prec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.sensitivity_precision(comparison.classify(_tx(spark, sf_dir)))
+    return comparison.sensitivity_precision(comparison.classify(_assembly(spark, sf_dir)))
 
 
 @query(f"WITH {_IDS} SELECT id FROM genes WHERE in_1 AND in_2")

@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from loomspan import cli
 from loomspan.operators import comparison, identifiers, select, statistics, transcripts
@@ -21,8 +23,7 @@ def exons(spark, *sources, seqname="chr1", strand="+"):
 
 
 def classes(spark, a, b):
-    tx = transcripts.build_transcripts(exons(spark, a, b))
-    return {(r["src"], r["tx_id"]): r["cmp_class"] for r in comparison.classify(tx).collect()}
+    return {(r["src"], r["tx_id"]): r["cmp_class"] for r in comparison.classify(transcripts.assemble(exons(spark, a, b))).collect()}
 
 
 THREE = [(1000, 1200), (1500, 1700), (2000, 2200)]
@@ -61,12 +62,15 @@ def test_pairs_and_loci_equal_the_plain_definition(spark):
     tx = []
     for i in range(400):
         s = random.randrange(0, 300_000)
-        tx.append((random.choice([1, 2]), f"t{i}", random.choice(["a", "b"]), random.choice("+-"), s, s + random.choice([-5, 0, 10, 3000, 40_000]), 0, []))
-    df = spark.createDataFrame(tx, "src int, tx_id string, seqname string, strand string, start long, end long, n_introns int, intron_keys array<string>")
+        tx.append((random.choice([1, 2]), f"t{i}", random.choice(["a", "b"]), random.choice("+-"), s, s + random.choice([-5, 0, 10, 3000, 40_000, 10**9]), 0))
+    df = spark.createDataFrame(tx, "src int, tx_id string, seqname string, strand string, start long, end long, n_introns int").repartition(3)
     want = {(x[1], y[1]) for x in tx for y in tx if x[0] == 1 and y[0] == 2 and x[2:4] == y[2:4] and x[4] <= y[5] and y[4] <= x[5]}
-    for width in (1 << 10, 1 << 14, 1 << 20):
-        got = [(r["a_tx_id"], r["b_tx_id"]) for r in comparison.overlapping_pairs(df, width).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+    got = [(r["a_tx_id"], r["b_tx_id"]) for r in comparison.overlapping_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    met = {(1, a) for a, _ in want} | {(2, b) for _, b in want}
+    for width in (1000, 50_000, 1 << 20):
+        found = [tuple(r) for r in comparison.with_partner(df, width).collect()]
+        assert len(found) == len(met) and set(found) == met
     number, reach, last = {}, None, None
     for x in sorted(tx, key=lambda x: (x[2], x[3], x[4], x[5])):
         if x[2:4] != last:
@@ -91,7 +95,72 @@ def test_transcripts_join_by_id_alone(spark):
     df = spark.createDataFrame([(1, "c2", "-", "t", "g2", 500, 600), (1, "c1", "+", "t", "g1", 100, 700), (1, "c1", "+", "t", "g1", 150, 160)], EXONS)
     r = transcripts.build_transcripts(df).first()
     assert (r["seqname"], r["strand"], r["gene_id"], r["start"], r["end"], r["n_exons"], r["n_introns"]) == ("c1", "+", "g1", 100, 700, 3, 2)
-    assert [tuple(i) for i in r["introns"]] == [(701, 149), (161, 499)]
+    for width in (60, 400, 1 << 17):
+        assert sorted(tuple(i) for i in transcripts.introns_of(df, width).collect()) == [(1, "t", "c1", "+", 161, 499), (1, "t", "c1", "+", 701, 149)]
+
+
+def random_exons(n, wild):
+    """Transcripts with shared exons, repeated ones, and (wild) exons that end before they start."""
+    random.seed(n)
+    rows = []
+    for i in range(n):
+        at, tx = random.randrange(40) * 500, f"t{i}"
+        for _ in range(random.choice([1, 1, 2, 3, 4])):
+            end = at + random.choice([100, 200])
+            rows.append((random.choice([1, 2]) if random.random() < 0.02 else i % 2 + 1, random.choice(["c1", "c1", "c2"]) if random.random() < 0.02 else "c1", "+", tx, "g", at, at - 300 if wild and random.random() < 0.1 else end))
+            if random.random() < 0.03:
+                rows.append(rows[-1])
+            at = end + random.choice([0, 50, 300])
+    return rows
+
+
+def plain_classes(rows):
+    """Every pair of transcripts, by the definition."""
+    tx = {}
+    for s, q, st, t, _, a, b in rows:
+        tx.setdefault((s, t), []).append((a, b, q, st))
+    own = {}
+    for k, ex in tx.items():
+        ex.sort()
+        own[k] = (*ex[0][2:], ex[0][0], max(e[1] for e in ex), [(x[1] + 1, y[0] - 1) for x, y in zip(ex, ex[1:], strict=False)])
+    out = {}
+    for k, (q, st, a, b, ins) in own.items():
+        rank = 0
+        for m, (q2, st2, a2, b2, ins2) in own.items():
+            if k[0] != m[0] and (q, st) == (q2, st2) and a <= b2 and a2 <= b:
+                shared = len(set(ins) & set(ins2))
+                rank = max(rank, 3 if ins and shared == len(ins) == len(ins2) else 2 if shared else 1)
+        out[k] = "uoj="[rank]
+    return out
+
+
+@pytest.mark.parametrize("wild", [False, True])
+def test_classes_equal_all_pairs(spark, wild):
+    rows = random_exons(150, wild)
+    both = transcripts.assemble(spark.createDataFrame(rows, EXONS).repartition(3))
+    assert {(r["src"], r["tx_id"]): r["cmp_class"] for r in comparison.classify(both).collect()} == plain_classes(rows)
+    pairs = comparison.with_shared(comparison.overlapping_pairs(both.tx), both.introns)
+    ranks = {}
+    for r in comparison.pair_class(pairs).collect():
+        for k in ((1, r["a_tx_id"]), (2, r["b_tx_id"])):
+            ranks[k] = max(ranks.get(k, 0), r["rank"])
+    assert {k: "uoj="[ranks.get(k, 0)] for k in plain_classes(rows)} == plain_classes(rows)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_of_joins_read_little(spark):
+    """Interval joins read each side once, carry no introns, and a class needs no join of intervals."""
+    both = transcripts.assemble(exons(spark, {"A": THREE}, {"B": THREE}))
+    pairs = plan(comparison.overlapping_pairs(both.tx))
+    assert pairs.count("Scan parquet") == 2 and "intron" not in pairs.replace("n_introns", "")
+    assert plan(transcripts.assign_locus(both.tx)).count("Scan parquet") == 2
+    assert plan(comparison.with_partner(both.tx)).count("Scan parquet") <= 4 and "Join" not in plan(comparison.with_partner(both.tx))
+    assert "collect_list" not in plan(transcripts.build_transcripts(both.tx.select("src", "tx_id", "seqname", "strand", "gene_id", "start", "end")))
+    recs = both.tx.select("seqname", "start", "end")
+    assert plan(select.overlapping_regions(recs, spark.range(3).selectExpr("id as region_id", "'chr1' as seqname", "id as start", "id + 5 as `end`"))).count("Scan parquet") == 1
 
 
 def line(gene, tx, feature="exon", start=1, end=9):
@@ -170,5 +239,31 @@ def test_wild_coordinates(spark):
 def test_many_exons_without_id(spark):
     n = 1_000_000
     exons = spark.range(n).selectExpr("1 as src", "'c' as seqname", "'+' as strand", "'' as tx_id", "'' as gene_id", "id * 10 as start", "id * 10 + 4 as `end`")
-    r = transcripts.build_transcripts(exons).selectExpr("n_exons", "`end`", "element_at(introns, -1).start as last").first()
-    assert tuple(r) == (n, n * 10 - 6, n * 10 - 15)
+    r = transcripts.build_transcripts(exons).selectExpr("n_exons", "`end`").first()
+    assert tuple(r) == (n, n * 10 - 6)
+    gaps = transcripts.introns_of(exons)
+    assert tuple(gaps.selectExpr("count(*)", "count_if(`end` - start = 4)", "max(start)").first()) == (n - 1, n - 1, n * 10 - 15)
+
+
+def test_ranks_of_a_dense_stretch_are_balanced(spark):
+    """One megabase with most of the records is many tasks, and ties go on counting."""
+    recs = spark.range(200_000).selectExpr("if(id % 10 = 0, 'b', 'a') as seqname", "id % 1000 as start", "id % 1000 + 5 as `end`", "id as name").repartition(8)
+    ranked = select.position_rank(recs, "name")
+    assert ranked.count() == 200_000
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    held = [r["count"] for r in ranked.where("seqname = 'a'").groupBy((F.col("rank") / 10_000).cast("int")).count().collect()]
+    assert max(held) <= 10_000 and int(n) > 1
+    w = Window.partitionBy("seqname").orderBy("start", "end", "name")
+    assert ranked.withColumn("want", F.row_number().over(w)).where("rank <> want").isEmpty()
+
+
+def test_binned_table_reads_what_regions_name(spark, tmp_path):
+    random.seed(1)
+    rows = [(i, random.choice("ab"), s := random.randrange(10**8), s + random.choice([0, 5, 10**6, 3 * 10**7])) for i in range(500)] + [(900, "a", 10, 10**14), (901, "a", 50, 20), (902, "b", -(10**7), -5)]
+    recs = spark.createDataFrame(rows, "id int, seqname string, start long, end long")
+    select.write_binned(recs, str(tmp_path / "t"))
+    regions = [(1, "a", 5 * 10**7, 5 * 10**7 + 100), (2, "b", 1, 10), (3, "a", -5, 10**15), (4, "z", 1, 2), (5, "b", 9, 4), (6, "b", -20, 0)]
+    got = select.regions_of_binned(spark, str(tmp_path / "t"), "id int, start long, end long", spark.createDataFrame(regions, "region_id int, seqname string, start long, end long"))
+    want = sorted((r, i) for r, q, a, b in regions for i, n, s, e in rows if a <= b and q == n and s <= b and a <= e)
+    assert sorted((r["region_id"], r["id"]) for r in got.collect()) == want
+    assert "dynamicpruning" in plan(got)
