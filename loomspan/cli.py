@@ -10,6 +10,7 @@ from pathlib import Path
 from typing import NoReturn
 from urllib.parse import unquote, urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from .operators import comparison, identifiers, select, statistics, transcripts
 from .plans import reports
 from .sources import lines as src
 from .sources import records as rec
-from .sources.sinks import format_records, write_lines
+from .sources.sinks import format_records, record_text, write_lines, write_parsed
 from .sources.workspace import drop
 
 
@@ -66,6 +67,21 @@ def _emit(lines: DataFrame, order: Sequence[str], out: str | None) -> int:
     return n
 
 
+def _print(parsed: DataFrame, out: str | None) -> dict[str, object]:
+    """Records go out, and all lines are counted, in one run of the lines."""
+    if out:
+        return write_parsed(parsed, out, src.ORDER)
+    seen: dict[str, object] = {"parsed": 0, "skipped": 0, "errors": 0, "format": None}
+    name = {"record": "parsed", "skipped": "skipped", "error": "errors"}
+    text = F.when(F.col("line_kind") == "record", record_text())
+    for r in parsed.orderBy(*src.ORDER).select("line_kind", "format", text.alias("value")).toLocalIterator():
+        seen[name[r["line_kind"]]] += 1
+        seen["format"] = max(seen["format"] or "", r["format"])
+        if r["value"] is not None:
+            print(r["value"])
+    return seen
+
+
 def _two(spark: SparkSession, file1: str, file2: str, newline: str) -> DataFrame:
     one = lambda s, f: src.read_lines(spark, f, newline).withColumn("src", F.lit(s))
     return one(1, file1).unionByName(one(2, file2))
@@ -76,6 +92,24 @@ def label_of(given: str | None, path: str) -> str:
     return given or Path(path).name
 
 
+def unreadable(spark: SparkSession, name: str) -> str | None:
+    """Why a path, or a file that it names, can't be opened; None if it can."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        found = files.globStatus(path)
+        if not found:
+            return "no such file"
+        for f in found:
+            if f.isDirectory():
+                files.listStatus(f.getPath())
+            else:
+                files.open(f.getPath()).close()
+    except Py4JJavaError as e:
+        return f"can't be opened ({e.java_exception.getClass().getSimpleName()})"
+    return None
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """Runs a command; the exit code. Wrong usage and files that can't be opened give 1, wrong usage of `ids` 2."""
     try:
@@ -89,9 +123,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 1
     spark = spark or SparkSession.builder.appName("loomspan").getOrCreate()
     for f in (a.file1, a.file2) if "file1" in a else (a.file,):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
-            print(f"error: {f}: no such file", file=sys.stderr)
+        if wrong := unreadable(spark, f):
+            print(f"error: {f}: {wrong}", file=sys.stderr)
             return 1
     return _run(spark, a, region)
 
@@ -111,10 +144,8 @@ def _run(spark: SparkSession, a: argparse.Namespace, region: select.Region | Non
         table = src.table_lines(src.read_lines(spark, a.file))
         recs = rec.records(table)
         if a.command == "print":
-            _emit(format_records(recs), src.ORDER, a.out)
-            d = rec.diagnostics(table).first()
-            fmt = table.agg(F.max("format")).first()[0] or "gtf"
-            _say(f"parsed={d['parsed']}  skipped={d['skipped']}  errors={d['errors']}  format={fmt}")
+            d = _print(rec.parse_lines(table), a.out)
+            _say(f"parsed={d['parsed']}  skipped={d['skipped']}  errors={d['errors']}  format={d['format'] or 'gtf'}")
             return int(d["errors"] > 0)
         if a.command == "filter":
             n = _emit(format_records(select.of_feature(recs, a.feature)), src.ORDER, a.out)

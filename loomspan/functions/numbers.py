@@ -13,8 +13,16 @@ HEXADECIMAL = r"^[ \t\n\x0B\f\r]*([+-]?)0[xX](?=\.?[0-9a-fA-F])([0-9a-fA-F]*)\.?
 
 
 def leading_long(text: Column) -> Column:
-    """Leading integer, 0 where there is none (or it does not fit)."""
-    return F.coalesce(F.regexp_extract(text, INTEGER, 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Leading integer, 0 where there is none; the nearest 64-bit number where it does not fit."""
+    digits = F.regexp_extract(text, INTEGER, 1)
+    bound = F.when(digits.startswith("-"), F.lit(-(1 << 63))).otherwise(F.lit((1 << 63) - 1))
+    return F.coalesce(digits.try_cast("bigint"), F.when(digits != "", bound), F.lit(0).cast("bigint"))
+
+
+def leading_int(text: Column) -> Column:
+    """The low 32 bits of leading_long, as a signed number."""
+    low = leading_long(text).bitwiseAND(F.lit((1 << 32) - 1))
+    return F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low).cast("int")
 
 
 def leading_float(text: Column) -> Column:

@@ -37,6 +37,14 @@ def parse_region(text: str) -> Region:
     return Region(name, int(m[1]), int(m[2]))
 
 
+def region_columns(text: Column) -> Column:
+    """parse_region for a column: a struct of seqname, start, end; null where the text is no region. Numbers of more than 18 digits are none."""
+    name, rest = F.regexp_extract(text, "(?s)^(.*):", 1), F.substring_index(text, ":", -1)
+    number = lambda g: F.regexp_extract(rest, r"^[ \t\n\x0B\f\r]*([+-]?[0-9]{1,18})-[ \t\n\x0B\f\r]*([+-]?[0-9]{1,18})(?![0-9])", g).try_cast("bigint")
+    named = (F.instr(text, ":") > 0) & F.octet_length(name).between(1, 255)
+    return F.when(named & (number(1) <= number(2)), F.struct(name.alias("seqname"), number(1).alias("start"), number(2).alias("end")))
+
+
 def of_feature(recs: DataFrame, feature: str) -> DataFrame:
     """Records of exactly this feature type."""
     return recs.where(F.col("feature") == feature)

@@ -3,9 +3,6 @@ sinks are read back; reports come out line by line."""
 
 from __future__ import annotations
 
-import contextlib
-import io
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,15 +175,6 @@ def report_venn_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(level, *regions) for level, regions in sizes.items()], "level string, only1 long, only2 long, shared long")
 
 
-ARGUMENTS = ("", "print", "filter exon", "compare one.gtf", "unknown one.gtf", "overlap chr1 one.gtf", "overlap chr1:9-5 one.gtf", "overlap chr1:1,000-2,000 one.gtf", "print /no/such/file.gtf", "stats /no/such/file.gtf", "compare /no/such/file.gtf /no/other", "ids one.gtf", "ids one.gtf two.gtf --output all")
-
-
-@query("SELECT unnest([" + ", ".join(f"'{a}'" for a in ARGUMENTS) + "]) AS arguments, CAST(unnest([1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2]) AS INT) AS exit_code")
-def argument_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with contextlib.redirect_stderr(io.StringIO()):
-        return spark.createDataFrame([(a, cli.main(a.split(), spark)) for a in ARGUMENTS], "arguments string, exit_code int")
-
-
 #: Records far beyond all others, and exons without an id.
 @query(f"""WITH {_TX}, all_tx AS (SELECT src, tx_id, seqname, strand, start, "end" FROM tx UNION ALL SELECT 2, 'wild', 'chr1', '+', 100, 100000000000000 UNION ALL SELECT 1, 'far', 'chr1', '+', 99999999999000, 99999999999500)
  SELECT a.tx_id AS a_tx_id, b.tx_id AS b_tx_id FROM all_tx a JOIN all_tx b ON a.src = 1 AND b.src = 2 AND a.seqname = b.seqname AND a.strand = b.strand AND a.start <= b."end" AND b.start <= a."end" """)

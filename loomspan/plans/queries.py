@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.attributes import gtf_attributes, lookup, token_id, word_id
 from ..functions.numbers import six_digits
 from ..operators import comparison, identifiers, select, statistics, transcripts
 from ..sources import records as rec
@@ -350,27 +351,44 @@ def format_record_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir).select("src", record_text(six_digits("score")).alias("value"))
 
 
-EDGE_LINES = [
-    ("a", "chr1\t\texon\t1\t9\t.\t+\t.\tgene_id \"a\";"),
-    ("b", "chr1\tx\texon\t12abc\t-5\t.5\t+x\t-1\tgene_id  \"two\";\textra"),
-    ("c", "chr1\tx\texon\tabc\t7\t1234567\t.\t2x\tnote \"a; gene_id \"x\"; gene_id \"y\";"),
-    ("d", " # x"),
-    ("e", "#c"),
-    ("f", "chr1\tx\texon\t1\t2\t0.50\t-\t.\tref-gene_id \"Z\"; gene_id \"Y\"\r"),
-]
+#: Lines that the parser must not read as they look, made from the orders: what each has at fault goes by the order's number.
+_EDGE = """edge AS (SELECT o, CAST(o % 7 AS INT) AS fault, 'g' || o AS g FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem))"""
 
 
-@query("""SELECT * FROM (VALUES
- ('a', 'error', NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::INT, NULL::VARCHAR, NULL::VARCHAR, 'a'),
- ('b', 'record', 12, -5, '.', '+', NULL, 'two', 'two', NULL), ('c', 'record', 0, 7, '1.23457e+06', '.', 2, 'y', 'x', 'x'),
- ('d', 'error', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), ('e', 'skipped', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), ('f', 'record', 1, 2, '0.5', '-', NULL, 'Y', 'Y', 'Z')
- ) t(name, line_kind, start, "end", score, strand, frame, list_gene, token_gene, word_gene)""")
+@query(f"""WITH {_EDGE} SELECT o, CASE fault WHEN 0 THEN 'error' WHEN 3 THEN 'error' WHEN 4 THEN 'skipped' ELSE 'record' END AS line_kind,
+ CASE fault WHEN 1 THEN o WHEN 2 THEN 0 WHEN 5 THEN 1 WHEN 6 THEN 9223372036854775807 END AS start, CASE fault WHEN 1 THEN -o WHEN 2 THEN 7 WHEN 5 THEN o WHEN 6 THEN -9223372036854775808 END AS "end",
+ CASE fault WHEN 1 THEN '.' WHEN 2 THEN '1.23457e+06' WHEN 5 THEN '0.5' WHEN 6 THEN 'inf' END AS score, CASE fault WHEN 1 THEN '+' WHEN 2 THEN '.' WHEN 5 THEN '-' WHEN 6 THEN '+' END AS strand,
+ CAST(CASE fault WHEN 2 THEN 2 WHEN 6 THEN -1294967296 END AS INT) AS frame, CASE fault WHEN 1 THEN g WHEN 2 THEN g WHEN 5 THEN 'Y' WHEN 6 THEN '' END AS list_gene,
+ CASE fault WHEN 1 THEN g WHEN 2 THEN 'x' WHEN 5 THEN 'Y' WHEN 6 THEN '' END AS token_gene, CASE fault WHEN 0 THEN g WHEN 2 THEN 'x' WHEN 5 THEN g WHEN 6 THEN '""' END AS word_gene FROM edge""")
 def parse_edge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.attributes import gtf_attributes, lookup, token_id, word_id
-
-    own = rec.parse_lines(spark.createDataFrame(EDGE_LINES, "name string, value string"))
+    """Empty fields, numbers with a tail or too large, points, junk after a strand, nested quotes, carriage returns, comments."""
+    o = F.col("l_orderkey")
+    own = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(o.alias("o")).distinct()
+    text = {
+        0: 'chr1\t\texon\t%s\t9\t.\t+\t.\tgene_id "g%s";',
+        1: 'chr1\tx\texon\t%sabc\t-%s\t.5\t+x\t-1\tgene_id  "g%s";\textra',
+        2: 'chr1\tx\texon\tabc\t7\t1234567\t.\t2x\tnote "a; gene_id "x"; gene_id "g%s";',
+        3: " # %s",
+        4: "#c%s",
+        5: 'chr1\tx\texon\t1\t%s\t0.50\t-\t.\tref-gene_id "g%s"; gene_id "Y"\r',
+        6: 'chr1\tx\texon\t%s99999999999999999999\t-99999999999999999999\tinf\t+\t3000000000\tgene_id "";',
+    }
+    value = F.lit(None).cast("string")
+    for fault, line in text.items():
+        value = F.when(F.col("o") % 7 == fault, F.format_string(line, *[F.col("o").cast("string")] * line.count("%s"))).otherwise(value)
+    parsed = rec.parse_lines(own.withColumn("value", value))
     a, is_record = F.col("attributes"), F.col("line_kind") == "record"
     ninth = F.get(F.split("value", "\t"), F.lit(8))
-    return own.select("name", "line_kind", "start", "end", F.when(is_record, F.coalesce(six_digits("score"), F.lit("."))).alias("score"), "strand", "frame", lookup(gtf_attributes(a), "gene_id").alias("list_gene"), F.when(is_record, token_id(a, "gene_id")).alias("token_gene"), word_id(ninth, "gene_id").alias("word_gene"))
-
-
+    return parsed.select("o", "line_kind", "start", "end", F.when(is_record, F.coalesce(six_digits("score"), F.lit("."))).alias("score"), "strand", "frame", lookup(gtf_attributes(a), "gene_id").alias("list_gene"), F.when(is_record, token_id(a, "gene_id")).alias("token_gene"), word_id(ninth, "gene_id").alias("word_gene"))
+
+
+@query(f"""WITH {_EDGE} SELECT o, CASE fault WHEN 0 THEN 'chr' || o WHEN 1 THEN 'chr1:alt' || o WHEN 2 THEN 'c' END AS seqname, CASE fault WHEN 0 THEN o WHEN 1 THEN 5 WHEN 2 THEN -o END AS start,
+ CASE fault WHEN 0 THEN o + 9 WHEN 1 THEN 9 WHEN 2 THEN o END AS "end" FROM edge""")
+def region_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions from a column of texts: split at the last colon, junk after the second number, signs and blanks; null for what is none."""
+    o = F.col("l_orderkey").cast("string")
+    own = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o"), o.alias("t")).distinct()
+    c = lambda *parts: F.concat(*[F.col("t") if p is None else F.lit(p) for p in parts])
+    kinds = [F.concat(F.lit("chr"), "t", F.lit(":"), "t", F.lit("-"), (F.col("o") + 9).cast("string")), c("chr1:alt", None, ":5-9xyz"), c("c: -", None, "-  +", None), c("c", None), c("chr1:1,", None, "-2,000"), c(":1-", None), c("c:", None, "-0")]
+    text = F.array(*kinds)[(F.col("o") % 7).cast("int")]
+    return own.withColumn("region", select.region_columns(text)).select("o", "region.*")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .workspace import store
+
 ORDER = ("path", "block_start", "line_ord")
 
 
@@ -19,12 +21,24 @@ def at() -> Column:
     return F.struct("block_start", "line_ord")
 
 
+FEW_FILES = 100_000  #: files, at some hundred bytes each, up to which their marks are broadcast
+
+
+def file_marks(lines: DataFrame) -> DataFrame:
+    """path, cut, format of each file that has a mark: the place of its first line that starts with ##FASTA (null without one), and 'gff3' if a line before that starts with
+    ##gff-version, else 'gtf'. One pass, of which a row for each file is left."""
+    first = lambda mark: F.min(F.when(F.startswith("value", F.lit(mark)), at()))
+    found = lines.where(F.startswith("value", F.lit("##"))).groupBy("path").agg(first("##FASTA").alias("cut"), first("##gff-version").alias("pragma")).where("cut is not null or pragma is not null")
+    gff3 = F.col("pragma").isNotNull() & (F.col("cut").isNull() | (F.col("pragma") < F.col("cut")))
+    return found.select("path", "cut", F.when(gff3, "gff3").otherwise("gtf").alias("format"))
+
+
 def table_lines(lines: DataFrame) -> DataFrame:
-    """Lines before the first one that starts with ##FASTA of each file, with `format`: 'gff3' if any of them starts with ##gff-version, else 'gtf'."""
-    cut = lines.where(F.startswith("value", F.lit("##FASTA"))).groupBy("path").agg(F.min(at()).alias("cut"))
-    kept = lines.join(cut, "path", "left").where(F.col("cut").isNull() | (at() < F.col("cut"))).drop("cut")
-    gff3 = kept.where(F.startswith("value", F.lit("##gff-version"))).select("path").distinct().withColumn("format", F.lit("gff3"))
-    return kept.join(gff3, "path", "left").withColumn("format", F.coalesce("format", F.lit("gtf")))
+    """Lines before the first one that starts with ##FASTA of each file, with `format`: 'gff3' if any of them starts with ##gff-version, else 'gtf'.
+    The marks of the files are read first, and stored; the lines then meet them, file by file."""
+    marks = store(file_marks(lines), "marks")
+    kept = lines.join(F.broadcast(marks) if marks.count() <= FEW_FILES else marks, "path", "left").where(F.col("cut").isNull() | (at() < F.col("cut")))
+    return kept.select(*lines.columns, F.coalesce("format", F.lit("gtf")).alias("format"))
 
 
 def numbered(lines: DataFrame) -> DataFrame:

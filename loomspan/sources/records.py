@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.attributes import attributes_of, word_id
-from ..functions.numbers import leading_float, leading_long
+from ..functions.numbers import leading_float, leading_int, leading_long
 
 COLUMNS = ("seqname", "source", "feature", "start", "end", "score", "strand", "frame", "attributes")
 
@@ -25,7 +25,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     own = lines.withColumn("tokens", tokens).withColumn("line_kind", line_kind(F.col("value"), F.col("tokens")))
     t = lambda i: F.when(F.col("line_kind") == "record", F.get("tokens", F.lit(i)))
     missing = lambda i: F.startswith(t(i), F.lit("."))
-    frame = leading_long(t(7)).cast("int")
+    frame = leading_int(t(7))
     held = lambda c, i: F.when(t(i).isNotNull(), c)
     return own.select(
         *lines.columns,

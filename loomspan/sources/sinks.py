@@ -26,6 +26,16 @@ def _write(lines: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
+def write_parsed(parsed: DataFrame, path: str, order: tuple[str, ...]) -> dict[str, object]:
+    """The records among parsed lines (parse_lines, with `format`) to a folder of text files, in order; what the same run saw: parsed, skipped, errors, format (null without lines).
+    The metric stands above the sort, as what is below runs once more for the bounds of the ranges."""
+    seen = Observation()
+    n = lambda kind, name: F.count_if(F.col("line_kind") == kind).alias(name)
+    watched = parsed.orderBy(*order).observe(seen, n("record", "parsed"), n("skipped", "skipped"), n("error", "errors"), F.max("format").alias("format"))
+    watched.where("line_kind = 'record'").select(record_text().alias("value")).write.mode("overwrite").text(path)
+    return seen.get
+
+
 def write_records(recs: DataFrame, path: str, order: tuple[str, ...] = ()) -> int:
     """Lines to a folder of text files; their number, counted as they are written. Range-partitioned by `order`, so that the part files, in their order, hold the records in order, without one task writing all."""
     lines = format_records(recs)
