@@ -1,19 +1,22 @@
 """Operator 3: quality by positive-unlabelled learning.
 
-A logistic model minimises the non-negative unbiased risk
+A linear model minimises the non-negative unbiased risk
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
-over trusted positives (label 1) and unlabelled web text, which is a bounded sample of the documents.
-The class prior is estimated from the positives and the unlabelled texts (`estimate_prior`); labels 0 are not read at all.
+over trusted positives (label 1) and unlabelled web text, which is every document of the training folds. With the squared loss the risk and its
+gradient are functions of the first and second moments of the features alone. So one pass adds up the moments of all documents on the executors, and the driver
+minimises the exact risk from a matrix of fixed size.
+
+The class prior is estimated from the positives and all unlabelled texts: a model fitted on half of each is asked about the other half, whose scores are counted by bins
+(`prior_of`); labels 0 are not read at all.
 
 Features describe the form of a text, not its topic: frequencies of one- to three-byte sequences of
 character classes, repetition of words and lines, and length. They are sums over the whole text.
 
-At most PER_CLASS positives and UNLABELLED unlabelled texts are used to fit (the documented bounds); every
-row is scored.
+At most PER_CLASS labelled positives are used to fit (a documented bound, on labelled rows only); every row is scored.
 
 Defined results: null and empty texts have the features of no text and get a score too. Without positives
-every score is 0. Very long texts are scored whole, one at a time. Rows repeat as they do in docs, and equal texts have equal scores; in fitting a repeated id counts once, by its least text. A null doc_id is
-scored, but it is never in the held-out fold. An empty table gives an empty table. Other columns are kept; one named quality_score is replaced.
+every score is 0. Very long texts are scored whole, one at a time. Rows repeat as they do in docs, and equal texts have equal scores; in fitting every row counts as unlabelled text, and of a repeated
+positive id its least text. A null doc_id is scored, but it is never in the held-out fold and is not fitted on. An empty table gives an empty table. Other columns are kept; one named quality_score is replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +34,11 @@ from .common import arrow_map, batch_of, mix64, slices, text_buffer
 from .linear import fold, label_sample, sigmoid
 
 PER_CLASS = 2000
-UNLABELLED = 4000
 FOLDS = 3
-TRIGRAM_BITS = 10
+TRIGRAM_BITS = 8
+BINS = 4096  #: bins of scores for the class prior
+SALTS = 64  #: tasks that add up a block of the moments, before one adds those up
+BLOCKS = 8
 
 # Character classes: lower case, upper case, digit, space, line end, byte above ASCII, then punctuation each by its own code.
 _CLASS = np.zeros(256, np.int64)
@@ -125,47 +131,53 @@ class Model:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Features are clipped as in fitting."""
-        return sigmoid(np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.intercept).astype(np.float64)
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 150, rate: float = 0.02, l2: float = 3e-3) -> Model:
-    """Adam on the non-negative risk with the logistic loss. Where the negative part falls below zero, its gradient is turned round, as in the published method."""
-    width = positive.shape[1] if len(positive) else WIDTH
-    both = np.concatenate([positive, unlabelled]) if len(positive) and len(unlabelled) else np.zeros((1, width), np.float32)
-    mean, scale = both.mean(0), both.std(0)
-    scale = np.where(scale > 1e-6, np.maximum(scale, 0.01), 1).astype(np.float32)
-    if not len(positive) or not len(unlabelled):
-        return Model(mean, scale, np.zeros(width, np.float32), 40.0 if len(positive) else -40.0, prior)
-    xp, xu = (positive - mean) / scale, (unlabelled - mean) / scale
-    xp, xu = np.clip(xp, -8, 8), np.clip(xu, -8, 8)
-    w, b = np.zeros(width, np.float32), np.float32(0)
-    m = v = np.zeros(width + 1)
+        return sigmoid(3 * (((x - self.mean) / self.scale) @ self.weights + self.intercept)).astype(np.float64)
+
+
+def moments_of(x: np.ndarray) -> np.ndarray:
+    """Sums of products of features, the last of which is 1: so it holds the sums and the number of rows too."""
+    a = np.append(x, np.ones((len(x), 1), np.float32), axis=1)
+    return (a.T @ a).astype(np.float64)
+
+
+def fit(positive: np.ndarray, moments: np.ndarray, prior: float, steps: int = 600, rate: float = 0.01, l2: float = 3e-3) -> Model:
+    """Adam on the non-negative risk with the squared loss (1 - margin)^2 / 4, from the rows of positives and the moments of unlabelled texts. Where the negative part falls below zero, its
+    gradient is turned round, as in the published method."""
+    n, width = moments[-1, -1], len(moments) - 1
+    if not len(positive) or not n:
+        return Model(np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width, np.float32), 40.0 if len(positive) else -40.0, prior)
+    mean = moments[-1, :-1] / n
+    scale = np.sqrt(np.maximum(np.diag(moments)[:-1] / n - mean**2, 0))
+    scale = np.where(scale > 1e-6, np.maximum(scale, 0.01), 1)
+    to = np.zeros((width + 1, width + 1))  # raw features to standard ones
+    to[:-1, :-1], to[:-1, -1], to[-1, -1] = np.diag(1 / scale), -mean / scale, 1
+    unl, pos = to @ (moments / n) @ to.T, to @ (moments_of(positive.astype(np.float32)) / len(positive)) @ to.T
+    mu, mp = unl[-1], pos[-1]
+    w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):
-        zp, zu = xp @ w + b, xu @ w + b
-        neg = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        sp, su = sigmoid(zp), sigmoid(zu)
-        gp, gn = -(1 - sp) * prior / len(zp), (-sp * prior / len(zp), su / len(zu))
-        a, u = (gp + gn[0], gn[1]) if neg >= 0 else (-gn[0], -gn[1])
-        g = np.append(a @ xp + u @ xu + l2 * w, a.sum() + u.sum())
+        uw, pw = unl @ w, pos @ w
+        neg = (1 + 2 * mu @ w + w @ uw) / 4 - prior * (1 + 2 * mp @ w + w @ pw) / 4
+        up, down = prior * (pw - mp) / 2, (mu + uw) / 2 - prior * (mp + pw) / 2
+        g = (up + down if neg >= 0 else -down) + l2 * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = (w - step[:-1]).astype(np.float32), np.float32(b - step[-1])
-    return Model(mean, scale, w, float(b), prior)
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return Model(mean.astype(np.float32), scale.astype(np.float32), w[:-1].astype(np.float32), float(w[-1]), prior)
+
+
+def bins_of(score: np.ndarray) -> np.ndarray:
+    return np.minimum((score * BINS).astype(np.int64), BINS - 1)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, chance: float = 0.1) -> float:
-    """Share of positives among unlabelled texts, from features of both (best-bin estimation). A model that tells positives from unlabelled texts is fitted on every other
-    row; on the rest, the highest scores hold hardly anything but positives, so there the share of unlabelled over the share of positives
-    at or above a score is the prior. The score is the one at which this ratio, with a bound on its error, is least. 0.5 without rows on either side."""
-    if len(positive) < 4 or len(unlabelled) < 4:
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray, chance: float = 0.1) -> float:
+    """Share of positives among unlabelled texts, from the numbers of both in each bin of scores (best-bin estimation). The highest scores hold hardly anything but positives, so there the share of
+    unlabelled over the share of positives at or above a score is the prior. The score is the one at which this ratio, with a bound on its error, is least. 0.5 without
+    rows on either side."""
+    p, u = positive.sum(), unlabelled.sum()
+    if p < 2 or u < 2:
         return 0.5
-    model = fit(positive[::2], unlabelled[::2], 0.5)
-    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
-    at = np.unique(np.concatenate([p, u]))
-    of_p, of_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
-    at, of_p, of_u = (x[of_p > 0] for x in (at, of_p, of_u))
-    error = np.sqrt(np.log(4 / chance) / 2) * (1 / np.sqrt(len(u)) + 1 / np.sqrt(len(p)))
+    of_p, of_u = (np.cumsum(x[::-1])[::-1] / x.sum() for x in (positive, unlabelled))
+    of_p, of_u = of_p[of_p > 0], of_u[of_p > 0]
+    error = np.sqrt(np.log(4 / chance) / 2) * (1 / np.sqrt(u) + 1 / np.sqrt(p))
     best = np.argmin((of_u + error) / of_p)
     return float(min(0.99, max(0.01, of_u[best] / of_p[best])))
 
@@ -180,15 +192,75 @@ def _featurise(df: DataFrame) -> np.ndarray:
     return np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(-1, WIDTH)
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str, in_training: Column, per_class: int = PER_CLASS, unlabelled: int = UNLABELLED) -> Model:
-    """Fit on at most per_class trusted positives and `unlabelled` documents of the training folds (least hash of their ids)."""
+def _moments(docs: DataFrame) -> np.ndarray:
+    """Moments of docs' texts, by `half` (0 and 1). Tasks add up their own texts; sums of tasks are added up block by block, so no task gets more than SALTS and the tasks of one salt send it."""
+    side = WIDTH + 1
+    rows, columns = np.triu_indices(side)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in slices(batches, limit=1 << 20):
+            half = batch.column("half").to_numpy()
+            x = features(*text_buffer(batch.column("text")))
+            for h in np.unique(half).tolist():
+                total[h] = total.get(h, 0) + moments_of(x[half == h])
+        salt = TaskContext.get().partitionId() % SALTS
+        for h, m in total.items():
+            for b, part in enumerate(np.array_split(m[rows, columns].astype("<f4"), BLOCKS)):
+                yield batch_of(half=pa.array([h], pa.int32()), block=pa.array([b], pa.int32()), salt=pa.array([salt], pa.int32()), sums=pa.array([part.tobytes()], pa.binary()))
+
+    def add(kind: str):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, key = 0, (0, 0)
+            for batch in batches:
+                for r in batch.select(["half", "block", "sums"]).to_pylist():
+                    total, key = total + np.frombuffer(r["sums"], kind).astype("<f8"), (r["half"], r["block"])
+            yield batch_of(half=pa.array([key[0]], pa.int32()), block=pa.array([key[1]], pa.int32()), sums=pa.array([total.tobytes()], pa.binary()))
+
+        return run
+
+    schema = "half int, block int, sums binary"
+    sums = arrow_map(docs, own, "half int, block int, salt int, sums binary").groupBy("half", "block", "salt").applyInArrow(add("<f4"), schema).groupBy("half", "block").applyInArrow(add("<f8"), schema)
+    out = np.zeros((2, side, side))
+    found = {(r["half"], r["block"]): np.frombuffer(r["sums"], "<f8") for r in sums.collect()}
+    for h in (0, 1):
+        if (h, 0) in found:
+            flat = np.concatenate([found[h, b] for b in range(BLOCKS)])
+            out[h][rows, columns] = flat
+            out[h][columns, rows] = flat
+    return out
+
+
+def _bins(docs: DataFrame, model: Model) -> np.ndarray:
+    """How many of docs' texts have a score in each bin."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS, np.int64)
+        for batch in slices(batches, limit=1 << 20):
+            total += np.bincount(bins_of(shared.value.score(features(*text_buffer(batch.column("text"))))), minlength=BINS)
+        held = np.flatnonzero(total)
+        yield batch_of(bin=pa.array(held, pa.int32()), n=pa.array(total[held], pa.int64()))
+
+    out = np.zeros(BINS, np.int64)
+    for r in arrow_map(docs, run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        out[r["bin"]] = r["n"]
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, target: str, in_training: Column, per_class: int = PER_CLASS) -> Model:
+    """Fit on at most per_class trusted positives and on all documents of the training folds."""
     own = docs.select("doc_id", "text")
     trusted = label_sample(labels, target, in_training, per_class).where("label = 1").select("doc_id")
-    free = docs.where(F.col("doc_id").isNotNull() & in_training).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(unlabelled).distinct()
     # Of several texts of one id the least, so repeated ids send no more rows to the driver.
-    one = lambda ids: _featurise(own.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
-    positive, free_texts = one(trusted), one(free)
-    return fit(positive, free_texts, estimate_prior(positive, free_texts))
+    positive = _featurise(own.join(F.broadcast(trusted), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
+    if not len(positive):
+        return fit(positive, np.zeros((WIDTH + 1, WIDTH + 1)), 0.5)
+    free = docs.where(F.col("doc_id").isNotNull() & in_training).select(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).cast("int").alias("half"), "text")
+    moments = _moments(free)
+    asked = fit(positive[::2], moments[0], 0.5)
+    prior = prior_of(np.bincount(bins_of(asked.score(positive[1::2])), minlength=BINS), _bins(free.where("half = 1"), asked))
+    return fit(positive, moments.sum(0), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

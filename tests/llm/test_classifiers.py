@@ -72,7 +72,7 @@ def test_nonnegative_risk_separates():
     rng = np.random.default_rng(0)
     pos, neg = rng.normal(1, 1, (400, 5)), rng.normal(-1, 1, (150, 5))
     unlabelled = np.concatenate([rng.normal(1, 1, (350, 5)), neg]).astype(np.float32)
-    m = quality_pu.fit(pos.astype(np.float32), unlabelled, 0.7)
+    m = quality_pu.fit(pos.astype(np.float32), quality_pu.moments_of(unlabelled), 0.7)
     assert m.score(pos).mean() > 0.8 > 0.4 > m.score(neg).mean()
 
 
@@ -84,13 +84,28 @@ def test_minimise():
 
 def test_prior_from_positives_and_unlabelled_texts():
     """The share of positives in a mixture, told from it and from positives alone."""
-    rng = np.random.default_rng(1)
+    q, rng = quality_pu, np.random.default_rng(1)
+    count = lambda m, x: np.bincount(q.bins_of(m.score(x)), minlength=q.BINS)
     for share in (0.3, 0.6, 0.9):
         n = int(2000 * share)
         pos = rng.normal(1.5, 1, (1500, 4)).astype(np.float32)
         mixed = rng.permutation(np.concatenate([rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (2000 - n, 4))])).astype(np.float32)
-        assert abs(quality_pu.estimate_prior(pos, mixed) - share) < 0.07
-    assert quality_pu.estimate_prior(pos[:2], mixed) == 0.5
+        asked = q.fit(pos[::2], q.moments_of(mixed[::2]), 0.5)
+        assert abs(q.prior_of(count(asked, pos[1::2]), count(asked, mixed[1::2])) - share) < 0.07
+    assert q.prior_of(count(asked, pos[:1]), count(asked, mixed)) == 0.5
+
+
+def test_quality_is_fitted_on_every_document(spark):
+    """The moments that the executors add up are those of all rows, whatever their number and partitions."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(F.pmod("doc_id", F.lit(2)).cast("int").alias("half"), "text").limit(6000)
+    rows = docs.collect()
+    got = quality_pu._moments(docs.repartition(7))
+    for h in (0, 1):
+        raw = [(r["text"] or "").encode() for r in rows if r["half"] == h]
+        x = np.concatenate([quality_pu.features(np.frombuffer(b"".join(raw[i : i + 200]), np.uint8), np.cumsum([0, *map(len, raw[i : i + 200])])) for i in range(0, len(raw), 200)])
+        assert got[h][-1, -1] == len(raw) > 2000 and np.allclose(got[h], quality_pu.moments_of(x), rtol=1e-3, atol=1e-2)
 
 
 def test_toxicity_training_on_executors_equals_training_in_one_place(spark):
