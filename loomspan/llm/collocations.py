@@ -40,7 +40,7 @@ MOST_WORDS = 3
 TOP = 2000
 SHARE = 50  #: a longer candidate with so many hundredths of the occurrences hides what it holds
 DEPTH = 2  #: rows of the sketch
-SLICE = 2 << 20
+SLICE = 4 << 20
 PARTS = 16  #: parts of a language whose first rows are found apart
 
 
@@ -51,7 +51,7 @@ class Sketch:
     ranges: int = 1  #: ranges of cells in a row
     width: int = 1 << 22  #: cells of a range, which one task adds up; a power of two
     bits: int = 1 << 28  #: bits of a row that are broadcast, at most
-    flush: int = 1_500_000  #: phrases whose hashes a task holds before it sends their cells
+    flush: int = 3_000_000  #: phrases whose hashes a task holds before it sends their cells
     cell_bytes: int = 6  #: bytes of text for each cell of a row
 
     def fold(self) -> int:
