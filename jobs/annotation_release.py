@@ -1,10 +1,10 @@
 """Job 1: the comparison of two annotation releases, transcript by transcript.
 
-    python -m jobs.annotation_release --config jobs/annotation_release.json [--input FOLDER] [--output FOLDER]
+    python -m jobs.annotation_release --config jobs/annotation_release.json [--first FILES --second FILES | --input FOLDER] [--output FOLDER]
 
-Someone who moves from one release of an annotation to the next wants to know, for each transcript, whether the other release has it too, and in which locus it lies. The job renders `lineitem` to
-the lines of two annotations, reads these as it would read files, assembles transcripts, numbers loci, classifies each transcript against the other release, and writes Parquet
-partitioned by release (src) and sequence.
+Someone who moves from one release of an annotation to the next wants to know, for each transcript, whether the other release has it too, and in which locus it lies. The job reads the lines of
+two annotations (GTF or GFF3 files, or the lines that `lineitem` is rendered to), assembles transcripts, numbers loci, classifies each transcript against the other release, and writes
+Parquet partitioned by release (src) and sequence.
 
 Run again, it writes the same: a run over all sequences replaces the table, a run over some (`sequences`) replaces just their partitions.
 """
@@ -19,21 +19,28 @@ from loomspan.operators import comparison, transcripts
 from loomspan.plans import fixture
 from loomspan.plans.queries import _LOCI, _PAIRS
 from loomspan.sources import records
+from loomspan.sources.lines import read_lines
 from loomspan.sources.workspace import drop, new_path
 
 PARTITIONS = ("src", "seqname")
 SCHEMA = "tx_id string, gene_id string, strand string, start long, end long, n_exons int, n_introns int, locus long, cmp_class string, src int, seqname string"
 
 
-def run(spark: SparkSession, folder: str, output: str, sequences: list[str] | None = None) -> DataFrame:
-    """Reads folder/lineitem.parquet, writes the releases' transcripts to `output`; the table read back."""
-    lines, read = counted(fixture.exon_lines(spark, folder))
+def lines_of_files(spark: SparkSession, first: str, second: str) -> DataFrame:
+    """src, value: the lines of two annotations, whole files, as the structural comparison reads them."""
+    one = lambda path, s: read_lines(spark, path).select(F.lit(s).alias("src"), "value")
+    return one(first, 1).unionByName(one(second, 2))
+
+
+def compare(spark: SparkSession, lines: DataFrame, output: str, sequences: list[str] | None = None) -> DataFrame:
+    """Writes the transcripts of the releases in lines (src, value) to `output`; the table read back."""
+    lines, read = counted(lines)
     recs = records.records(lines)
     if sequences:
         recs = recs.where(F.col("seqname").isin(*sequences))
     # One table serves loci and classes, so the lines are read and assembled once.
     both = transcripts.assemble(transcripts.exons_of(recs, "src"))
-    LOG.info("read %s: %d lines of two releases", folder, read.get["n"])
+    LOG.info("read %d lines of two releases", read.get["n"])
     loci = transcripts.assign_locus(both.tx).select("src", "tx_id", "locus")
     result = comparison.classify(both).join(loci, ["src", "tx_id"]).select("tx_id", "gene_id", "strand", "start", "end", "n_exons", "n_introns", "locus", "cmp_class", *PARTITIONS)
     rows, written = counted(result)
@@ -46,6 +53,11 @@ def run(spark: SparkSession, folder: str, output: str, sequences: list[str] | No
     return table
 
 
+def run(spark: SparkSession, folder: str, output: str, sequences: list[str] | None = None) -> DataFrame:
+    """The comparison of the two annotations that folder/lineitem.parquet stands for."""
+    return compare(spark, fixture.exon_lines(spark, folder), output, sequences)
+
+
 ORACLE = f"""{_LOCI},
 {_PAIRS.partition("intr AS (")[2].partition(",\n")[2]}
 SELECT c.src, c.tx_id, c.seqname, c.strand, c.gene_id, c.start, c."end", c.n_exons, c.n_introns, l.locus, c.cmp_class FROM cls c JOIN l USING (src, tx_id)"""
@@ -59,11 +71,12 @@ def job1_annotation_release(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def main() -> None:
-    given = command_line(__doc__.splitlines()[0], "input", "output")
+    given = command_line(__doc__.splitlines()[0], "input", "first", "second", "output")
     spark = session("annotation_release")
     try:
         s = settings(spark, given)
-        run(spark, str(s["input"]), str(s["output"]), list(s.get("sequences") or []))
+        lines = lines_of_files(spark, str(s["first"]), str(s["second"])) if s.get("first") and s.get("second") else fixture.exon_lines(spark, str(s["input"]))
+        compare(spark, lines, str(s["output"]), list(s.get("sequences") or []))
     finally:
         spark.stop()
 

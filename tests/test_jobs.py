@@ -99,6 +99,20 @@ def test_release_reruns_and_replaces_parts(spark, tmp_path):
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
 
 
+def test_release_of_files(spark, tmp_path):
+    """Two annotations as files: comments, broken lines and what stands behind the sequence section do no harm, and an empty release leaves all unique."""
+    row = "c{}\ts\texon\t{}\t{}\t.\t+\t.\tgene_id \"{}\"; transcript_id \"{}\";"
+    one = ["##gff-version 3", row.format(1, 100, 200, "g", "t1"), row.format(1, 300, 400, "g", "t1"), row.format(2, 5, 9, "h", "t2"), "bad"]
+    two = [row.format(1, 150, 200, "g", "u1"), "##FASTA", row.format(1, 300, 450, "g", "u1"), row.format(2, 10, 20, "h", "u2")]
+    for name, text in (("a", one), ("b", two), ("none", ["# nothing"])):
+        (tmp_path / name).write_text("\n".join(text) + "\n")
+    job = lambda a, b, out: annotation_release.compare(spark, annotation_release.lines_of_files(spark, str(tmp_path / a), str(tmp_path / b)), str(tmp_path / out))
+    got = {(r["src"], r["tx_id"]): (r["seqname"], r["locus"], r["cmp_class"], r["n_introns"]) for r in job("a", "b", "o1").collect()}
+    assert got == {(1, "t1"): ("c1", 1, "=", 1), (2, "u1"): ("c1", 1, "=", 1), (1, "t2"): ("c2", 1, "u", 0), (2, "u2"): ("c2", 2, "u", 0)}
+    assert {r["cmp_class"] for r in job("a", "none", "o2").collect()} == {"u"}
+    assert job("none", "none", "o3").count() == 0
+
+
 @pytest.mark.parametrize("name", ["job1_annotation_release", "job2_text_intake"])
 def test_query_equals_its_sql(spark, name):
     compare(spark, entry.queries()[name], entry.oracle_sql()[name])
