@@ -69,9 +69,22 @@ def test_rows_are_told_apart_by_number(spark):
     assert sorted(got, key=str) == sorted([r for r in rows if r[1] != texts[2]], key=str)
 
 
+def test_whole_pipeline_on_empty_tables(spark, tmp_path):
+    """Each table empty in turn, and all of them: no stage fails, and without documents there are no pieces."""
+    small = "/root/testdata/sf0.001"
+    for empty in (["documents"], ["labels", "benchmark"]):
+        folder = tmp_path / "-".join(empty)
+        for name in ("documents", "labels", "benchmark"):
+            table = read_table(spark, small, name)
+            (table.limit(0) if name in empty else table.limit(60)).write.parquet(f"{folder}/{name}.parquet")
+        got = pipeline.run(spark, str(folder))
+        assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(got.columns)
+        assert (got.count() == 0) == ("documents" in empty)
+
+
 def test_columns_of_any_name_stay(spark):
     """Names that operators use inside are columns like others, and all but the last stage give them back."""
-    names = ["toxicity", "candidates", "found", "base_spans", "all_spans", "component_id", "count", "first", "sig", "shard"]
+    names = ["toxicity", "candidates", "found", "base_spans", "all_spans", "component_id", "count", "first", "sig", "shard", "row_key", "Other_Columns", "score", "a.b"]
     docs = read_table(spark, "/root/testdata/sf0.001", "documents")
     wide = docs.select("*", *[docs["doc_id"].cast("string").alias(n) for n in names])
     for _, stage in pipeline.STAGES[:-1]:
