@@ -14,65 +14,74 @@ from loomspan.llm.linear import fold
 
 #: A document goes at this toxicity score or above.
 TOXIC = 0.5
-#: Working columns; no column of the corpus may be so named.
-SCORE, REST = "loomspan_score", "loomspan_rest"
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A name for a working column that no column of docs has, whatever the case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from the labelled rows that the operator's query learns from."""
     training = F.coalesce(fold(F.col("doc_id"), toxicity.FOLDS) != 0, F.lit(False))
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), "toxic", training)
-    return toxicity.score(docs, model, SCORE).where(F.col(SCORE) < TOXIC).select(*docs.columns)
+    plain = docs.toDF(*[c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])  # names that need no quotes and clash with none
+    return toxicity.score(plain, model).where(F.col("toxicity") < TOXIC).drop("toxicity").toDF(*docs.columns)
 
 
 #: Ids up to this many (8 bytes each, so 8 MB) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-KEY = "loomspan_key"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of its own for each row: a row number, stored because a second run might deal the rows otherwise."""
-    return durable(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of its own for each row, and that column's name: a row number, stored because a second run might deal the rows otherwise."""
+    key = _free(docs, "row_key")
+    return durable(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def _join_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of keyed docs with stored ids, whose number is counted before they are broadcast."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, KEY, how)
+def _without(keyed: DataFrame, key: str, gone: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs in the keyed rows whose keys are not among the stored ones, whose number is counted before they are broadcast."""
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the row with the least id; nulls come last, and one row of several with that id
     stays. Rows are told apart by number, so equal ids or null ids alone make no copies, and texts without words stay."""
-    keyed = _keyed(docs)
-    groups = durable(jaccard_join.similar(keyed.select(F.col(KEY).alias("doc_id"), "text"), k=5, num=80, den=100).select(F.col("doc_id").alias(KEY), "component_id"), "groups")
+    keyed, key = _keyed(docs)
+    groups = durable(jaccard_join.similar(keyed.select(F.col(key).alias("doc_id"), "text"), k=5, num=80, den=100).select(F.col("doc_id").alias("key"), "component_id"), "groups")
     several = groups.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = durable(spread_join(groups, several, "component_id", KEY).join(keyed.select(KEY, "doc_id"), KEY), "members")
+    members = durable(spread_join(groups, several, "component_id", "key").join(keyed.select(F.col(key).alias("key"), "doc_id"), "key"), "members")
     discard(groups)
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))[KEY].alias("first"))
-    gone = durable(spread_join(members, first, "component_id", KEY).where(f"first <> {KEY}").select(KEY), "gone")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("first"))
+    gone = durable(spread_join(members, first, "component_id", "key").where("first <> key").select(F.col("key").alias(key)), "gone")
     discard(members)
-    return _join_ids(keyed, gone, "left_anti").select(*docs.columns)
+    return _without(keyed, key, gone, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    keyed = _keyed(docs)
-    index = decontaminate.build_index(keyed.select(F.col(KEY).alias("doc_id"), "text"))
+    keyed, key = _keyed(docs)
+    index = decontaminate.build_index(keyed.select(F.col(key).alias("doc_id"), "text"))
     hits = decontaminate.search(index, read_table(spark, sf_dir, "benchmark"))
-    gone = durable(hits.where("size(hits) > 0").select(F.col("doc_id").alias(KEY)).distinct(), "gone")
+    gone = durable(hits.where("size(hits) > 0").select(F.col("doc_id").alias(key)).distinct(), "gone")
     discard(index)
-    return _join_ids(keyed, gone, "left_anti").select(*docs.columns)
+    return _without(keyed, key, gone, docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind in angle brackets; n_chars follows the text. The other columns travel as one, so none meets a name that the operator uses."""
-    found = pii.detect(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(REST)))
+    rest = _free(docs, "other_columns")
+    found = pii.detect(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(rest)))
     candidates = durable(found.select("candidates"), "candidates")
     model = pii.fit(candidates)
     discard(candidates)
     clean = pii.redact(pii.label(found, model))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return clean.select(*[new.get(c, F.col(REST)[c]).alias(c) for c in docs.columns])
+    return clean.select(*[new.get(c, F.col(rest)[c]).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
