@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, discard, durable, slices, text_buffer
+from .common import arrow_map, batch_of, discard, durable, release_memory, slices, text_buffer
 from .linear import fold, label_sample, minimise, sigmoid
 
 SIZES = (4, 5, 6)
 BITS = 20
 PER_CLASS = 2000
 LEAST_DOCS = 3  #: training texts that must hold an n-gram
+PARTS = 16  #: ranges of n-gram slots whose counts are added up apart
+BLOCK = 1 << 18  #: n-grams that one step of the solver handles at once
 TASKS = 16  #: tasks that the training texts are dealt to
 LEAST_Z = 3.0  #: standard errors by which its log-count ratio must differ from 0
 FOLDS = 5
@@ -80,15 +82,20 @@ def solve(own: list[np.ndarray], labels: np.ndarray, used: np.ndarray, ratio: np
     weights = np.zeros(1 << BITS, np.float32)
     if len(labels) == 0 or labels.min() == labels.max():
         return Model(weights, 40.0 if len(labels) and labels[0] == 1 else -40.0)
-    col, row = np.concatenate(own), np.repeat(np.arange(len(own)), [len(k) for k in own])
-    x = ratio[col]
+    col, sizes = np.concatenate(own), np.array([len(k) for k in own])
+    at = np.append(0, np.cumsum(sizes))
+    cuts = np.unique(np.append(np.searchsorted(at, np.arange(0, at[-1], BLOCK)), len(own)))
+    blocks = [(lo, hi, col[at[lo] : at[hi]], np.repeat(np.arange(hi - lo, dtype=np.int32), sizes[lo:hi])) for lo, hi in zip(np.append(0, cuts[:-1]), cuts, strict=True) if hi > lo]
     y = labels.astype(np.float64)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, x * w[:-1][col], minlength=len(y)) + w[-1]
+        scaled, z, g = ratio * w[:-1], np.empty(len(y)), np.zeros(len(used))
+        for lo, hi, places, row in blocks:
+            z[lo:hi] = np.bincount(row, scaled[places], minlength=hi - lo) + w[-1]
         p = sigmoid(z)
-        g = np.append(np.bincount(col, x * (p - y)[row], minlength=len(used)) + l2 * w[:-1], (p - y).sum())
-        return float(np.logaddexp(0, z).sum() - y @ z + l2 / 2 * (w[:-1] @ w[:-1])), g
+        for lo, hi, places, row in blocks:
+            g += np.bincount(places, (p - y)[lo:hi][row], minlength=len(used))
+        return float(np.logaddexp(0, z).sum() - y @ z + l2 / 2 * (w[:-1] @ w[:-1])), np.append(ratio * g + l2 * w[:-1], (p - y).sum())
 
     w = minimise(loss, np.zeros(len(used) + 1), steps=40)
     weights[used] = ratio * w[:-1]
@@ -112,7 +119,7 @@ def fit(grams: list[np.ndarray], labels: np.ndarray, l2: float = 1.0) -> Model:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for the task: how many of its texts, and of its toxic ones, hold each n-gram."""
+    """How many of the task's texts, and of its toxic ones, hold each n-gram."""
     seen, toxic, n, positive = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32), 0, 0
     for batch in slices(batches, limit=1 << 20):
         labels = batch.column("label").to_pylist()
@@ -120,18 +127,46 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen[g] += 1
             toxic[g] += label
         n, positive = n + len(labels), positive + sum(labels)
+    if n:
+        yield _count_rows(seen, toxic, n, positive)
+
+
+COUNTS = "part int, n long, positive long, slots binary, seen binary, toxic binary"
+
+
+def _count_rows(seen: np.ndarray, toxic: np.ndarray, n: int, positive: int) -> pa.RecordBatch:
+    """Counts by PARTS ranges of n-gram slots, and how many texts they are of in the first."""
+    held = np.flatnonzero(seen)
+    ends = np.searchsorted(held, np.arange(PARTS + 1) * ((1 << BITS) // PARTS))
+    cut = [held[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+    first = np.arange(PARTS) == 0
+    raw = {name: pa.array([x.astype("<u4").tobytes() for x in of], pa.binary()) for name, of in (("slots", cut), ("seen", [seen[c] for c in cut]), ("toxic", [toxic[c] for c in cut]))}
+    return batch_of(part=pa.array(range(PARTS), pa.int32()), n=pa.array(n * first, pa.int64()), positive=pa.array(positive * first, pa.int64()), **raw)
+
+
+def _add_counts(table: pa.Table) -> pa.Table:
+    """The sum of the rows of one range."""
+    width = (1 << BITS) // PARTS
+    part = table["part"][0].as_py()
+    seen, toxic = np.zeros(width, np.int64), np.zeros(width, np.int64)
+    for slots, a, b in zip(*(table[c].to_pylist() for c in ("slots", "seen", "toxic")), strict=True):
+        at = np.frombuffer(slots, "<u4") - np.uint32(part * width)
+        seen[at] += np.frombuffer(a, "<u4")
+        toxic[at] += np.frombuffer(b, "<u4")
     held = np.flatnonzero(seen)
-    yield batch_of(n=pa.array([n], pa.int64()), positive=pa.array([positive], pa.int64()), slots=pa.array([held.astype("<u4").tobytes()]), seen=pa.array([seen[held].astype("<u4").tobytes()]), toxic=pa.array([toxic[held].astype("<u4").tobytes()]))
+    n, positive = (sum(table[c].to_pylist()) for c in ("n", "positive"))
+    raw = [pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in (held + part * width, seen[held], toxic[held])]
+    return pa.table([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([positive], pa.int64()), *raw], names=[c.split()[0] for c in COUNTS.split(", ")])
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str, in_training: Column, per_class: int = PER_CLASS) -> Model:
-    """Fit on at most 2 * per_class texts of docs that labels has; of several texts of one id the least. The texts stay on the executors: at most TASKS rows of n-gram counts, and
-    of each text the n-grams that take part, reach the driver."""
+    """Fit on at most 2 * per_class texts of docs that labels has; of several texts of one id the least. The texts stay on the executors: n-gram counts that executors have added up (at most
+    12 MB, however many tasks), and of each text the n-grams that take part, reach the driver."""
     sample = F.broadcast(label_sample(labels, target, in_training, per_class))
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max(F.col("label").cast("int")).alias("label"))
     texts = durable(own.repartition(TASKS, "doc_id"), "sample")
     seen, toxic, n, positive = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), 0, 0
-    for r in arrow_map(texts, _counts, "n long, positive long, slots binary, seen binary, toxic binary").collect():
+    for r in arrow_map(texts, _counts, COUNTS).groupBy("part").applyInArrow(_add_counts, COUNTS).collect():
         at = np.frombuffer(r["slots"], "<u4")
         seen[at] += np.frombuffer(r["seen"], "<u4")
         toxic[at] += np.frombuffer(r["toxic"], "<u4")
@@ -147,7 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str, in_training: Column,
 
     rows = sorted(arrow_map(texts, places, "doc_id long, label int, places binary").collect(), key=lambda r: r["doc_id"])
     discard(texts)
-    return solve([np.frombuffer(r["places"], "<i4") for r in rows], np.array([r["label"] for r in rows], np.int64), used, ratio)
+    model = solve([np.frombuffer(r["places"], "<i4") for r in rows], np.array([r["label"] for r in rows], np.int64), used, ratio)
+    del rows
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
