@@ -16,8 +16,9 @@ also starts anywhere else are counted: a passage of over 50 words may be shorter
 4. The surroundings of an anchor string that has more than `hot` of them are split by window, as they cannot all meet in one task: a task
    compares the windows it has letter by letter and sends any one once.
 
-Collision verification: strings in one task are compared letter by letter, strings in different tasks by 128-bit BLAKE2b digests of their letters, whole texts by 128 bits of
-SHA-256. No result rests on a prefix hash.
+Collision verification: what the suffix sort and the bisection of step 3 find equal, and windows that one task has in step 4, are compared letter by letter. Whole stretches (step 2, in one task too) and
+windows in different tasks are equal if 128-bit BLAKE2b digests of their letters are, whole texts if 128 bits of SHA-256 are. Letters of the word unit are 64-bit hashes of words, so
+n_passage_words rests on these. No result of the byte unit rests on a prefix hash.
 
 Defined results: null and empty texts have 0 bytes and nothing removed. Copies of a text of 400 bytes or more are removed whole; shorter texts are kept.
 Ties between equal grams go to the last. Very long texts are handled in overlapping parts, so memory does not follow their length. An empty table gives
@@ -502,7 +503,8 @@ def remove_repeats(docs: DataFrame, of_bytes: Unit = BYTES, of_words: Unit = PAS
     spans = found.select("key", "unit", "start", "end").unionByName(cold).unionByName(warm).unionByName(local)
     copies = light.groupBy("key").agg(F.count("*").alias("copies"), F.first("n_words").alias("n_words"))
     single = spans.groupBy("key").agg(F.collect_list(F.struct("unit", "start", "end")).alias("spans")).join(copies.where("copies = 1").select("key", "n_words"), "key")
-    cut = arrow_map(texts.join(single, "key"), _cut, "key binary, n_removed long, n_spans long, kept_sha256 string, n_passage_words long")
+    own = arrow_map(texts, _first_of_task, "key binary, text string")  # copies of a text have no key in `single`, so they need not all travel to find that out
+    cut = arrow_map(own.join(single, "key"), _cut, "key binary, n_removed long, n_spans long, kept_sha256 string, n_passage_words long")
 
     several = F.col("copies").isNotNull()
     gone, zero = several & (F.col("n_bytes") >= of_bytes.length), F.lit(0).cast("long")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import frame, odd_rows
 
@@ -39,6 +40,20 @@ def test_equals_brute_force(spark, length, gram, run, run_gram, hot, anchors, de
     assert [got[i] for i in range(len(docs))] == s.brute_force(docs, length, run)
 
 
+def test_copies_of_a_third_of_all_rows(spark):
+    random.seed(8)
+    passage, hot = text(80), text(120)
+    docs = [hot if i % 3 == 0 else f"{text(9)} {passage if i % 3 == 1 else hot[:500]} {text(9)}" for i in range(120)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in s.remove_repeats(frame(spark, list(enumerate(docs)))).collect()}
+    assert [got[i] for i in range(len(docs))] == s.brute_force(docs)
+    assert all(got[i][1] for i in range(len(docs)))
+
+
+def test_only_the_first_copy_of_a_task_travels():
+    batch = pa.record_batch({"key": [b"a", b"b", b"a"], "text": ["x", "y", "x"]})
+    assert [b.column("key").to_pylist() for b in s._first_of_task(iter([batch, batch]))] == [[b"a", b"b"], []]
+
+
 def test_long_texts_in_parts(spark, monkeypatch):
     """Texts of many parts, whose anchors' stretches the part ends cut, give the same; so do tasks that send in several goes."""
     monkeypatch.setattr(s, "SLICE", 3000)
