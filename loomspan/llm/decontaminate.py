@@ -29,7 +29,6 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.workspace import new_path
 from .common import arrow_map, batch_of, durable, slices, text_buffer
 from .wordhash import ALNUM, split
 
@@ -175,7 +174,7 @@ def search(index: DataFrame, items: DataFrame) -> DataFrame:
     own = items.select("item_id", "text").where("item_id is not null and text is not null")
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    stored = new_path(spark, "hits")
+    stored: list[str] = []
     for b in range(blocks):
         part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         windows = windows_of([(r["item_id"], r["text"]) for r in part.collect()])
@@ -189,10 +188,10 @@ def search(index: DataFrame, items: DataFrame) -> DataFrame:
 
         found = rows.groupBy("shard").applyInArrow(_searcher(shared), HITS)
         if blocks > 1:  # each block is stored, so that neither the plan nor what is broadcast grows with their number
-            found.write.parquet(f"{stored}/block={b}")
+            stored.append(durable(found, "hits").stored_at)
             shared.unpersist()
     if blocks > 1:
-        found = spark.read.schema(HITS).parquet(*[f"{stored}/block={b}" for b in range(blocks)])
+        found = spark.read.schema(HITS).parquet(*stored)
         merged = found.groupBy("shard", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near_items"))).alias("near_items"))
         step = "case when size(a) > 0 and x.start <= element_at(a, -1).end then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))) else concat(a, array(x)) end"
         found = merged.withColumn("hits", F.expr(f"aggregate(hits, cast(array() as array<struct<start:int,end:int>>), (a, x) -> {step})")).withColumn("near_items", F.array_except("near_items", "items"))
