@@ -11,7 +11,8 @@ with or without restart intervals), Huffman-decodes the scan and rebuilds the lu
 from DC values only. All restart segments of all frames with the same tables advance in lockstep,
 one numpy step for each block, instead of one Python step for each symbol.
 
-Null and empty texts give a payload of 64 zero bytes. Equal texts give equal values in all columns.
+Defined results: null and empty texts give a payload of 64 zero bytes. Equal texts (ties) give equal values in all columns but doc_id, which may be null. Rows repeat as they do
+in docs. Very long texts are stored whole, in several frames, about 1 MB of text or one longest text at a time. An empty table gives an empty table. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
