@@ -10,7 +10,7 @@ The driver sees the histogram (at most 64 bins), the combinations, and counts of
 everything else is distributed. Equal lengths, however many, spread over salts. Token ids are written once to the shared
 folder; the last join reads those of the rests again, also of rests that the plan has placed.
 
-Defined results: null and empty texts are the end id alone. A very long text is as many full windows as it fills, and one rest. Ties: which of several rests of one length
+Defined results: null and empty texts are the end id alone. A very long text is as many full windows as it fills, and one rest if ids are left. Ties: which of several rests of one length
 goes where is open, but each id is in one piece. Rows repeat as they do in docs, each occurrence with its own
 pieces; doc_id may be null. An empty table gives no pieces. Other columns are ignored, whatever their names.
 """
