@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 
 # The grammars of the attribute column.
 GTF_PAIR = r'[ \t]*+([^ \t;]++)[ \t]*+(?:"([^"]*+)"?+|([^; \t]*+))[^;]*+;?+'
-ID_TOKEN = r'(?:^|;)[ \t]*KEY[ \t]+(?:"([^"]*)|([^; \t]*))'
-ID_QUOTED = r'(?U)\bKEY "([^"]+)"'
-ID_BARE = r"(?U)\bKEY (\S+?)(?:;|$)"
+ID_TOKEN = r'(?:^|;)[ \t]*KEY[ \t]+("[^"]*|[^; \t]*)'
+# The key is searched as a fixed text; that it begins a word is asked where it was found.
+ID_QUOTED = r'(?U)KEY(?<=\bKEY) "([^"]+)"'
+ID_BARE = r"(?U)KEY(?<=\bKEY) (\S+?)(?:;|$)"
+
+
+def once(value: Column) -> Column:
+    """value, as a generator of one row for each row: the optimizer does not copy it into what is computed from it (filters would be pushed below it, with a copy for each use)."""
+    return F.explode_outer(F.array(value))
 
 
 def _keyed(pattern: str, key: str) -> str:
@@ -46,10 +52,22 @@ def lookup(attributes: Column, key: str) -> Column:
     return F.get(F.filter(attributes, lambda p: p["key"] == key), F.lit(0)).getField("value")
 
 
+def gtf_value(raw: Column, key: str) -> Column:
+    """lookup(gtf_attributes(raw), key), without the list."""
+    of = lambda group: F.regexp_extract_all(raw, F.lit(GTF_PAIR), F.lit(group))
+    place = F.array_position(of(1), key).cast("int") - 1
+    return F.when(place >= 0, F.concat(F.get(of(2), place), F.get(of(3), place)))
+
+
+def value_of(raw: Column, fmt: Column, key: str) -> Column:
+    """lookup(attributes_of(raw, fmt), key)."""
+    return F.when(fmt == "gff3", lookup(gff3_attributes(raw), key)).otherwise(gtf_value(raw, key))
+
+
 def token_id(raw: Column, key: str) -> Column:
     """Id as the statistics read it: after the start or any ; (quotes are not minded), blanks, the key, blanks, a quoted or bare value. '' if there is none."""
-    p = _keyed(ID_TOKEN, key)
-    return F.concat(F.regexp_extract(raw, p, 1), F.regexp_extract(raw, p, 2))
+    # A bare value has no quote in front, a quoted one no other quote: trimming takes the opening one.
+    return F.ltrim(F.regexp_extract(raw, _keyed(ID_TOKEN, key), 1), F.lit('"'))
 
 
 def word_id(raw: Column, key: str) -> Column:

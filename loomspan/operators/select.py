@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.attributes import lookup
+from ..functions.attributes import value_of
 from ..sources.records import with_pairs
 from ..sources.workspace import store
 from .intervals import LEVELS, level_of, levels_in, overlap_join
@@ -66,7 +66,8 @@ def by_position(recs: DataFrame, *ties: str) -> DataFrame:
 
 def attribute(recs: DataFrame, key: str, fmt: Column | None = None) -> DataFrame:
     """recs with `value`: the first value of a key, a point where it is missing ('' stays)."""
-    return with_pairs(recs, fmt).withColumn("value", F.coalesce(lookup(F.col("pairs"), key), F.lit("."))).drop("pairs")
+    own = value_of(F.col("attributes"), fmt if fmt is not None else F.col("format"), key)
+    return recs.withColumn("value", F.coalesce(own, F.lit(".")))
 
 
 def attribute_pairs(recs: DataFrame, fmt: Column | None = None) -> DataFrame:

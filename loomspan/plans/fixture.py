@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.attributes import once
+
 
 def _keys() -> dict[str, Column]:
     o, n = F.col("l_orderkey"), F.col("l_linenumber")
@@ -30,22 +32,24 @@ def _keys() -> dict[str, Column]:
 
 
 def _attributes() -> Column:
-    return F.format_string('gene_id "%s"; transcript_id "%s"; exon_number %s;', "gene_id", "tx_id", F.col("slot").cast("string"))
+    held = lambda c: F.coalesce(c, F.lit("null"))
+    return F.concat(F.lit('gene_id "'), held(F.col("gene_id")), F.lit('"; transcript_id "'), held(F.col("tx_id")), F.lit('"; exon_number '), held(F.col("slot").cast("string")), F.lit(";"))
 
 
 def _line(feature: Column, score: Column, frame: Column, attributes: Column) -> Column:
     return F.concat_ws("\t", "seqname", F.concat(F.lit("src"), "src"), feature, F.col("start").cast("string"), F.col("end").cast("string"), score, "strand", frame, attributes)
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity").distinct()
-    return table.select(*[c.alias(k) for k, c in _keys().items()])
+def _rows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The distinct rows of the named columns, with what follows from them. Only these columns are shuffled; what is derived has no more values than they have."""
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*columns).distinct()
+    return table.select(*[c.alias(k) for k, c in _keys().items() if "l_returnflag" in columns or k not in ("kind", "amount")])
 
 
 def exon_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, value: one exon line for each row."""
+    """src, value: one exon line for each order and slot, which all of a line follows from."""
     dot = F.lit(".")
-    return _rows(spark, sf_dir).dropDuplicates(["src", "tx_id", "slot"]).select("src", _line(F.lit("exon"), dot, dot, _attributes()).alias("value"))
+    return _rows(spark, sf_dir, "l_orderkey", "l_linenumber").select("src", once(_line(F.lit("exon"), dot, dot, _attributes())).alias("value"))
 
 
 def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +61,4 @@ def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     fmt = F.when(F.col("slot") >= 4, "gff3").otherwise("gtf")
     line = _line(feature, score, frame, F.when(F.col("slot") >= 4, gff3).otherwise(_attributes()))
     broken = F.when(F.col("amount") % 3 == 0, F.concat(F.lit("# "), "tx_id")).when(F.col("amount") % 3 == 1, F.concat_ws("\t", "seqname", "tx_id", F.lit("exon"))).otherwise(F.lit(""))
-    return _rows(spark, sf_dir).select("src", fmt.alias("format"), F.when(F.col("slot") == 7, broken).otherwise(line).alias("value"))
+    return _rows(spark, sf_dir, "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity").select("src", fmt.alias("format"), once(F.when(F.col("slot") == 7, broken).otherwise(line)).alias("value"))

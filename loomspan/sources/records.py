@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.attributes import attributes_of, word_id
+from ..functions.attributes import attributes_of, once, word_id
 from ..functions.numbers import leading_float, leading_int, leading_long
 
 COLUMNS = ("seqname", "source", "feature", "start", "end", "score", "strand", "frame", "attributes")
@@ -21,8 +21,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     Runs of tabs count as one, tokens after the ninth are dropped. start and end: leading integer, else 0. score: null if it starts with a point.
     strand: first character. frame: null if it starts with a point or is -1."""
-    tokens = F.filter(F.split("value", "\t"), lambda t: t != "")
-    own = lines.withColumn("tokens", tokens).withColumn("line_kind", line_kind(F.col("value"), F.col("tokens")))
+    own = lines.withColumn("tokens", once(F.array_remove(F.split("value", "\t"), ""))).withColumn("line_kind", line_kind(F.col("value"), F.col("tokens")))
     t = lambda i: F.when(F.col("line_kind") == "record", F.get("tokens", F.lit(i)))
     missing = lambda i: F.startswith(t(i), F.lit("."))
     frame = leading_int(t(7))
