@@ -7,6 +7,8 @@ from oracle import SMALL
 from pyspark.sql import functions as F
 
 from loomspan.functions import attributes as at
+from loomspan.functions.numbers import leading_float, leading_int, leading_long, six_digits
+from loomspan.operators import select
 
 
 def plan(df):
@@ -21,6 +23,19 @@ def test_lines_are_rendered_and_split_once(spark):
     assert "first(" not in p and "hashpartitioning(l_orderkey" in p
 
 
+def test_numbers_are_formatted_once(spark):
+    assert plan(spark.range(3).select(six_digits(F.col("id").cast("float")).alias("t"))).count("format_string") == 2
+
+
+def test_short_ways_of_numbers_equal_the_lenient_ones(spark):
+    texts = ["12", "-12", "+12", "012", "-0", " 7", "7 ", "\x017", "1.5", "1.50x", "5.", ".5", "-3.25", "1d", "1e3", "NaN", "Infinity", "12\n", "12\r", "", "-", "x", "9223372036854775807", "9223372036854775808", "2147483648", "-2147483649", "1" * 400]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    # With a letter behind it no text is a number as a whole, and what leads it stays the same.
+    t, long = F.col("t"), F.concat("t", F.lit("z"))
+    odd = df.where(~((leading_long(t) == leading_long(long)) & (leading_int(t) == leading_int(long)) & (leading_float(t).eqNullSafe(leading_float(long)))))
+    assert [r["t"] for r in odd.collect()] == []
+
+
 def test_ids_equal_the_plain_readings(spark):
     random.seed(3)
     parts = ["gene_id", "gene_id ", ' "', '"', ";", " ", "\t", "a", "é", "_", "-", 'gene_id "x"', "gene_id y;", 'gene_id ""']
