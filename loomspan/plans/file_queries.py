@@ -11,7 +11,7 @@ from ..operators import comparison, identifiers, select, statistics, transcripts
 from ..sources import lines as src
 from ..sources import records as rec
 from ..sources import sinks
-from ..sources.workspace import own_path, store
+from ..sources.workspace import drop, own_path, store
 from . import fixture, reports
 from .queries import _EXONS, _IDS, _PAIRS, _RECORD, _SUM, _TX, ORACLES, REGION, _assembly, _exon_records, _exons, _raw, query
 
@@ -19,19 +19,20 @@ LAST_SLOT = 5  #: exons of later slots stand after the sequence section
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of the files, as the scan gives them, with src and seqname from the path."""
+    """The lines of the files, as the scan gives them, with src and seqname from the path. A file is a folder of parts, ranged by place, so that no task sorts and writes a whole sequence."""
     path = own_path(spark, "files")
     exons = rec.records(fixture.exon_lines(spark, sf_dir).withColumn("line", F.col("value")))
     slot = F.regexp_extract("attributes", "exon_number ([0-9]+)", 1).cast("int")
-    body = exons.select("src", "seqname", F.when(slot <= LAST_SLOT, 3).otherwise(5).alias("place"), "start", F.col("line").alias("value"))
-    head = exons.select("src", "seqname").distinct()
+    body = store(exons.select("src", "seqname", F.when(slot <= LAST_SLOT, 3).otherwise(5).alias("place"), "start", F.col("line").alias("value")), "body")
+    head = body.select("src", "seqname").distinct()
     name = F.col("seqname")
     pragma = F.when(name.isin("chr1", "chr3"), F.lit("##gff-version 3"))
     lines = F.array(F.concat(F.lit("# "), name), pragma, F.concat(name, F.lit("\tbroken")), F.lit("##FASTA"), F.concat(F.lit(">"), name), F.lit("ACGT"))
     places = F.array(*[F.lit(p) for p in (0, 1, 2, 4, 4, 4)])
     extra = head.select("src", "seqname", F.posexplode(F.arrays_zip(places.alias("place"), lines.alias("value"))).alias("start", "x")).select("src", "seqname", "x.place", F.col("start").cast("long").alias("start"), "x.value").where("value is not null")
-    body.unionByName(extra).repartition("src", "seqname").sortWithinPartitions("src", "seqname", "place", "start").select("src", "seqname", "value").write.partitionBy("src", "seqname").text(path)
-    return _named(src.read_lines(spark, path))
+    body.unionByName(extra).orderBy("src", "seqname", "place", "start").select("src", "seqname", "value").write.partitionBy("src", "seqname").text(path)
+    drop(body)
+    return _named(src.read_lines(spark, path, folders=True))
 
 
 def _named(lines: DataFrame) -> DataFrame:

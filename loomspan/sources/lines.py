@@ -10,11 +10,18 @@ from .workspace import store
 ORDER = ("path", "block_start", "line_ord")
 
 
-def read_lines(spark: SparkSession, path: str | list[str], newline: str = "unix") -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], newline: str = "unix", folders: bool = False) -> DataFrame:
     """path, block_start, line_ord, value. newline 'unix' splits at line feeds only and keeps carriage returns, 'universal' splits at both.
-    (block_start, line_ord) is the order within a file, also over several splits. Compressed files work as Spark reads them."""
+    (block_start, line_ord) is the order within a file, also over several splits. Compressed files work as Spark reads them.
+
+    folders: the part files of a folder, in the order of their names, are one file, as Spark writes a file that is too large for one task. path is then the folder, and block_start the part
+    and the place in it."""
     reader = spark.read.option("lineSep", "\n") if newline == "unix" else spark.read
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("line_ord"), "value")
+    own, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    part = F.substring_index(own, "/", -1)
+    if folders:
+        own, start = F.substr(own, F.lit(1), F.length(own) - F.length(part)), F.struct(F.length(F.substring_index(part, "-", 2)).alias("digits"), part.alias("part"), start.alias("start"))
+    return reader.text(path).select(own.alias("path"), start.alias("block_start"), F.monotonically_increasing_id().alias("line_ord"), "value")
 
 
 def at() -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from loomspan.functions import attributes as at
 from loomspan.functions.numbers import leading_float, leading_int, leading_long, six_digits
 from loomspan.operators import select
+from loomspan.sources import lines as src
+from loomspan.sources import records as rec
 
 
 def plan(df):
@@ -47,3 +49,17 @@ def test_ids_equal_the_plain_readings(spark):
     word = F.coalesce(bare(r'(?U)\bgene_id "([^"]+)"'), bare(r"(?U)\bgene_id (\S+?)(?:;|$)"))
     same = at.token_id(a, "gene_id").eqNullSafe(token) & at.word_id(a, "gene_id").eqNullSafe(word) & at.gtf_value(a, "gene_id").eqNullSafe(at.lookup(at.gtf_attributes(a), "gene_id"))
     assert [r["a"] for r in df.where(~same).collect()] == []
+
+
+def test_parts_of_a_folder_are_one_file(spark, tmp_path):
+    row = "c\ts\texon\t{}\t9\t.\t+\t.\tk"
+    parts = [["# c", row.format(1)], [row.format(2), "##gff-version 3"], ["bad", row.format(3), "##FASTA"], [row.format(4), "bad"]]
+    for seq in "ab":
+        (tmp_path / "f" / f"seq={seq}").mkdir(parents=True)
+        for i, lines in enumerate(parts):
+            (tmp_path / "f" / f"seq={seq}" / f"part-{99998 + i:05d}-x.txt").write_text("\n".join(lines) + "\n")
+    lines = src.read_lines(spark, str(tmp_path / "f"), folders=True)
+    got = sorted((r["path"][-6:], r["format"], r["start"]) for r in rec.records(src.table_lines(lines)).collect())
+    assert got == [(f"seq={s}/", "gff3", i) for s in "ab" for i in (1, 2, 3)]
+    bad = sorted((r["path"][-6:], r["line_no"]) for r in rec.malformed(src.numbered(lines)).collect())
+    assert bad == [(f"seq={s}/", n) for s in "ab" for n in (5, 9)]
