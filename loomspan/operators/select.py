@@ -109,8 +109,9 @@ def overlapping_regions(recs: DataFrame, regions: DataFrame) -> DataFrame:
     return pairs.select(*own, F.col("b_region_id").alias("region_id"), F.col("b_start").alias("region_start"), F.col("b_end").alias("region_end"))
 
 
-#: Widths of the bins of a stored table, level by level, as powers of two.
-TABLE_POWERS = (20, 30, 40, 50, 62)
+#: Widths of the bins of a stored table, level by level, as powers of two. Each bin is a folder with a file: the first width is that of a fourth of a human chromosome, so that files are few and
+#: hold many records, which lie in the order of their starts.
+TABLE_POWERS = (26, 34, 42, 50, 62)
 MOST_BINS = 64  #: bins of a level that a region names outright; beyond, it takes those that the table has
 
 
@@ -119,7 +120,7 @@ def write_binned(recs: DataFrame, path: str) -> None:
     level = level_of(TABLE_POWERS)
     bins = F.element_at(F.array(*[F.shiftright("start", p) for p in TABLE_POWERS]), F.col("level") + 1)
     dealt = recs.withColumn("level", level).withColumn("bin", bins)
-    dealt.repartition("seqname", "level", "bin").write.mode("overwrite").partitionBy("seqname", "level", "bin").parquet(path)
+    dealt.repartition("seqname", "level", "bin").sortWithinPartitions("seqname", "level", "bin", "start").write.mode("overwrite").partitionBy("seqname", "level", "bin").parquet(path)
 
 
 def regions_of_binned(spark: SparkSession, path: str, schema: str, regions: DataFrame) -> DataFrame:

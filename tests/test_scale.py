@@ -1,5 +1,6 @@
 """What keeps the work of large tables in proportion: lines are rendered and split once, numbers formatted once, large files are parts, bins hold many records."""
 
+import os
 import random
 
 import __spark_entry__ as entry
@@ -63,3 +64,9 @@ def test_parts_of_a_folder_are_one_file(spark, tmp_path):
     assert got == [(f"seq={s}/", "gff3", i) for s in "ab" for i in (1, 2, 3)]
     bad = sorted((r["path"][-6:], r["line_no"]) for r in rec.malformed(src.numbered(lines)).collect())
     assert bad == [(f"seq={s}/", n) for s in "ab" for n in (5, 9)]
+
+
+def test_bins_hold_many_records(spark, tmp_path):
+    recs = spark.range(2000).selectExpr("'c' as seqname", "id * 500000 as start", "id * 500000 + 9 as `end`")
+    select.write_binned(recs, str(tmp_path / "t"))
+    assert len(os.listdir(tmp_path / "t" / "seqname=c" / "level=0")) <= 16
