@@ -20,7 +20,7 @@ from loomspan.plans import fixture
 from loomspan.plans.queries import _LOCI, _PAIRS
 from loomspan.sources import records
 from loomspan.sources.lines import read_lines
-from loomspan.sources.workspace import drop, new_path
+from loomspan.sources.workspace import new_path
 
 PARTITIONS = ("src", "seqname")
 SCHEMA = "tx_id string, gene_id string, strand string, start long, end long, n_exons int, n_introns int, locus long, cmp_class string, src int, seqname string"
@@ -34,19 +34,20 @@ def lines_of_files(spark: SparkSession, first: str, second: str) -> DataFrame:
 
 def compare(spark: SparkSession, lines: DataFrame, output: str, sequences: list[str] | None = None) -> DataFrame:
     """Writes the transcripts of the releases in lines (src, value) to `output`; the table read back."""
-    lines, read = counted(lines)
-    recs = records.records(lines)
+    watched, read = counted(lines)
+    recs = records.records(watched)
     if sequences:
         recs = recs.where(F.col("seqname").isin(*sequences))
     # One table serves loci and classes, so the lines are read and assembled once.
     both = transcripts.assemble(transcripts.exons_of(recs, "src"))
-    LOG.info("read %d lines of two releases", read.get["n"])
-    loci = transcripts.assign_locus(both.tx).select("src", "tx_id", "locus")
-    result = comparison.classify(both).join(loci, ["src", "tx_id"]).select("tx_id", "gene_id", "strand", "start", "end", "n_exons", "n_introns", "locus", "cmp_class", *PARTITIONS)
+    # Where no exon is left Spark drops the plan, and what was observed in it.
+    empty = both.tx.isEmpty()
+    LOG.info("read %d lines of two releases", lines.count() if empty else read.get["n"])
+    result = comparison.classify(both, loci=True).select("tx_id", "gene_id", "strand", "start", "end", "n_exons", "n_introns", "locus", "cmp_class", *PARTITIONS)
     rows, written = counted(result)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if sequences else "static").partitionBy(*PARTITIONS).parquet(output)
-    drop(both.tx, both.introns)
-    LOG.info("wrote %s: %d transcripts of %s", output, written.get["n"], ", ".join(sequences) if sequences else "all sequences")
+    both.drop()
+    LOG.info("wrote %s: %d transcripts of %s", output, 0 if empty else written.get["n"], ", ".join(sequences) if sequences else "all sequences")
     table = spark.read.schema(SCHEMA).parquet(output)
     for r in comparison.class_counts(table).orderBy("src").collect():
         LOG.info("release %d: %d transcripts, %d exact, %d partial, %d overlap only, %d unique", *r)

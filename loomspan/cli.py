@@ -19,7 +19,6 @@ from .plans import reports
 from .sources import lines as src
 from .sources import records as rec
 from .sources.sinks import format_records, record_text, write_lines, write_parsed
-from .sources.workspace import drop
 
 
 class _Parser(argparse.ArgumentParser):
@@ -166,8 +165,8 @@ def _run(spark: SparkSession, a: argparse.Namespace, region: select.Region | Non
             if s not in n:
                 _say(f"warning: no exon features in {f}")
         _say(f"Loaded {n.get(1, 0)} + {n.get(2, 0)} transcripts.")
-        print(reports.compare_report(counts, comparison.intron_counts(both.introns), a.file1, a.file2), end="")
-        drop(both.tx, both.introns)
+        print(reports.compare_report(counts, comparison.intron_counts(both.gaps), a.file1, a.file2), end="")
+        both.drop()
     else:
         lines = _two(spark, a.file1, a.file2, "universal")
         _warn(lines)

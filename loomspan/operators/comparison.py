@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import percent
 from .intervals import levels_in, overlap_join
-from .transcripts import Assembly, distinct_introns
+from .transcripts import Assembly, assign_locus, distinct_introns, locus_bases, number_loci
 
 REACH_BIN = 1 << 20  #: positions that one task of the search for partners handles
 
@@ -38,50 +38,73 @@ def pair_class(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("rank", rank).withColumn("pair_class", F.array(*map(F.lit, reversed(CLASSES)))[F.col("rank")])
 
 
+def mark_partners(tx: DataFrame, width: int = REACH_BIN, spans: DataFrame | None = None, loci: bool = False) -> DataFrame:
+    """tx with `partner`: it overlaps a transcript of the other source. No pair is made.
+
+    In the order of starts, a partner stands before a transcript, and the greatest end there reaches its start, or behind it, and the next start there is not beyond its end. Transcripts are ordered
+    within bins of starts; each bin begins with rows that hold the greatest end before it, and closes with rows that hold the next start behind it, for each source.
+
+    spans: the table (stored) whose spans tx has, where tx is costly to read twice. loci: adds `locus`, as assign_locus, from the same order."""
+    place = ["bin", "seqname", "strand"]
+    own = lambda df: df.withColumn("bin", F.expr(f"start div {width}"))
+    of = lambda s, c: F.when(F.col("src") == s, F.col(c))
+    bins = Window.partitionBy("seqname", "strand").orderBy("bin")
+    earlier = bins.rowsBetween(Window.unboundedPreceding, -1)
+    spans = tx if spans is None else spans
+    held = own(spans).groupBy(*place).agg(*[f(of(s, c)).alias(f"{c}_{s}") for s in (1, 2) for f, c in ((F.max, "end"), (F.min, "start"))])
+    later = lambda s: F.expr(f"lead(start_{s}) ignore nulls over (partition by seqname, strand order by bin)")
+    none = F.lit(None).cast("long")
+    border = lambda row, s, start, end: F.struct(F.lit(row).alias("row"), F.lit(s).alias("src"), start.alias("start"), end.alias("end"))
+    sides = held.select(*place, *[F.max(f"end_{s}").over(earlier).alias(f"reach_{s}") for s in (1, 2)], *[later(s).alias(f"later_{s}") for s in (1, 2)])
+    borders = sides.select(*place, F.explode(F.array(*[b for s in (1, 2) for b in (border(0, s, none, F.col(f"reach_{s}")), border(2, s, F.col(f"later_{s}"), none))])).alias("b")).select(*place, "b.*")
+    rows = own(tx).withColumn("row", F.lit(1)).unionByName(borders.where("start is not null or end is not null"), allowMissingColumns=True)
+    if loci:
+        rows = rows.unionByName(locus_bases(spans, width).withColumn("row", F.lit(0)), allowMissingColumns=True)
+    within = Window.partitionBy(*place).orderBy("row", "start", "end")
+    before = lambda s: F.max(of(s, "end")).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    behind = lambda s: F.expr(f"lead(if(src = {s}, start, null)) ignore nulls over (partition by bin, seqname, strand order by row, start, `end`)")
+    swept = (number_loci(rows) if loci else rows).withColumns({f"before_{s}": before(s) for s in (1, 2)} | {f"behind_{s}": behind(s) for s in (1, 2)}).where("row = 1")
+    other = lambda c: F.when(F.col("src") == 1, F.col(f"{c}_2")).otherwise(F.col(f"{c}_1"))
+    partner = F.coalesce(other("before") >= F.col("start"), F.lit(False)) | F.coalesce(other("behind") <= F.col("end"), F.lit(False))
+    return swept.select(*tx.columns, partner.alias("partner"), *(["locus"] if loci else []))
+
+
 def with_partner(tx: DataFrame, width: int = REACH_BIN) -> DataFrame:
-    """src, tx_id of the transcripts that overlap one of the other source. No pair is made.
-
-    A partner starts at or before the end of a transcript, and the greatest end of those that do is at or after its start. So starts (of the one source) and ends (of the other) are put in
-    order, and the greatest end so far is carried along: within bins, each of which begins with a row that holds the greatest end before it."""
-    by = ["seqname", "strand", "of"]
-    given = tx.select("seqname", "strand", F.col("src").alias("of"), F.col("start").alias("at"), F.lit(1).alias("row"), F.col("end").alias("reach"))
-    asked = tx.select("seqname", "strand", (3 - F.col("src")).alias("of"), F.col("end").alias("at"), F.lit(2).alias("row"), "src", "tx_id", "start")
-    rows = given.unionByName(asked, allowMissingColumns=True).withColumn("bin", F.expr(f"at div {width}"))
-    earlier = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy(*by, "bin").agg(F.max("reach").alias("reach")).select(*by, "bin", F.lit(0).alias("row"), F.max("reach").over(earlier).alias("reach"))
-    so_far = Window.partitionBy(*by, "bin").orderBy("row_first", "at", "row").rowsBetween(Window.unboundedPreceding, 0)
-    swept = rows.unionByName(before, allowMissingColumns=True).withColumn("row_first", F.col("row") > 0).withColumn("so_far", F.max("reach").over(so_far))
-    return swept.where("row = 2 and so_far >= start").select("src", "tx_id")
-
-
-def chain_ranks(introns: DataFrame, tx: DataFrame) -> DataFrame:
-    """src, tx_id, rank: 3 where the other source has a transcript with the same introns, 2 where it has one of the introns. Transcripts that share an intron overlap, as long as no exon ends
-    before it starts, so no pair is made: introns are counted by source, and chains by a fingerprint of 128 bits that does not depend on order."""
-    both = introns.groupBy(*_INTRON).agg((F.bool_or(F.col("src") == 1) & F.bool_or(F.col("src") == 2)).alias("both")).where("both")
-    marked = introns.join(both, _INTRON, "left")
-    mark = lambda *c: F.xxhash64(*c)
-    chain = marked.groupBy("src", "tx_id").agg(F.max("seqname").alias("seqname"), F.max("strand").alias("strand"), F.count("*").alias("n"), F.bit_xor(mark("start", "end")).alias("x"), F.bit_xor(mark("end", "start", F.lit(1))).alias("y"), F.count("both").alias("shared"))
-    key = ["seqname", "strand", "n", "x", "y"]
-    # A chain is whole if none of its introns stands twice; all introns of a match are shared.
-    whole = chain.where("shared = n").join(tx.select("src", "tx_id", "n_introns"), ["src", "tx_id"]).where("n = n_introns")
-    twins = whole.groupBy(*key).agg((F.bool_or(F.col("src") == 1) & F.bool_or(F.col("src") == 2)).alias("twins")).where("twins")
-    exact = whole.join(twins, key, "left_semi").select("src", "tx_id", F.lit(3).alias("rank"))
-    return chain.where("shared > 0").select("src", "tx_id", F.lit(2).alias("rank")).unionByName(exact).groupBy("src", "tx_id").agg(F.max("rank").alias("rank"))
-
-
-def classify(assembly: Assembly) -> DataFrame:
-    """The transcripts with cmp_class: the best class over all partners, u without any.
-
-    Where an exon ends before it starts, transcripts may share an intron and not overlap; then, and only then, the classes come from the pairs."""
-    tx, introns = assembly.tx, assembly.introns
+    """src, tx_id of the transcripts that overlap one of the other source."""
+    return mark_partners(tx, width).where("partner").select("src", "tx_id")
+
+
+def mark_twins(tx: DataFrame) -> DataFrame:
+    """tx (of an assembly) with `twin` in place of its chain: the other source has a transcript with the same chain of introns, which need not be distinct."""
+    chain = Window.partitionBy("chain_x", "chain_y", "n_introns", "seqname", "strand")
+    return tx.withColumn("twin", (F.col("n_introns") > 0) & (F.min("src").over(chain) != F.max("src").over(chain))).drop("chain_x", "chain_y")
+
+
+def shared_introns(gaps: DataFrame) -> DataFrame:
+    """src, tx_id of the transcripts with an intron that the other source has too (shared) or that stands twice in the transcript (repeated)."""
+    order = Window.partitionBy("start", "end", "seqname", "strand").orderBy("tx_id", "src")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.lag(F.struct("tx_id", "src")).over(order)
+    seen = gaps.select("src", "tx_id", (F.min("src").over(whole) != F.max("src").over(whole)).alias("shared"), F.coalesce(before == F.struct("tx_id", "src"), F.lit(False)).alias("repeated"))
+    return seen.where("shared or repeated").groupBy("tx_id", "src").agg(F.max("shared").alias("shared"), F.max("repeated").alias("repeated"))
+
+
+def classify(assembly: Assembly, loci: bool = False) -> DataFrame:
+    """The transcripts with cmp_class: the best class over all partners, u without any. loci: with `locus` too.
+
+    Transcripts that share an intron overlap, as long as no exon ends before it starts, so no pair is made: a twin has the same chain, none of whose introns stands twice. Where an exon ends before
+    it starts, transcripts may share an intron and not overlap; then, and only then, the classes come from the pairs."""
+    tx = assembly.tx
+    key = ["tx_id", "src"]
     if tx.where("reversed").isEmpty():
-        ranks = chain_ranks(introns, tx).unionByName(with_partner(tx).select("src", "tx_id", F.lit(1).alias("rank")))
-    else:
-        pairs = pair_class(with_shared(overlapping_pairs(tx), introns))
-        end = lambda s, c: F.struct(F.lit(s).alias("src"), F.col(c).alias("tx_id"))
-        ranks = pairs.select(F.explode(F.array(end(1, "a_tx_id"), end(2, "b_tx_id"))).alias("t"), "rank").select("t.src", "t.tx_id", "rank")
-    best = ranks.groupBy("src", "tx_id").agg(F.max("rank").alias("rank"))
-    return tx.join(best, ["src", "tx_id"], "left").withColumn("cmp_class", F.array(*map(F.lit, reversed(CLASSES)))[F.coalesce("rank", F.lit(0))]).drop("rank", "reversed")
+        marked = mark_partners(mark_twins(tx), spans=tx, loci=loci).join(shared_introns(assembly.gaps), key, "left")
+        found = F.when(F.col("twin") & ~F.coalesce("repeated", F.lit(False)), "=").when(F.col("shared"), "j").when(F.col("partner"), "o").otherwise("u")
+        return marked.withColumn("cmp_class", found).drop("reversed", "twin", "partner", "shared", "repeated")
+    pairs = pair_class(with_shared(overlapping_pairs(tx), assembly.introns))
+    end = lambda s, c: F.struct(F.lit(s).alias("src"), F.col(c).alias("tx_id"))
+    ranks = pairs.select(F.explode(F.array(end(1, "a_tx_id"), end(2, "b_tx_id"))).alias("t"), "rank").select("t.src", "t.tx_id", "rank")
+    best = ranks.groupBy(*key).agg(F.max("rank").alias("rank"))
+    return (assign_locus(tx) if loci else tx).join(best, key, "left").withColumn("cmp_class", F.array(*map(F.lit, reversed(CLASSES)))[F.coalesce("rank", F.lit(0))]).drop("rank", "reversed", "chain_x", "chain_y")
 
 
 def class_counts(classified: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.attributes import token_id
@@ -52,37 +52,93 @@ def distinct_introns(introns: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Assembly:
-    """Transcripts and their distinct introns, each stored once."""
+    """Transcripts and their introns, from tables that are stored once."""
 
-    tx: DataFrame
-    introns: DataFrame  #: src, tx_id, seqname, strand, start, end
+    tx: DataFrame  #: as build_transcripts, and chain_x, chain_y: 128 bits that tell chains of introns apart, whatever their order
+    gaps: DataFrame  #: src, tx_id, seqname, strand, start, end: introns, with repeats
+    tables: tuple[DataFrame, ...]  #: the stored tables
 
+    @property
+    def introns(self) -> DataFrame:
+        """The distinct introns of each transcript."""
+        return self.gaps.distinct()
 
-def assemble(exons: DataFrame) -> Assembly:
-    """Stores exons, transcripts and introns, so that lines are read and parsed once."""
-    kept = store(exons.select("src", "seqname", "strand", "tx_id", "gene_id", "start", "end"), "exons")
-    out = Assembly(store(build_transcripts(kept), "transcripts"), store(introns_of(kept).distinct(), "introns"))
-    drop(kept)
-    return out
+    def drop(self) -> None:
+        drop(*self.tables)
 
 
-def assign_locus(tx: DataFrame, width: int = BIN) -> DataFrame:
-    """tx with `locus`: the number, within sequence and strand, of the run of transcripts that overlap without a gap.
+def _marks(start: Column, end: Column) -> dict[str, Column]:
+    return {"x": F.xxhash64(start, end), "y": F.xxhash64(end, start, F.lit(1))}
+
+
+def exon_steps(exons: DataFrame, width: int = EXON_BIN) -> DataFrame:
+    """exons in order within bins of starts: tx_id, src, bin, seqname, strand (of the bin's first exon), tail (the exon's end), next (the start that follows in the bin, null for the last
+    exon of a bin) and, with that last exon alone, what the bin adds up to: first, last (the greatest end), n, reversed, x, y (of its introns).
 
-    A parallel prefix over bins of starts. Each bin by itself gives its greatest end and the starts of its own runs; from one row for each bin follow the greatest end before a bin
-    (what starts up to there opens no locus) and the number of loci before it. Both enter the bin again as a row that stands first."""
-    bins = ["seqname", "strand", "bin"]
+    One shuffle and one sort; what adds up is carried along, so no task holds a bin in memory."""
+    by = ["tx_id", "src", "bin"]  # a name tells more rows apart than a source does, so sorts compare less
+    order = ["start", "end", "seqname", "strand", "gene_id"]
+    within = Window.partitionBy(*by).orderBy(*order)
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    own = exons.withColumn("bin", F.expr(f"start div {width}"))
+    held = {"next": F.lead("start").over(within), "first": F.first(F.struct(*order)).over(so_far), "last": F.max("end").over(so_far), "n": F.count("*").over(so_far), "reversed": F.max(F.col("end") < F.col("start")).over(so_far)}
+    steps = own.select(*by, F.col("end").alias("tail"), *[c.alias(k) for k, c in held.items()], *order)
+    is_last = F.col("next").isNull()
+    marks = {k: F.bit_xor(F.when(~is_last, c)).over(so_far) for k, c in _marks(F.col("tail") + 1, F.col("next") - 1).items()}
+    whole = [F.when(is_last, F.col(c)).alias(c) for c in ("first", "last", "n", "reversed", *marks)]
+    return steps.withColumns(marks).select(*by, "first.seqname", "first.strand", "tail", "next", *whole)
+
+
+def join_bins(steps: DataFrame) -> DataFrame:
+    """A row for each bin of a transcript: tx_id, src, bin, head (the transcript's first exon), tail, next (the first start of the next bin, null for the last bin), moved (the bin begins on
+    another sequence or strand than the transcript) and what the bins up to here add up to. Only one row for each bin is ordered over a transcript."""
+    bins = Window.partitionBy("tx_id", "src").orderBy("bin")
+    so_far = bins.rowsBetween(Window.unboundedPreceding, 0)
+    ends = steps.where("n is not null").select("tx_id", "src", "bin", "first", "tail", "last", "n", "reversed", "x", "y", F.lead("first.start").over(bins).alias("next"), F.first("first").over(so_far).alias("head"))
+    border = _marks(F.col("tail") + 1, F.col("next") - 1)
+    mark = lambda k: F.coalesce(k, F.lit(0)).bitwiseXOR(F.when(F.col("next").isNotNull(), border[k]).otherwise(0))
+    moved = (F.col("first.seqname") != F.col("head.seqname")) | (F.col("first.strand") != F.col("head.strand"))
+    sums = {"last": F.max("last"), "n": F.sum("n"), "reversed": F.max("reversed"), "x": F.bit_xor(mark("x")), "y": F.bit_xor(mark("y"))}
+    return ends.select("tx_id", "src", "bin", "head", "tail", "next", moved.alias("moved"), *[c.over(so_far).alias(k) for k, c in sums.items()])
+
+
+def assemble(exons: DataFrame, width: int = EXON_BIN) -> Assembly:
+    """Transcripts and introns. Exons are ordered once, and stored as introns; lines are read and parsed once."""
+    steps = store(exon_steps(exons, width), "introns")
+    bins = store(join_bins(steps), "transcripts")
+    n = F.col("n").cast("int")
+    tx = bins.where("next is null").select("src", "tx_id", "head.seqname", "head.strand", "head.gene_id", "head.start", F.col("last").alias("end"), n.alias("n_exons"), (n - 1).alias("n_introns"), "reversed", F.col("x").alias("chain_x"), F.col("y").alias("chain_y"))
+    inner = steps.where("next is not null")
+    moved = bins.where("moved").select("tx_id", "src", "bin", F.col("head.seqname").alias("own_seqname"), F.col("head.strand").alias("own_strand"))
+    if not moved.isEmpty():
+        inner = inner.join(moved, ["tx_id", "src", "bin"], "left").withColumns({c: F.coalesce(f"own_{c}", c) for c in ("seqname", "strand")})
+    intron = [(F.col("tail") + 1).alias("start"), (F.col("next") - 1).alias("end")]
+    border = bins.where("next is not null").select("src", "tx_id", "head.seqname", "head.strand", *intron)
+    return Assembly(tx, inner.select("src", "tx_id", "seqname", "strand", *intron).unionByName(border), (steps, bins))
+
+
+def locus_bases(tx: DataFrame, width: int = BIN) -> DataFrame:
+    """bin, seqname, strand, end, base of each bin of starts: the greatest end and the number of loci before it. Each bin by itself gives its greatest end and the starts of its own runs."""
+    bins = ["bin", "seqname", "strand"]  # a number first: sorts compare it alone, mostly
     own = tx.withColumn("bin", F.expr(f"start div {width}"))
-    within = Window.partitionBy(*bins)
-    before = F.max("end").over(within.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max("end").over(Window.partitionBy(*bins).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     runs = own.select(*bins, "start", "end", before.alias("before")).groupBy(*bins).agg(F.max("end").alias("last"), F.collect_list(F.when(F.col("before").isNull() | (F.col("start") > F.col("before")), F.col("start"))).alias("heads"))
     earlier = Window.partitionBy("seqname", "strand").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     reach = runs.withColumn("end", F.max("last").over(earlier))
     opened = F.size(F.filter("heads", lambda h: F.col("end").isNull() | (h > F.col("end"))))
-    start = reach.withColumn("opened", opened).select(*bins, "end", F.lit(0).alias("row"), F.coalesce(F.sum("opened").over(earlier), F.lit(0)).alias("base"))
-    rows = own.withColumn("row", F.lit(1)).unionByName(start, allowMissingColumns=True)
-    order = within.orderBy("row", "start", "end")
-    covered = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(F.col("row") == 0, F.col("base")).when(F.col("covered").isNull() | (F.col("start") > F.col("covered")), 1).otherwise(0)
-    numbered = rows.withColumn("covered", covered).withColumn("opens", opens).withColumn("locus", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    return numbered.where("row = 1").select(*tx.columns, "locus")
+    return reach.withColumn("opened", opened).select(*bins, "end", F.coalesce(F.sum("opened").over(earlier), F.lit(0)).alias("base"))
+
+
+def number_loci(rows: DataFrame) -> DataFrame:
+    """rows (row, bin, seqname, strand, start, end, base) with `locus`. In each bin, those of locus_bases (row 0) stand before its transcripts (row 1): what starts up to an end before it opens no locus."""
+    order = Window.partitionBy("bin", "seqname", "strand").orderBy("row", "start", "end")
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.when((F.col("row") == 1) & (F.col("covered").isNull() | (F.col("start") > F.col("covered"))), 1).otherwise(0)
+    covered = rows.withColumn("covered", F.max("end").over(before))
+    return covered.withColumn("locus", F.coalesce(F.max("base").over(so_far), F.lit(0)) + F.sum(opens).over(so_far)).drop("covered")
+
+
+def assign_locus(tx: DataFrame, width: int = BIN) -> DataFrame:
+    """tx with `locus`: the number, within sequence and strand, of the run of transcripts that overlap without a gap. A parallel prefix over bins of starts."""
+    rows = tx.withColumn("bin", F.expr(f"start div {width}")).withColumn("row", F.lit(1))
+    return number_loci(rows.unionByName(locus_bases(tx, width).withColumn("row", F.lit(0)), allowMissingColumns=True)).where("row = 1").select(*tx.columns, "locus")

@@ -153,7 +153,7 @@ def _block(s: int) -> str:
  UNION ALL SELECT 25, printf('  Precision   (GTF2 exact / GTF2 total) : %.1f%%', 100.0::DOUBLE * n_exact / n_tx) FROM counts WHERE src = 2)""")
 def report_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = _assembly(spark, sf_dir)
-    return _rows(spark, reports.compare_report(comparison.class_counts(comparison.classify(both)), comparison.intron_counts(both.introns), "one.gtf", "two.gtf"))
+    return _rows(spark, reports.compare_report(comparison.class_counts(comparison.classify(both)), comparison.intron_counts(both.gaps), "one.gtf", "two.gtf"))
 
 
 def _id_block(level: str, title: str, at: int) -> str:

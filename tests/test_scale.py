@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import attributes as at
 from loomspan.functions.numbers import leading_float, leading_int, leading_long, six_digits
-from loomspan.operators import select
+from loomspan.operators import comparison, select, transcripts
 from loomspan.sources import lines as src
 from loomspan.sources import records as rec
 
@@ -70,3 +70,32 @@ def test_bins_hold_many_records(spark, tmp_path):
     recs = spark.range(2000).selectExpr("'c' as seqname", "id * 500000 as start", "id * 500000 + 9 as `end`")
     select.write_binned(recs, str(tmp_path / "t"))
     assert len(os.listdir(tmp_path / "t" / "seqname=c" / "level=0")) <= 16
+
+
+def test_parts_of_transcripts_meet(spark):
+    """Transcripts over many bins, parts of one on another sequence or strand, repeated exons: introns and transcripts as by the plain definition, and chains are told apart whatever the bins."""
+    random.seed(5)
+    rows = []
+    for i in range(60):
+        s, at = i % 2 + 1, random.randrange(20) * 100
+        for _ in range(random.choice([1, 2, 5])):
+            rows.append((s, random.choice(["c1", "c1", "c1", "c2"]), random.choice("++-"), f"t{i // 2}" if i % 3 else "", "g", at, at + random.choice([50, 400])))
+            rows += rows[-1:] if random.random() < 0.2 else []
+            at += random.choice([0, 100, 700])
+    exons = spark.createDataFrame(rows, "src int, seqname string, strand string, tx_id string, gene_id string, start long, end long").repartition(3)
+    got = [transcripts.assemble(exons, width) for width in (64, 500, 1 << 17)]
+    plain = sorted(tuple(r) for r in transcripts.build_transcripts(exons).collect())
+    gaps = sorted(tuple(r) for r in transcripts.introns_of(exons).collect())
+    chains = [sorted(tuple(r) for r in a.tx.select("src", "tx_id", "chain_x", "chain_y").collect()) for a in got]
+    for a in got:
+        assert sorted(tuple(r)[:10] for r in a.tx.collect()) == plain and sorted(tuple(r) for r in a.gaps.collect()) == gaps
+    assert chains[0] == chains[1] == chains[2]
+
+
+def test_classes_and_loci_shuffle_each_transcript_few_times(spark):
+    """One order by place gives loci and partners; nothing sorts for an aggregate, nor meets introns by a join of their own."""
+    both = transcripts.assemble(spark.createDataFrame([(1, "c", "+", "t", "g", 1, 9), (2, "c", "+", "u", "g", 1, 9)], "src int, seqname string, strand string, tx_id string, gene_id string, start long, end long"))
+    p = plan(comparison.classify(both)).split("Initial Plan")[-1]
+    assert p.count("Exchange") <= 8 and "SortAggregate" not in p and p.count("Join") == 1
+    located = comparison.classify(both, loci=True)
+    assert plan(located).count("Join") == 1 and {(r["tx_id"], r["locus"], r["cmp_class"]) for r in located.collect()} == {("t", 1, "o"), ("u", 1, "o")}
