@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.numbers import six_digits
+from .workspace import drop, store
 
 
 def record_text(score: Column | None = None) -> Column:
@@ -48,5 +49,8 @@ def write_lines(raw: DataFrame, path: str, order: tuple[str, ...]) -> int:
 
 
 def write_table(recs: DataFrame, path: str) -> None:
-    """Records as Parquet, ranged and sorted by position: a region query then reads only the files and row groups whose bounds meet it."""
-    recs.repartitionByRange("seqname", "start").sortWithinPartitions("seqname", "start", "end").write.mode("overwrite").parquet(path)
+    """Records as Parquet, ranged and sorted by position: a region query then reads only the files and row groups whose bounds meet it.
+    Spark runs what is below a range twice, first for its bounds: the records are stored before, so that lines are parsed once."""
+    held = store(recs, "records")
+    held.repartitionByRange("seqname", "start").sortWithinPartitions("seqname", "start", "end").write.mode("overwrite").parquet(path)
+    drop(held)
