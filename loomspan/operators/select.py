@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import value_of
 from ..sources.records import with_pairs
-from ..sources.workspace import store
+from ..sources.workspace import drop, store
 from .intervals import LEVELS, level_of, levels_in, overlap_join
 
 POSITION = ("seqname", "start", "end")
@@ -88,8 +88,10 @@ def value_counts(recs: DataFrame, key: str, fmt: Column | None = None) -> DataFr
 
 def position_rank(recs: DataFrame, *ties: str) -> DataFrame:
     """Rank of each record by start and end within its sequence. The records are sorted once, over ranges that Spark samples, so neither a large sequence nor a dense stretch of it is one task;
-    the sorted table is stored, and what stands before each of its parts follows from their counts."""
-    held = store(recs.orderBy(*POSITION, *ties).select("*", F.spark_partition_id().alias("rank_part"), F.monotonically_increasing_id().alias("rank_place")), "sorted")
+    the sorted table is stored, and what stands before each of its parts follows from their counts. The records are stored before too, as Spark runs what is below a range twice, first for its bounds."""
+    own = store(recs, "records")
+    held = store(own.orderBy(*POSITION, *ties).select("*", F.spark_partition_id().alias("rank_part"), F.monotonically_increasing_id().alias("rank_place")), "sorted")
+    drop(own)
     part = ["seqname", "rank_part"]
     before = Window.partitionBy("seqname").orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = held.groupBy(*part).agg(F.count("*").alias("held"), F.min("rank_place").alias("rank_first"))
