@@ -108,8 +108,8 @@ def sink_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_IDS} SELECT 'merge' AS output, count(*) AS n FROM ex WHERE src = 1 OR gene_id NOT IN (SELECT id FROM genes WHERE in_1)
  UNION ALL SELECT 'only-in-1', count(*) FROM ex WHERE src = 1 AND gene_id NOT IN (SELECT id FROM genes WHERE in_2) UNION ALL SELECT 'only-in-2', count(*) FROM ex WHERE src = 2 AND gene_id NOT IN (SELECT id FROM genes WHERE in_1)""")
 def sink_written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counted as the rows are written."""
-    raw = _raw(spark, sf_dir)
+    """Counted as the rows are written. Every output reads the records several times (genes of both sources, bounds of the ranges), so they are stored: lines are read once."""
+    raw = store(_raw(spark, sf_dir).select("src", "gene_id", "value"), "raw")
     kept = {"merge": identifiers.merge(raw), "only-in-1": identifiers.records_only_in(raw, 1), "only-in-2": identifiers.records_only_in(raw, 2)}
     return spark.createDataFrame([(k, sinks.write_lines(d, own_path(spark, "written"), ("src", "value"))) for k, d in kept.items()], "output string, n long")
 

@@ -12,6 +12,7 @@ from loomspan.functions.numbers import leading_float, leading_int, leading_long,
 from loomspan.operators import comparison, select, transcripts
 from loomspan.sources import lines as src
 from loomspan.sources import records as rec
+from loomspan.sources import sinks
 
 
 def plan(df):
@@ -99,3 +100,20 @@ def test_classes_and_loci_shuffle_each_transcript_few_times(spark):
     assert p.count("Exchange") <= 8 and "SortAggregate" not in p and p.count("Join") == 1
     located = comparison.classify(both, loci=True)
     assert plan(located).count("Join") == 1 and {(r["tx_id"], r["locus"], r["cmp_class"]) for r in located.collect()} == {("t", 1, "o"), ("u", 1, "o")}
+
+
+def test_lines_are_parsed_once_for_ranges(spark, tmp_path):
+    """What is ranged is stored before, as Spark runs it twice."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    recs = spark.range(100).select(F.lit("c").alias("seqname"), counted(F.col("id")).alias("start"), (F.col("id") + 5).alias("end"))
+    sinks.write_table(recs, str(tmp_path / "t"))
+    assert seen.value == 100
+    assert select.position_rank(recs).count() == 100 and seen.value == 200
+    written = entry.queries()["sink_written_counts"](spark, SMALL)
+    assert {r["output"] for r in written.collect()} == {"merge", "only-in-1", "only-in-2"}
