@@ -6,7 +6,7 @@ neighbourhood. `exon_lines` has only exons; `mixed_lines` has several features,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.attributes import once
@@ -42,8 +42,9 @@ def _line(feature: Column, score: Column, frame: Column, attributes: Column) ->
 
 def _rows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The distinct rows of the named columns, with what follows from them. Only these columns are shuffled; what is derived has no more values than they have.
-    The lines of an order stand together, as those of a transcript do in a file: what is shuffled after that is compressed to about half."""
-    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*columns).repartition("l_orderkey").distinct().sortWithinPartitions(*columns[:2])
+    The lines of an order stand together, as those of a transcript do in a file: what is shuffled after that is compressed better. The one sort for it finds repeated rows too, so no task holds them in hash tables."""
+    own = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*columns).repartition("l_orderkey")
+    table = own.withColumn("copy", F.row_number().over(Window.partitionBy(*columns).orderBy(*columns))).where("copy = 1")
     return table.select(*[c.alias(k) for k, c in _keys().items() if "l_returnflag" in columns or k not in ("kind", "amount")])
 
 

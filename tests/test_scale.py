@@ -117,3 +117,9 @@ def test_lines_are_parsed_once_for_ranges(spark, tmp_path):
     assert select.position_rank(recs).count() == 100 and seen.value == 200
     written = entry.queries()["sink_written_counts"](spark, SMALL)
     assert {r["output"] for r in written.collect()} == {"merge", "only-in-1", "only-in-2"}
+
+
+def test_repeated_rows_need_no_hash_table(spark):
+    """Rows are told apart in the order that keeps the lines of a transcript together."""
+    p = plan(entry.queries()["exons"](spark, SMALL))
+    assert "HashAggregate" not in p and p.count("Sort [") == 1
